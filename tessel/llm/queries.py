@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.llm.leaks import leaks
 from tessel.llm.neardup import NearDuplicates
+from tessel.llm.packing import fill, pack, token_counts
 from tessel.llm.spans import SharedSpans
 from tessel.session import table
 
@@ -29,5 +31,39 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(table(spark, d, "files"), F.col("file"), F.col("content")).pairs()
 
 
-QUERIES = {"p4_found": p4_found, "p4_shared": p4_shared, "p5_found": p5_found}
+def _profiles(spark: SparkSession, d: str) -> dict[str, int]:
+    return {r.profile: r.capacity_tokens for r in table(spark, d, "pack_profiles").filter("profile is not null").distinct().limit(1001).collect()}
+
+
+def _packing(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, int]]:
+    profiles = _profiles(spark, d)
+    return pack(token_counts(table(spark, d, "documents"), F.col("doc_id"), F.col("text")), profiles), profiles
+
+
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    """A container for every document, or each piece of one above the capacity, for each profile."""
+    return _packing(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each profile are, beside the least number of containers by volume."""
+    return fill(*_packing(spark, d))
+
+
+def _leaks(spark: SparkSession, d: str, least: int) -> DataFrame:
+    return leaks(table(spark, d, "eval_items"), table(spark, d, "documents"), F.col("item_id"), F.col("text"), F.col("doc_id"), F.col("text"), least)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items and documents that share a run of at least 15 words."""
+    return _leaks(spark, d, 15).select("item_id", "doc_id")
+
+
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Items of which at least half the words lie in tiles of 8 words or more of a document, in whatever order."""
+    covered = _leaks(spark, d, 8).filter("2 * covered >= item_words")
+    return covered.select("doc_id", "item_id", "tiles", "longest", F.round(F.col("covered") / F.col("item_words"), 4).alias("coverage"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_shared": p4_shared, "p5_found": p5_found, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_coverage": p8_coverage}
 ORACLES: dict[str, str] = {}
