@@ -33,31 +33,30 @@ from tessel.session import materialize
 KEY = 64
 MIN_SPAN = 160
 CAP = 40
-_MOST = np.uint64(2**64 - 1)
-_PIECE = 1 << 21
+_PIECE = 1 << 17
 
 
 def cuts(points: list[np.ndarray], window: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(positions, gear hashes) of the cuts of each text; each text is at least KEY + window - 1 long."""
     at = np.cumsum([0, *(len(p) for p in points)])
     raw = gear_hash(gear(np.concatenate(points)))
-    order = mix(raw)
+    order = (mix(raw) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # 0 marks what is outside
     n = len(order)
     whole = np.zeros(n - window + 1, bool)  # windows inside one text, clear of what the text before left in the hash
     for a, b in zip(at[:-1], at[1:]):
         whole[a + KEY - 1 : b - window + 1] = True
-    least = np.where(whole, sliding(order, window, np.minimum), np.uint64(0))
-    padded = np.concatenate([np.zeros(window - 1, np.uint64), least, np.zeros(window - 1, np.uint64)])
+    least = np.where(whole, sliding(order, window, np.minimum), np.uint32(0))
+    edge = np.zeros(window - 1, np.uint32)
+    padded = np.concatenate([edge, least, edge])
     chosen = np.flatnonzero(sliding(padded, window, np.maximum) == order)
-    chosen = chosen[order[chosen] > 0]
     split = np.searchsorted(chosen, at)
     return [(chosen[i:j] - a, raw[chosen[i:j]]) for i, j, a in zip(split[:-1], split[1:], at[:-1])]
 
 
-def _batched(names: pa.Array, texts: pa.Array, least: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _batched(names: list, texts: list[str], least: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Texts of at least ``least`` characters as code points, in pieces of bounded size."""
     ids, points, size = [], [], 0
-    for name, text in zip(names.to_pylist(), texts.to_pylist()):
+    for name, text in zip(names, texts):
         if len(text) >= least:
             ids.append(name)
             points.append(code_points(text))
@@ -74,7 +73,7 @@ def _cut_rows(span: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, points in _batched(batch.column(0), batch.column(1), span):
+            for ids, points in _batched(batch.column(0).to_pylist(), batch.column(1).to_pylist(), span):
                 found = [np.unique(h) for _, h in cuts(points, window)]
                 names = pa.array(ids, pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), [len(f) for f in found])))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), names], names=["key", "id"])
@@ -122,17 +121,67 @@ def common_runs(a: str, b: str, span: int = MIN_SPAN) -> tuple[list[tuple[int, i
     return out[0], out[1]
 
 
+def _agree(a: str, b: str, most: int) -> int:
+    """How many leading characters two strings have in common, at most ``most``."""
+    low, high = 0, min(most, len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a[:mid] == b[:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
+
+
+def share_run(x: str, y: str, at_x: dict[int, int], at_y: dict[int, int], span: int) -> bool:
+    """Whether the texts have a common run of ``span`` characters around a cut they share, compared literally."""
+    for h in at_x.keys() & at_y.keys():
+        p, q = at_x[h] + 1, at_y[h] + 1
+        right = _agree(x[p : p + span], y[q : q + span], span)
+        left = _agree(x[max(0, p - span) : p][::-1], y[max(0, q - span) : q][::-1], span)
+        if left + right >= span:
+            return True
+    return False
+
+
 def _compare(span: int):
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("runs_a", pa.list_(pa.list_(pa.int64()))), ("runs_b", pa.list_(pa.list_(pa.int64())))])
+    """Candidate pairs with their texts in, the pairs that do share a run out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
+            texts = dict(zip(a, x)) | dict(zip(b, y))
+            found, again = {}, set()
+            for ids, points in _batched(list(texts), list(texts.values()), span):
+                for name, (at, hashes) in zip(ids, cuts(points, span - KEY + 1)):
+                    found[name] = dict(zip(hashes.tolist(), at.tolist()))
+                    if len(found[name]) < len(at):
+                        again.add(name)  # the same 64 characters more than once: which of them is meant is open
+            keep = []
+            for i, j in zip(a, b):
+                ok = share_run(texts[i], texts[j], found[i], found[j], span)
+                if not ok and (i in again or j in again):
+                    ok = bool(common_runs(texts[i], texts[j], span)[0])
+                keep.append(ok)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _runs(span: int):
+    """(id, start, end) of the common runs in either text of each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            ids, bounds = [], []
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
-                left, right = common_runs(x, y, span)
-                if left and right:
-                    rows.append({"a": a, "b": b, "runs_a": [list(r) for r in left], "runs_b": [list(r) for r in right]})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                for name, runs in zip((a, b), common_runs(x, y, span)):
+                    ids.extend([name] * len(runs))
+                    bounds.extend(runs)
+            s, e = zip(*bounds) if bounds else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=["id", "s", "e"])
 
     return run
 
@@ -172,16 +221,16 @@ class SharedSpans:
             keys = materialize(shared_keys(with_text.mapInArrow(_longer_rows(span, step), "key bigint, id binary").distinct()), f"longer{step}")
             pairs = pairs.union(small_pairs(keys, cap) if step > 1 else block_pairs(keys, cap))
         pairs = materialize(pairs.distinct(), "candidates")
-        self.found = materialize(join_texts(pairs, self.texts).mapInArrow(_compare(span), "a binary, b binary, runs_a array<array<bigint>>, runs_b array<array<bigint>>"), "found")
+        self.found = materialize(join_texts(pairs, self.texts).mapInArrow(_compare(span), "a binary, b binary"), "found")
 
     def pairs(self) -> DataFrame:
         """(file_a, file_b), file_a < file_b."""
-        return expand(self.found.select("a", "b"), self.members, "file")
+        return expand(self.found, self.members, "file")
 
     def shared(self) -> DataFrame:
         """(file, n_chars, shared_chars): how many characters of each text lie in a run that a text of another name holds too."""
-        runs = self.found.select(F.col("a").alias("id"), F.explode("runs_a").alias("r")).union(self.found.select(F.col("b").alias("id"), F.explode("runs_b").alias("r")))
-        states = interval_states(runs, F.hex("id"), F.col("r")[0], F.col("r")[1])
+        runs = join_texts(self.found, self.texts).mapInArrow(_runs(self.span), "id binary, s bigint, e bigint")
+        states = interval_states(runs, F.hex("id"), F.col("s"), F.col("e"))
         partly = interval_periods(states).groupBy("key").agg(F.sum(F.col("period_end") - F.col("period_start")).alias("part"))
         copies = self.members.groupBy("id").agg(F.count("*").alias("copies"))
         rows = self.sizes.join(copies, "id", "left").join(partly.withColumn("id", F.unhex("key")).drop("key"), "id", "left")
