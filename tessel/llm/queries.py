@@ -9,9 +9,32 @@ from tessel.llm.leaks import leaks
 from tessel.llm.neardup import NearDuplicates
 from tessel.llm.packing import fill, pack, token_counts
 from tessel.llm.spans import SharedSpans
+from tessel.llm.syntax import check_syntax
 from tessel.session import table
 
 
+def _syntax(spark: SparkSession, d: str) -> DataFrame:
+    return check_syntax(table(spark, d, "files"), F.col("file"), F.col("content"), F.col("project"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that do not parse."""
+    return _syntax(spark, d).filter("not valid").select("file").distinct()
+
+
+def p1_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Of each file that does not parse, where its first unrecoverable error is."""
+    return _syntax(spark, d).filter("not valid").select("file", "ext", "line", "col")
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The share of files that do not parse, per project and language."""
+    files = _syntax(spark, d).groupBy("grp", "file", "ext").agg(F.min("valid").alias("valid"))
+    lang = F.when(F.col("ext") == "py", "py").otherwise("ts").alias("lang")
+    counts = files.groupBy(F.col("grp").alias("project"), lang).agg(F.count("*").alias("files"), F.count_if(~F.col("valid")).alias("invalid"))
+    return counts.withColumn("share", F.round(F.col("invalid") / F.col("files"), 4))
+
+
 def _spans(spark: SparkSession, d: str) -> SharedSpans:
     return SharedSpans(table(spark, d, "files"), F.col("file"), F.col("content"))
 
@@ -65,5 +88,5 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return covered.select("doc_id", "item_id", "tiles", "longest", F.round(F.col("covered") / F.col("item_words"), 4).alias("coverage"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_shared": p4_shared, "p5_found": p5_found, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_coverage": p8_coverage}
+QUERIES = {"p1_found": p1_found, "p1_errors": p1_errors, "p1_rates": p1_rates, "p4_found": p4_found, "p4_shared": p4_shared, "p5_found": p5_found, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_coverage": p8_coverage}
 ORACLES: dict[str, str] = {}
