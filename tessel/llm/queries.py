@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.llm.language import detect
 from tessel.llm.leaks import leaks
 from tessel.llm.neardup import NearDuplicates
 from tessel.llm.packing import fill, pack, token_counts
@@ -88,5 +89,27 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return covered.select("doc_id", "item_id", "tiles", "longest", F.round(F.col("covered") / F.col("item_words"), 4).alias("coverage"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_errors": p1_errors, "p1_rates": p1_rates, "p4_found": p4_found, "p4_shared": p4_shared, "p5_found": p5_found, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_coverage": p8_coverage}
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    return detect(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), F.col("lang"), table(spark, d, "lang_codes"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of passages of at least two sentences that are not what the document's label says."""
+    other = ~F.col("lang").eqNullSafe(F.col("label"))
+    return _languages(spark, d).filter((F.col("sentences") >= 2) & other).select(F.col("id").alias("doc_id"), "lang").distinct()
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The language and a confidence of every segment."""
+    return _languages(spark, d).select(F.col("id").alias("doc_id"), "start", "end", "lang", "sentences", "confidence")
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's main language by the letters of its segments, with their mean confidence."""
+    per = _languages(spark, d).groupBy("id", "label", "lang").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("confidence")).alias("wc"))
+    best = per.groupBy("id", "label").agg(F.max(F.struct("w", "lang", "wc")).alias("b"), F.sum("w").alias("all"))
+    return best.select(F.col("id").alias("doc_id"), "label", F.col("b.lang").alias("lang"), F.round(F.col("b.wc") / F.col("b.w"), 4).alias("confidence"), F.round(F.col("b.w") / F.col("all"), 4).alias("share"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_errors": p1_errors, "p1_rates": p1_rates, "p4_found": p4_found, "p4_shared": p4_shared, "p5_found": p5_found, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
 ORACLES: dict[str, str] = {}
