@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tessel.llm.hashing import MULTIPLIER, mix
 from tessel.llm.pairs import block_pairs, expand, shared_keys, small_pairs
 from tessel.llm.spans import join_texts
+from tessel.operators.graph import connected_components
 from tessel.session import materialize
 
 WORD = re.compile(r"\w+")
@@ -192,3 +193,14 @@ class NearDuplicates:
     def pairs(self) -> DataFrame:
         """(file_a, file_b), file_a < file_b."""
         return expand(self.found.select("a", "b"), self.members, "file")
+
+    def groups(self) -> DataFrame:
+        """(file, grp, links) of every file with a near-duplicate: its group (the least name among all it is linked to, directly or not) and how many names it is linked to directly."""
+        sizes = self.members.groupBy("id").agg(F.count("*").alias("n"), F.min("file").alias("least"))
+        both = self.found.select("a", "b").union(self.found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        links = both.join(sizes.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("outside"))
+        parts = connected_components(self.found.select(F.hex("a").alias("src"), F.hex("b").alias("dst")))
+        classes = sizes.withColumn("node", F.hex("id")).join(parts, "node", "left").join(links, "id", "left")
+        classes = classes.withColumn("component", F.coalesce("component", "node")).withColumn("links", (F.coalesce("outside", F.lit(0)) + F.col("n") - 1).cast("bigint")).filter("links > 0")
+        least = classes.groupBy("component").agg(F.min("least").alias("grp"))
+        return self.members.join(classes.select("id", "component", "links"), "id").join(least, "component").select("file", "grp", "links")

@@ -55,6 +55,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(table(spark, d, "files"), F.col("file"), F.col("content")).pairs()
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Of each file with a near-duplicate its group and its number of links."""
+    return NearDuplicates(table(spark, d, "files"), F.col("file"), F.col("content")).groups()
+
+
 def _profiles(spark: SparkSession, d: str) -> dict[str, int]:
     return {r.profile: r.capacity_tokens for r in table(spark, d, "pack_profiles").filter("profile is not null").distinct().limit(1001).collect()}
 
@@ -111,5 +116,5 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.col("id").alias("doc_id"), "label", F.col("b.lang").alias("lang"), F.round(F.col("b.wc") / F.col("b.w"), 4).alias("confidence"), F.round(F.col("b.w") / F.col("all"), 4).alias("share"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_errors": p1_errors, "p1_rates": p1_rates, "p4_found": p4_found, "p4_shared": p4_shared, "p5_found": p5_found, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
+QUERIES = {"p1_found": p1_found, "p1_errors": p1_errors, "p1_rates": p1_rates, "p4_found": p4_found, "p4_shared": p4_shared, "p5_found": p5_found, "p5_groups": p5_groups, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
 ORACLES: dict[str, str] = {}

@@ -92,6 +92,19 @@ def test_near_duplicates_match_brute_force(spark):
         got = {tuple(r) for r in found.pairs().collect()}
         want = near(rows, 0.6, 30)
         assert got <= want and len(want - got) <= len(want) // 200
+    after = {}
+    for a, b in got:
+        after.setdefault(a, set()).add(b)
+        after.setdefault(b, set()).add(a)
+    groups = {r.file: (r.grp, r.links) for r in found.groups().collect()}
+    assert groups.keys() == after.keys()
+    for f, near_ in after.items():
+        seen, todo = {f}, [f]
+        while todo:
+            for g in after[todo.pop()] - seen:
+                seen.add(g)
+                todo.append(g)
+        assert groups[f] == (min(seen), len(near_))
 
 
 def test_near_duplicates_empty(spark):
