@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: the order in which extensions are tried
-EXTENSIONS = ["", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".json"]
+EXTENSIONS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".d.ts", ".json"]
 SCRIPT_FALLBACK = {".js": [".ts", ".tsx", ".d.ts"], ".jsx": [".tsx"], ".mjs": [".mts"], ".cjs": [".cts"]}
 INDEX = ["/index.ts", "/index.tsx", "/index.d.ts", "/index.js", "/index.jsx"]
 PYTHON = [".py", "/__init__.py", ".pyi"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessel.functions import scores
 from tessel.functions.globs import path_glob
 from tessel.operators import coverage as cov
-from tessel.operators.resolve import dirname, fold, resolve, script_candidates
+from tessel.operators.resolve import EXTENSIONS, dirname, fold, resolve, script_candidates
 from tessel.session import table
 
 
@@ -155,7 +155,7 @@ m AS (SELECT *, round(v, 6) AS volume, round(least(greatest((171.0 - 5.2 * ln(gr
 _H = "round(least(greatest(0.3::DOUBLE * (100.0 - least(greatest({c} / 30.0::DOUBLE * 100.0, 0.0), 100.0)) + 0.3::DOUBLE * (100.0 - least(greatest(cognitive / 50.0::DOUBLE * 100.0, 0.0), 100.0)) + 0.4::DOUBLE * mi, 0.0), 100.0))::INT"
 _SCORE = _H.format(c="cyclomatic")
 _PLUG = " UNION ".join(f"SELECT DISTINCT file, '{n}' AS plugin FROM files WHERE regexp_matches(rel_path, '{path_glob(g)}')" for n, g in PLUGINS)
-_CAND = [("", 0), (".ts", 1), (".tsx", 2), (".d.ts", 3), (".js", 4), (".jsx", 5), (".mjs", 6), (".cjs", 7), (".json", 8)]
+_CAND = [(x, n) for n, x in enumerate(EXTENSIONS)]
 
 ORACLES = {
     "coverage_merge": f'WITH {_RANGES} SELECT file, fn, s AS start, e AS "end", sum(hits)::BIGINT AS hits FROM c GROUP BY ALL',
@@ -180,8 +180,8 @@ n AS (SELECT *, row_number() OVER (PARTITION BY file, fn ORDER BY fn_ix) - 1 AS
 rel AS (SELECT file, spec, string_split(regexp_replace(file, '/[^/]*$', ''), '/') AS dir, len(regexp_extract_all(spec, '\\.\\./')) AS up, regexp_replace(spec, '^(\\.\\.?/)+', '') AS tail FROM i WHERE regexp_matches(spec, '^\\.\\.?/')),
 b AS (SELECT file, spec, array_to_string(list_slice(dir, 1, len(dir) - up), '/') || '/' || tail AS base FROM rel),
 k AS ({" UNION ALL ".join(f"SELECT file, spec, {n} AS rank, base || '{x}' AS path FROM b" for x, n in _CAND)}
-  {" ".join(f"UNION ALL SELECT file, spec, {9 + n}, regexp_replace(base, '{a}$', '{x}') FROM b WHERE ends_with(base, '{y}')" for n, (a, y, x) in enumerate([(chr(92) + '.js', '.js', '.ts'), (chr(92) + '.js', '.js', '.tsx'), (chr(92) + '.js', '.js', '.d.ts'), (chr(92) + '.jsx', '.jsx', '.tsx'), (chr(92) + '.mjs', '.mjs', '.mts'), (chr(92) + '.cjs', '.cjs', '.cts')]))}
-  {" ".join(f"UNION ALL SELECT file, spec, {15 + n}, base || '{x}' FROM b" for n, x in enumerate(['/index.ts', '/index.tsx', '/index.d.ts', '/index.js', '/index.jsx']))}),
+  {" ".join(f"UNION ALL SELECT file, spec, {len(_CAND) + n}, regexp_replace(base, '{a}$', '{x}') FROM b WHERE ends_with(base, '{y}')" for n, (a, y, x) in enumerate([(chr(92) + '.js', '.js', '.ts'), (chr(92) + '.js', '.js', '.tsx'), (chr(92) + '.js', '.js', '.d.ts'), (chr(92) + '.jsx', '.jsx', '.tsx'), (chr(92) + '.mjs', '.mjs', '.mts'), (chr(92) + '.cjs', '.cjs', '.cts')]))}
+  {" ".join(f"UNION ALL SELECT file, spec, {len(_CAND) + 6 + n}, base || '{x}' FROM b" for n, x in enumerate(['/index.ts', '/index.tsx', '/index.d.ts', '/index.js', '/index.jsx']))}),
 g AS (SELECT k.file, spec, arg_min(path, rank) AS dst FROM k JOIN (SELECT DISTINCT file AS f FROM files) ON f = path GROUP BY ALL)
 SELECT b.file, b.spec, g.dst FROM b LEFT JOIN g ON g.file = b.file AND g.spec = b.spec""",
     "plugin_glob_match": _PLUG,
