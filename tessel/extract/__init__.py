@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.extract.components import HANDLERS
 from tessel.extract.python_source import extract_python
 from tessel.extract.script_source import extract_script
 
@@ -25,7 +26,8 @@ def extract(file: str, content: str | None) -> dict:
     """The relations of one file; unreadable content is an empty file, content that does not parse an empty inventory marked as failed."""
     if content is None:
         return {"failed": False, "decls": [], "imports": [], "usages": [], "functions": []}
-    return (extract_python if file.endswith((".py", ".pyi")) else extract_script)(content.removeprefix("﻿"))
+    handler = extract_python if file.endswith((".py", ".pyi")) else HANDLERS.get("." + file.rsplit(".", 1)[-1], extract_script)
+    return handler(content.removeprefix("﻿"))
 
 
 def inventory(files: DataFrame) -> DataFrame:
