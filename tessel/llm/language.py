@@ -42,7 +42,13 @@ _LINE = re.compile(r"[^\r\n]+")
 _SKIPPED = re.compile(r"\s*(?:#{1,6}\s|[=*_-]{3,}\s*$|(?:[A-Z]+|\[[^\]]*\])?[ \t]*\d{4}-\d\d-\d\d|\S+:\d+:\d+|\$ |at \S+\(|\|| {4}\S|\t\S)")
 _MARK = re.compile(r"[ \t]*(?:>[ \t]*)*(?:[-*+][ \t]+|\d+[.)][ \t]+)?(?:\[[ xX]\][ \t]*)?")
 _SENTENCE = re.compile(r"(?:`[^`]*`|[^`.!?…。！？]+|(?<=\b[^\W\d_])\.|[.!?…]+(?![\s\"'”»)\]*_]|$)|`)+(?:[.!?…。！？]+[\"'”»)\]*_]*|$)")
-_NOISE = re.compile(r"`[^`]*`?|\(?[“\"«„][^“”\"«»„]{0,40}[”\"»“]\)?|https?:\S+|[!-~]*[_/\\\d@#<>=|{}\[\]*~$%^+][!-~]*|[!-~]*[a-z][A-Z][!-~]*|\b[A-Za-z]+(?:-[A-Za-z]+)+\b|\b[A-Za-z]+\.[A-Za-z]+\b")
+_MARKS = "_/\\0123456789@#<>=|{}[]()*~$%^+"
+_OTHER = "[" + "".join(re.escape(chr(c)) for c in range(33, 127) if chr(c) not in _MARKS) + "]"
+# inline code, quoted terms, and tokens that no prose has; a token is tried from its first character only
+_NOISE = re.compile(
+    r"`[^`]*`?|\(?[“\"«„][^“”\"«»„]{0,40}[”\"»“]\)?|(?<![!-~])" + _OTHER + "*[" + re.escape(_MARKS) + r"][!-~]*"
+    r"|(?<![A-Za-z])(?:[A-Za-z]*[a-z][A-Z][!-~]*|[A-Za-z]+(?:-[A-Za-z]+)+\b|[A-Za-z]+\.[A-Za-z]+\b)"
+)
 _SPACES = re.compile(r"[\W\d_]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
@@ -210,7 +216,9 @@ def path(scores: np.ndarray, change: float = CHANGE) -> np.ndarray:
 
 def segments(found: list[tuple[int, int, str]], scores: np.ndarray) -> list[tuple[int, int, int, int, float, float]]:
     """(start, end, language, sentences, confidence, weight) of each stretch of one language."""
-    at = path(scores)
+    first = scores[0].argmax()
+    # one language throughout costs no change, so there is nothing to weigh
+    at = np.full(len(scores), first) if (scores.argmax(1) == first).all() else path(scores)
     edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
     out = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
