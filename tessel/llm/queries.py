@@ -117,4 +117,23 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_errors": p1_errors, "p1_rates": p1_rates, "p4_found": p4_found, "p4_shared": p4_shared, "p5_found": p5_found, "p5_groups": p5_groups, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
-ORACLES: dict[str, str] = {}
+_GRAMS = """f AS (SELECT DISTINCT file, content FROM files WHERE content IS NOT NULL),
+p AS (SELECT file, i, md5(substr(content, i, 160)) AS k FROM (SELECT file, content, unnest(range(1, greatest(length(content) - 158, 1))) AS i FROM f)),
+g AS (SELECT DISTINCT file, k FROM p)"""
+_WORDS = r"'[\p{L}\p{N}_]+'"
+
+ORACLES = {
+    "p4_found": f"WITH {_GRAMS} SELECT DISTINCT a.file AS file_a, b.file AS file_b FROM g a JOIN g b ON a.k = b.k AND a.file < b.file",
+    "p4_shared": f"""WITH {_GRAMS}, s AS (SELECT k FROM g GROUP BY k HAVING count(*) > 1),
+c AS (SELECT file, i, lead(i) OVER (PARTITION BY file ORDER BY i) AS n FROM (SELECT DISTINCT p.file, p.i FROM p JOIN s USING (k))), t AS (SELECT file, sum(least(160, coalesce(n - i, 160)))::BIGINT AS shared FROM c GROUP BY file)
+SELECT file, length(content) AS n_chars, coalesce(shared, 0) AS shared_chars FROM f LEFT JOIN t USING (file)""",
+    "p5_found": f"""WITH f AS (SELECT DISTINCT file, regexp_extract_all(content, {_WORDS}) AS w FROM files WHERE content IS NOT NULL),
+s AS (SELECT DISTINCT file, array_to_string(list_slice(w, i, i + 2), ' ') AS k FROM (SELECT file, w, unnest(range(1, len(w) - 1)) AS i FROM f WHERE len(w) >= 30)), n AS (SELECT file, count(*) AS n FROM s GROUP BY file),
+j AS (SELECT a.file AS file_a, b.file AS file_b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.file < b.file GROUP BY ALL)
+SELECT file_a, file_b FROM j JOIN n x ON x.file = file_a JOIN n y ON y.file = file_b WHERE 10 * c >= 6 * (x.n + y.n - c)""",
+    "p8_found": f"""WITH i AS (SELECT DISTINCT item_id, list_transform(regexp_extract_all(text, {_WORDS}), lambda x: lower(x)) AS w FROM eval_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, list_transform(regexp_extract_all(text, {_WORDS}), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+gi AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, n, n + 14), ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13, 1))) AS n FROM i)),
+gd AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, n, n + 14), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 13, 1))) AS n FROM d))
+SELECT DISTINCT item_id, doc_id FROM gi JOIN gd USING (k)""",
+}
