@@ -8,6 +8,8 @@ with one window.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +67,89 @@ def subsumed(spans: DataFrame) -> DataFrame:
     covered = inside.groupBy("id", "by").agg(F.count_distinct("file", "lo").alias("n"))
     total = spans.groupBy("id").agg(F.count_distinct("file", "lo").alias("total"))
     return covered.join(total, "id").filter("n = total").select("id").distinct()
+
+
+# ---------------------------------------------------------------- clones up to structure
+
+_IDENT = re.compile(r"[A-Za-z_]\w*")
+
+
+def _closing(toks: list[str], i: int, opens: str, closes: str) -> int:
+    depth = 0
+    for k in range(i, len(toks)):
+        depth += (toks[k] == opens) - (toks[k] == closes)
+        if depth == 0:
+            return k
+    return -1
+
+
+def _top(toks: list[str], i: int, end: int, wanted: str) -> int:
+    """The first ``wanted`` at the bracket depth of ``i``; -1 if a statement ends before it."""
+    depth = 0
+    for k in range(i, end):
+        if depth == 0 and toks[k] == wanted:
+            return k
+        depth += (toks[k] in "([{") - (toks[k] in ")]}")
+        if depth < 0 or depth == 0 and toks[k] == ";" and wanted != ";":
+            return -1
+    return -1
+
+
+def structural(toks: list[str], keywords: set[str]) -> list[str]:
+    """Tokens after two rewrites and renaming: ``return c ? a : b;`` as two conditional returns, a counted ``while`` as a ``for``."""
+    out, i = [], 0
+    while i < len(toks):
+        if toks[i] == "return":
+            q = _top(toks, i + 1, len(toks), "?")
+            c = _top(toks, q + 1, len(toks), ":") if q > 0 else -1
+            e = _top(toks, c + 1, len(toks), ";") if c > 0 else -1
+            if e > 0:
+                out += ["if", "(", *toks[i + 1 : q], ")", "return", *toks[q + 1 : c], ";", "return", *toks[c + 1 : e], ";"]
+                i = e + 1
+                continue
+        if toks[i] == "while" and i + 1 < len(toks) and toks[i + 1] == "(" and out and out[-1] == ";":
+            t = _closing(toks, i + 1, "(", ")")
+            b = _closing(toks, t + 1, "{", "}") if t > 0 and t + 1 < len(toks) and toks[t + 1] == "{" else -1
+            if b > 0 and toks[b - 1] == ";":
+                body = toks[t + 2 : b]
+                cut = max((k for k in range(len(body) - 1) if body[k] in (";", "}")), default=-1)
+                start = max((k for k in range(len(out) - 1) if out[k] in (";", "{", "}")), default=-1)
+                init, step = out[start + 1 : -1], body[cut + 1 : -1]
+                if init and step:
+                    del out[start + 1 :]
+                    out += ["for", "(", *init, ";", *toks[i + 2 : t], ";", *step, ")", "{", *body[: cut + 1], "}"]
+                    i = b + 1
+                    continue
+        out.append(toks[i])
+        i += 1
+    return ["IDENT" if _IDENT.fullmatch(t) and t not in keywords else t for t in out]
+
+
+def structural_tokens(files: DataFrame, keywords: list[str]) -> DataFrame:
+    """files(file, toks) with rewritten tokens; the rewrites need a stack, so they run in Arrow batches."""
+    known = set(keywords)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(toks=[structural(list(t), known) for t in batch["toks"]])
+
+    return files.select("file", "toks").mapInPandas(run, "file string, toks array<string>")
+
+
+def find_clones(files: DataFrame, m: int, keywords: list[str], types: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
+    """(type, file, pos, members, length) of the families of all types, without those that a longer family of the same or another type covers entirely.
+
+    Positions of type 4 count rewritten tokens, so type 4 is only set against itself. files(file, toks)."""
+    kinds = {1: files, 2: files.select("file", normalised(F.col("toks"), keywords).alias("toks")), 4: structural_tokens(files, keywords)}
+    found, spans = None, None
+    for t in types:
+        positions = grams(kinds[t], m)
+        fam = families(positions, m)
+        ident = F.concat_ws("/", F.lit(t), "file", "pos")
+        rows = fam.select(F.lit(t).alias("type"), ident.alias("id"), "file", "pos", "members", "length")
+        at = F.concat_ws("/", F.lit(t), "family_file", "family_pos")
+        occ = occurrences(positions, fam, m).select(at.alias("id"), "length", F.concat_ws("|", F.lit("4" if t == 4 else "1"), "file").alias("file"), F.col("pos").alias("lo"), (F.col("pos") + F.col("length")).alias("hi"))
+        found, spans = (rows, occ) if found is None else (found.unionByName(rows), spans.unionByName(occ))
+    # families whose occurrences all overlap one another have fewer than two left
+    alive = spans.select("id").distinct()
+    return found.join(alive, "id", "left_semi").join(subsumed(spans), "id", "left_anti").select("type", "file", "pos", "members", "length")

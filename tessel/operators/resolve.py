@@ -66,3 +66,32 @@ def package_of(spec: Column) -> Column:
 def normal_name(name: Column) -> Column:
     """A Python distribution name without extras and version, in its normal form."""
     return F.lower(F.regexp_replace(F.regexp_extract(F.trim(name), r"^([A-Za-z0-9][A-Za-z0-9._\-]*)", 1), r"[-_.]+", "-"))
+
+# fixed values: platform suffixes that go before the plain file, and where built code has its source
+PLATFORMS = ["ios", "android", "native"]
+BUILT = ["dist", "build", "out", "lib", "esm", "cjs"]
+VENVS = [".venv", "venv", "env", ".env"]
+
+
+def platform_candidates(base: Column, platforms: list[str] = PLATFORMS) -> Column:
+    """Candidates with platform suffixes first, then the plain ones."""
+    n = len(platforms) * (len(EXTENSIONS) - 1)
+    first = [F.struct(F.lit(i * (len(EXTENSIONS) - 1) + k).alias("rank"), F.concat(base, F.lit(f".{p}{x}")).alias("path")) for i, p in enumerate(platforms) for k, x in enumerate(EXTENSIONS[1:])]
+    rest = F.transform(script_candidates(base), lambda c: F.struct((c["rank"] + n).alias("rank"), c["path"].alias("path")))
+    return F.concat(F.array(*first), rest)
+
+
+def source_candidates(base: Column) -> Column:
+    """For a path in a directory of built code, what it was built from in ``src``; empty for other paths."""
+    built = "/(?:" + "|".join(BUILT) + ")/"
+    moved = F.regexp_replace(base, built, "/src/")
+    stem = F.regexp_replace(moved, r"\.(?:d\.ts|[cm]?jsx?)$", "")
+    return F.when(base.rlike(built), script_candidates(stem)).otherwise(F.filter(script_candidates(base), lambda _: F.lit(False)))
+
+
+def venv_candidates(root: Column, module: Column, versions: list[str]) -> Column:
+    """Where an installed Python package lies in a virtual environment below the root."""
+    head = F.split(module, r"\.")[0]
+    dirs = [f"/{v}/lib/python{x}/site-packages/" for v in VENVS for x in versions] + [f"/{v}/Lib/site-packages/" for v in VENVS]
+    ends = ["/__init__.py", ".py"]
+    return F.array(*(F.struct(F.lit(n * len(ends) + k).alias("rank"), F.concat(root, F.lit(d), head, F.lit(e)).alias("path")) for n, d in enumerate(dirs) for k, e in enumerate(ends)))

@@ -59,3 +59,26 @@ def render(findings: DataFrame, kind: str, most: int = 100_000) -> str:
         raise ValueError(f"more than {most} findings: use write_rows")
     head, between, tail = ENVELOPES[kind]
     return head + between.join(r.value for r in rows) + tail
+
+
+def human(findings: DataFrame, colour: bool = False, most: int = 100_000) -> str:
+    """Findings by file for a terminal, with totals; plain unless ``colour``."""
+    rows = findings.orderBy("file", "line", "col", "kind", "message").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} findings: use write_rows")
+    paint = (lambda s, c: f"\x1b[{c}m{s}\x1b[0m") if colour else (lambda s, c: s)
+    out, last = [], None
+    for r in rows:
+        if r.file != last:
+            out += [""] * bool(out) + [paint(r.file, 1)]
+            last = r.file
+        place = f"{r.line if r.line is not None else '-'}:{r['col'] if r['col'] is not None else '-'}"
+        out.append(f"  {place:>8}  {paint(r.severity, 31 if r.severity == 'error' else 33)}  {r.message}")
+    errors = sum(r.severity == "error" for r in rows)
+    return "\n".join([*out, *[""] * bool(out), f"{len(rows)} findings, {errors} errors, {len({r.file for r in rows})} files"])
+
+
+def markdown(findings: DataFrame) -> str:
+    """A summary table of the rules; as long as there are rules."""
+    lines = [r.line for r in markdown_table(findings).orderBy("kind").collect()]
+    return "\n".join(["| rule | findings | files |", "|-|-|-|", *lines])
