@@ -16,6 +16,7 @@ table there is no network and no segment; repeated rows give their rows again, `
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -32,6 +33,7 @@ WINDOW = 64
 EMBEDDING = 12
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 24
+STEPS = 800
 CHANGE = 2.5
 FLOOR = -9.0
 _KEPT = 150_000
@@ -162,7 +164,7 @@ class Network:
         return np.maximum(out / np.bincount(owner, minlength=len(cleans))[:, None], FLOOR)
 
 
-def fit(texts: Iterator[tuple[str, str]], steps: int = 800) -> tuple[list[str], Network] | None:
+def fit(texts: Iterator[tuple[str, str]], steps: int = STEPS) -> tuple[list[str], Network] | None:
     """Languages and network from (language, text) rows with partly wrong labels."""
     votes: dict[str, Counter] = defaultdict(Counter)
     for lang, text in texts:
@@ -173,7 +175,7 @@ def fit(texts: Iterator[tuple[str, str]], steps: int = 800) -> tuple[list[str],
         return None
     number = {lang: k for k, lang in enumerate(langs)}
     cleans = sorted(votes)
-    best = [votes[c].most_common(1)[0][0] for c in cleans]
+    best = [max(votes[c].items(), key=lambda v: (v[1], v[0]))[0] for c in cleans]
     y = np.array([number[b] for b in best])
     sure = np.array([votes[c][b] > 0.6 * sum(votes[c].values()) for c, b in zip(cleans, best)])
     if not sure.any():
@@ -264,7 +266,16 @@ def label_language(label: Column, codes: list[tuple[str, str, str]]) -> Column:
     return F.try_element_at(table, F.lower(F.trim(F.split(label, "[-_]")[0])))
 
 
-def detect(df: DataFrame, key: Column, text: Column, label: Column, codes: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def _train(steps: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit(((lang, text) for b in batches for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), steps)
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return run
+
+
+def detect(df: DataFrame, key: Column, text: Column, label: Column, codes: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -> DataFrame:
     """(id, label, start, end, lang, sentences, confidence, weight) of every segment; ``codes`` has (lang, alpha3, lang_name)."""
     named = [tuple(r) for r in codes.select("lang", "alpha3", "lang_name").filter("lang is not null").distinct().limit(MAX_LANGUAGES + 1).collect()]
     if len(named) > MAX_LANGUAGES:
@@ -275,9 +286,10 @@ def detect(df: DataFrame, key: Column, text: Column, label: Column, codes: DataF
     # about twice the sample passes this bound at any size, so the final choice moves no more than that
     bound = min(1.0, 2 * sample_docs / max(1, usable.count()))
     sample = usable.filter(digest <= F.lit(int(bound * ((1 << 62) - 1)))).orderBy(digest, "id").limit(sample_docs)
-    model = fit((r.label, r.text) for r in sample.select("label", "text").toLocalIterator())
+    # one task trains, away from the driver; only the weights come back
+    (model,) = sample.select("label", "text").repartition(1).mapInArrow(_train(steps), "model binary").collect() or [None]
     if model is None:
         return df.sparkSession.createDataFrame([], _SEGMENTS)
-    langs, net = model
+    langs, net = pickle.loads(model.model)
     digest = net.p["o"].tobytes()[:64]
     return rows.filter("text is not null").select("id", "text", "label").mapInArrow(_detect(langs, net, digest), _SEGMENTS)

@@ -79,14 +79,13 @@ def test_mixed_document(model):
     assert all(0 < s[4] <= 1 for s in got)
 
 
-def test_operator_and_labels(spark, monkeypatch):
+def test_operator_and_labels(spark):
     rng = random.Random(4)
-    monkeypatch.setattr(language, "fit", lambda rows, fit=language.fit: fit(rows, steps=120))
     codes = spark.createDataFrame([("en", "eng", "English"), ("de", "deu", "German"), ("ru", "rus", "Russian"), (None, None, None)], "lang string, alpha3 string, lang_name string")
     rows = [(n, prose(rng, lang, 6), label) for n, (lang, label) in enumerate([("en", "en_US"), ("de", "DEU"), ("ru", "Russian"), ("en", "eng")] * 30)]
     rows += [(900, prose(rng, "de", 3), "en"), (901, prose(rng, "ru", 3), "unknown"), (902, "", "en"), (903, None, "en"), (904, "```\ncode\n```", None), (None, prose(rng, "en", 3), None), (905, prose(rng, "en", 4000), "en")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, lang string, label string")
-    got = language.detect(df, F.col("doc_id"), F.col("text"), F.col("lang"), codes).filter("sentences >= 2").select("id", "label", "lang").distinct().collect()
+    got = language.detect(df, F.col("doc_id"), F.col("text"), F.col("lang"), codes, steps=120).filter("sentences >= 2").select("id", "label", "lang").distinct().collect()
     by = {r.id: (r.label, r.lang) for r in got if r.id is None or r.id >= 900}
     assert by == {900: ("en", "de"), 901: (None, "ru"), None: (None, "en"), 905: ("en", "en")}
     assert all(r.label == r.lang for r in got if r.id is not None and r.id < 900)
