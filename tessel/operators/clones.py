@@ -9,10 +9,17 @@ with one window.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.functions.rolling import MULTIPLIER, mix, window_hash
+
 TOKEN = r"[A-Za-z_]\w*|\d+|[^\s\w]"
 
 
@@ -26,11 +33,28 @@ def normalised(toks: Column, keywords: list[str]) -> Column:
 
 
 def grams(files: DataFrame, m: int) -> DataFrame:
-    """(file, pos, key) of every m-gram; files(file, toks). The key is two independent digests."""
-    n = F.size("toks") - m + 1
-    part = lambda p: F.slice("toks", p, m)
-    keys = F.transform(F.sequence(F.lit(1), n), lambda p: F.struct((p - 1).alias("pos"), F.struct(F.xxhash64(part(p)).alias("a"), F.hash(part(p)).alias("b")).alias("key")))
-    return files.filter(n > 0).select("file", F.inline(keys))
+    """(file, pos, key) of every m-gram; files(file, toks). The key is two rolling digests of 64 bits; a token is digested once per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+            kept = np.flatnonzero(sizes >= m)
+            coded = lists.flatten().dictionary_encode()
+            if not len(kept):
+                continue
+            known = np.array([xxhash.xxh3_64_intdigest(t) if t is not None else 0 for t in coded.dictionary.to_pylist()], np.uint64)
+            digest = known[coded.indices.fill_null(0).to_numpy(zero_copy_only=False)]
+            first, second = window_hash(mix(digest), m).view(np.int64), window_hash(mix(digest + MULTIPLIER), m).view(np.int64)
+            starts = np.cumsum(np.r_[0, sizes])[:-1][kept]
+            n = sizes[kept] - m + 1
+            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = pos + np.repeat(starts, n)
+            key = pa.StructArray.from_arrays([pa.array(first[at]), pa.array(second[at])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(kept, n))), pa.array(pos.astype(np.int32)), key], names=["file", "pos", "key"])
+
+    kind = files.schema["file"].dataType.simpleString()
+    return files.select("file", "toks").mapInArrow(run, f"file {kind}, pos int, key struct<a: bigint, b: bigint>")
 
 
 def families(positions: DataFrame, m: int) -> DataFrame:
