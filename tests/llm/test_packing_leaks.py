@@ -101,3 +101,10 @@ def test_tiles_cover_reordered_passages():
     doc = np.concatenate([item[20:], [99], item[:20], [99], item[10:16]]).astype(np.uint64)
     seeds = [(d, i) for d in range(len(doc) - 4) for i in range(len(item) - 4) if (doc[d : d + 5] == item[i : i + 5]).all()]
     assert sorted(t[1:] for t in leaks.tile(doc, item, seeds, 5)) == [(0, 20), (20, 20)]
+
+
+def test_periodic_texts_stay_small(spark):
+    i = spark.createDataFrame([(1, "a " * 3000), (2, "b c " * 500)], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, "a " * 200_000), (2, "x " + "c b " * 50_000), (3, "a " * 14)], "doc_id bigint, text string")
+    got = leaks.leaks(i, d, F.col("item_id"), F.col("text"), F.col("doc_id"), F.col("text"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (2, 2)}
