@@ -41,12 +41,9 @@ def hot_paths(hits: DataFrame, percent: int = 10) -> DataFrame:
     live = hits.filter("hits > 0")
     total = live.agg(F.count("*").alias("n"), F.min("hits").alias("low"), F.max("hits").alias("high"))
     order = [F.col("hits").desc(), F.col("file"), F.col("fn")]
-    first = live.sparkSession.range(1)
-    # the cut-off row comes from one top-k; k is a share of all functions, so the rank below is only over what is kept
     row = total.first()
     if not row.n or row.low == row.high:
         return live.limit(0).select("file", "fn", "hits", F.lit(0).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("n"))
-    del first
     k = -(-row.n * percent // 100)
     parts = live.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
     inner = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1

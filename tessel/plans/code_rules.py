@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.operators import graph, rules
+from tessel.operators import graph, reexports, rules
+from tessel.operators.resolve import package_of, python_base, python_candidates, resolve
+from tessel.plans.runtime_health import sources
 from tessel.session import table
 
 
@@ -171,7 +173,50 @@ def rollup_report(spark, d):
     return f.rollup("severity", "kind").agg(F.count("*").alias("n")).select(F.coalesce("severity", F.lit("*")).alias("severity"), F.coalesce("kind", F.lit("*")).alias("kind"), "n")
 
 
+def _links(spark, d):
+    return edges(spark, d).select("src", "dst").distinct()
+
+
+def trace_export(spark, d):
+    """Importers of parts that use a name, over importers that use it too: the name is the part's first word."""
+    uses = table(spark, d, "part").select(F.col("p_partkey").alias("file"), F.element_at(F.split("p_name", " "), 1).alias("name"))
+    return reexports.trace_export(edges(spark, d), uses, "red")
+
+
+def entry_star_targets(spark, d):
+    return reexports.entry_targets(_links(spark, d), entries(spark, d))
+
+
+def reexport_provenance(spark, d):
+    """Which direct source each re-exported brand comes from."""
+    own = table(spark, d, "part").filter("p_size = 50").select(F.col("p_partkey").alias("file"), F.col("p_brand").alias("name"), F.lit(True).alias("exported"))
+    return reexports.provenance(reexports.exported_names(own, _links(spark, d)), own, _links(spark, d))
+
+
+def star_symbols(spark, d):
+    brand = table(spark, d, "part").select(F.col("p_partkey").alias("dst"), F.when(F.col("p_type") == "PROMO", F.col("p_brand")).alias("alias"))
+    return reexports.star_symbols(_links(spark, d).join(brand, "dst").select("src", F.col("dst").alias("dst_id"), "alias"))
+
+
+def import_hygiene(spark, d):
+    """Specifiers of findings as imports that resolve to nothing; what an unused dependency names is declared in its project."""
+    project = table(spark, d, "runs").select("run_id", "project").distinct()
+    rows = table(spark, d, "findings_actual").select("run_id", "kind", "file", F.col("detail.specifier").alias("spec")).filter("spec is not null and file is not null").join(project, "run_id")
+    declared = rows.filter(F.col("kind").isin("unused-deps", "unused-dev-deps")).select("project", F.col("spec").alias("name"))
+    links = rows.select("project", F.col("file").alias("src"), "spec", F.lit(None).cast("string").alias("dst"), F.lit(False).alias("resolvable"), package_of(F.col("spec")).alias("package"))
+    return rules.import_hygiene(links, declared).distinct()
+
+
+def python_import_resolution(spark, d):
+    """Every relative Python import with the module file it means, or null."""
+    module = F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^from (\.+\w+) import"), F.lit(1))).alias("module")
+    rows = sources(spark, d).filter(F.endswith("file", F.lit(".py"))).select("file", module).distinct()
+    base = python_base(F.col("file"), F.lit("/"), F.col("module"))
+    return resolve(rows, table(spark, d, "files").select("file"), python_candidates(base)).select("file", "module", "dst")
+
+
 QUERIES = {
+    "trace_export": trace_export, "entry_star_targets": entry_star_targets, "reexport_provenance": reexport_provenance, "star_symbols": star_symbols, "import_hygiene": import_hygiene, "python_import_resolution": python_import_resolution,
     "unused_files": unused_files, "trace_importers": trace_importers, "circular_dependencies": circular_dependencies, "import_components": import_components, "reexport_fixed_point": reexport_fixed_point, "reverse_index": reverse_index,
     "unused_exports": unused_exports, "unused_types": unused_types, "duplicate_exports": duplicate_exports, "unused_deps": _deps("ECONOMY"), "unused_dev_deps": _deps("PROMO"), "unused_optional_deps": _deps("STANDARD"),
     "unused_enum_members": _members("enum"), "unused_class_members": _members("class"), "boundary_violations": boundary_violations, "nearest_manifest": nearest_manifest, "private_type_leak": private_type_leak,
@@ -189,7 +234,24 @@ _ALL = f"""f AS (SELECT 'unused-files' AS kind, p_partkey AS file, NULL AS name
   UNION ALL SELECT DISTINCT 'unused-types', file, name::VARCHAR FROM x WHERE {_UNUSED_TYPE} AND {_OPEN})"""
 _REACH_PAIRS = _E + ", c(a, b) AS (SELECT src, dst FROM e UNION SELECT c.a, e.dst FROM c JOIN e ON e.src = c.b)"
 
+_LINKS = "l AS (SELECT DISTINCT src, dst FROM e)"
 ORACLES = {
+    "trace_export": f"""WITH RECURSIVE {_E}, {_LINKS}, u AS (SELECT p_partkey AS k FROM part WHERE string_split(p_name, ' ')[1] = 'red'), x AS (SELECT dst AS a, src AS b FROM l WHERE src IN (SELECT k FROM u) AND dst IN (SELECT k FROM u)),
+r(file) AS (SELECT b FROM x UNION SELECT x.b FROM r JOIN x ON x.a = r.file) SELECT file FROM r""",
+    "entry_star_targets": f"""WITH RECURSIVE {_E}, {_LINKS}, s AS (SELECT DISTINCT dst AS file FROM l WHERE src IN (SELECT p_partkey FROM part WHERE p_size = 1)), r(file) AS (SELECT file FROM s UNION SELECT l.dst FROM r JOIN l ON l.src = r.file)
+SELECT file, file IN (SELECT file FROM s) AS direct FROM r""",
+    "reexport_provenance": f"""WITH RECURSIVE {_E}, {_LINKS}, o AS (SELECT p_partkey AS file, p_brand AS name FROM part WHERE p_size = 50), r(file, name) AS (SELECT file, name FROM o UNION SELECT l.src, r.name FROM r JOIN l ON l.dst = r.file)
+SELECT r.file, r.name, min(l.dst) AS via FROM r JOIN l ON l.src = r.file JOIN r q ON q.file = l.dst AND q.name = r.name WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.file = r.file AND o.name = r.name) GROUP BY r.file, r.name""",
+    "star_symbols": f"WITH {_E}, {_LINKS} SELECT DISTINCT src AS file, '__star_' || dst || CASE WHEN p_type = 'PROMO' THEN '_as_' || p_brand ELSE '' END || '__' AS symbol FROM l JOIN part ON p_partkey = dst",
+    "import_hygiene": r"""WITH r AS (SELECT DISTINCT project, kind, file AS src, detail.specifier AS spec FROM findings_actual JOIN (SELECT DISTINCT run_id, project FROM runs) USING (run_id) WHERE detail.specifier IS NOT NULL AND file IS NOT NULL),
+k AS (SELECT DISTINCT project, spec AS name FROM r WHERE kind IN ('unused-deps', 'unused-dev-deps')),
+p AS (SELECT *, CASE WHEN spec <> '' AND NOT regexp_matches(spec, '^(\.|/|#|[A-Za-z][A-Za-z0-9+.\-]*:)') THEN regexp_extract(spec, '^(@[^/]+/[^/]+|[^@/][^/]*)', 1) END AS package FROM r)
+SELECT DISTINCT src, spec, CASE WHEN package IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.project = p.project AND k.name = p.package) THEN 'unlisted-dependencies' ELSE 'unresolved-imports' END AS rule FROM p""",
+    "python_import_resolution": r"""WITH s AS (SELECT file, b.content AS content FROM (SELECT file, max({'i': ingested_at, 'project': project, 'content': content}) AS b FROM files WHERE content IS NOT NULL GROUP BY file)),
+i AS (SELECT DISTINCT file, unnest(regexp_extract_all(content, '(?m)^from (\.+\w+) import', 1)) AS module FROM s WHERE ends_with(file, '.py')),
+b AS (SELECT file, module, array_to_string(list_slice(string_split(file, '/'), 1, len(string_split(file, '/')) - length(regexp_extract(module, '^\.+'))), '/') || '/' || regexp_replace(module, '^\.+', '') AS base FROM i),
+k AS (SELECT file, module, 0 AS rank, base || '.py' AS path FROM b UNION ALL SELECT file, module, 1, base || '/__init__.py' FROM b UNION ALL SELECT file, module, 2, base || '.pyi' FROM b),
+g AS (SELECT k.file, module, arg_min(path, rank) AS dst FROM k JOIN (SELECT DISTINCT file AS f FROM files) ON f = path GROUP BY ALL) SELECT b.file, b.module, g.dst FROM b LEFT JOIN g ON g.file = b.file AND g.module = b.module""",
     "unused_files": f"WITH RECURSIVE {_REACH} SELECT p_partkey AS file FROM part WHERE p_partkey NOT IN (SELECT node FROM r)",
     "trace_importers": f"WITH RECURSIVE {_E}, r(file) AS (SELECT src FROM e WHERE dst IN (SELECT p_partkey FROM part WHERE p_size = 50) UNION SELECT e.src FROM r JOIN e ON e.dst = r.file) SELECT file FROM r",
     "circular_dependencies": f"WITH RECURSIVE {_REACH_PAIRS}, s AS (SELECT x.a AS node, min(x.b) AS scc FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT scc, count(*) AS size, scc AS first FROM s GROUP BY scc",
