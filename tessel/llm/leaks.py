@@ -3,7 +3,8 @@
 Words of a document become numbers of the items' vocabulary; a running Karp-Rabin hash over ``least`` words finds the seeds that the document
 shares with an item. Seeds grow to maximal matches, and the longest match is marked again and again, each word of
 document and item in one tile at most, until no match of ``least`` words is left. So passages that were reordered or interrupted still
-cover their item. Every document is read whole and once per block of items; items form blocks of bounded size, so a block can be sent to all tasks
+cover their item. Of the seeds of a match only its first is formed, the one before which the words differ, and the match is extended from there word by
+word; so a text that repeats one run costs as much as it has matches, not seeds, and no occurrence is left out. Every document is read whole and once per block of items; items form blocks of bounded size, so a block can be sent to all tasks
 however many items there are.
 
 Defined results: null, empty and too short texts give nothing; equal texts under several ids are all reported; repeated rows change
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import defaultdict
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,10 @@ from tessel.session import materialize
 WORD = re.compile(r"\w+")
 LEAST = 15
 BLOCK_CHARS = 16_000_000
-REPEATS = 128
 _PIECE = 400_000
+_AHEAD = 64
+_TOGETHER = 1 << 15
+_SEEDS = 1 << 17
 
 
 def words_of(text: str) -> list[str]:
@@ -37,50 +40,149 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)] if "İ" in text else WORD.findall(text.lower())
 
 
-def tile(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Tiles (document position, item position, length), longest first, from seed positions of ``least`` equal words."""
-    runs = []
-    for d, i in sorted(seeds, key=lambda s: (s[0] - s[1], s[0])):
-        if runs and runs[-1][0] - runs[-1][1] == d - i and d <= runs[-1][0] + runs[-1][2] - least + 1:
-            runs[-1][2] = d + least - runs[-1][0]
-        elif np.array_equal(doc[d : d + least], item[i : i + least]):
-            runs.append([d, i, least])
-    heap = [(-n, d, i) for d, i, n in runs]
-    heapq.heapify(heap)
-    in_doc, in_item, tiles = np.zeros(len(doc), bool), np.zeros(len(item), bool), []
-    while heap:
-        n, d, i = heapq.heappop(heap)
-        n = -n
-        taken = in_doc[d : d + n] | in_item[i : i + n]
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers of each range from low to before high, one range after the other."""
+    n = high - low
+    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def matches(doc: np.ndarray, item: np.ndarray, d: np.ndarray, i: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal matches (document positions, item positions, lengths) of ``least`` words or more from seeds among which is the first of each match."""
+    first = (d == 0) | (i == 0) | (doc[d - 1] != item[i - 1])
+    d, i = d[first], i[first]
+    doc = np.lib.stride_tricks.sliding_window_view(np.r_[doc, np.zeros(_AHEAD, np.uint64)], _AHEAD)
+    item = np.lib.stride_tricks.sliding_window_view(np.r_[item, np.full(_AHEAD, ~np.uint64(0))], _AHEAD)  # the ends differ from each other
+    n = np.zeros(len(d), np.int64)
+    for k in range(0, len(d), _TOGETHER):
+        going = np.arange(k, min(k + _TOGETHER, len(d)))
+        while len(going):
+            differ = doc[d[going] + n[going]] != item[i[going] + n[going]]
+            whole = ~differ.any(1)
+            n[going] += np.where(whole, _AHEAD, differ.argmax(1))
+            going = going[whole]
+    long = n >= least
+    return d[long], i[long], n[long]
+
+
+class _Free:
+    """Stretches of at least ``least`` words that no tile has taken."""
+
+    def __init__(self, size: int, least: int):
+        self.least, self.starts, self.ends = least, [0], [size]
+
+    def take(self, at: int, n: int) -> None:
+        k = bisect_right(self.starts, at) - 1
+        rest = [(a, b) for a, b in ((self.starts[k], at), (at + n, self.ends[k])) if b - a >= self.least]
+        self.starts[k : k + 1], self.ends[k : k + 1] = [a for a, _ in rest], [b for _, b in rest]
+
+
+def tile(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]] | np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Tiles (document position, item position, length), longest first, from seed positions of ``least`` equal words; the first seed of each match is enough."""
+    return greedy(*matches(doc, item, *np.array(seeds, np.int64).reshape(-1, 2).T, least), len(doc), len(item), least)
+
+
+def greedy(d: np.ndarray, i: np.ndarray, n: np.ndarray, doc_words: int, item_words: int, least: int) -> list[tuple[int, int, int]]:
+    """Tiles from maximal matches: the longest, then the first in the document, then in the item."""
+    if len(d) == 1:
+        return [(int(d[0]), int(i[0]), int(n[0]))]
+    order = np.lexsort((i, d, -n))
+    d, i, n = d[order], i[order], n[order]
+    in_doc, in_item, tiles = np.zeros(doc_words, bool), np.zeros(item_words, bool), []
+    free_doc, free_item = _Free(doc_words, least), _Free(item_words, least)
+    parts: list[tuple[int, int, int]] = []  # of matches that tiles have cut
+
+    def whole() -> Iterator[tuple[int, int, int]]:
+        for k in range(0, len(d), _TOGETHER):
+            yield from zip((-n[k : k + _TOGETHER]).tolist(), d[k : k + _TOGETHER].tolist(), i[k : k + _TOGETHER].tolist())
+
+    rest = whole()
+    top = next(rest, None)
+    while (top or parts) and free_doc.starts and free_item.starts:
+        if parts and (top is None or parts[0] < top):
+            m, at, to = heapq.heappop(parts)
+        else:
+            (m, at, to), top = top, next(rest, None)
+        m = -m
+        taken = in_doc[at : at + m] | in_item[to : to + m]
         if not taken.any():
-            in_doc[d : d + n] = in_item[i : i + n] = True
-            tiles.append((d, i, n))
+            in_doc[at : at + m] = in_item[to : to + m] = True
+            free_doc.take(at, m)
+            free_item.take(to, m)
+            tiles.append((at, to, m))
             continue
         edges = np.flatnonzero(np.diff(np.r_[True, taken, True].astype(np.int8)))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
             if b - a >= least:
-                heapq.heappush(heap, (a - b, d + a, i + a))
+                heapq.heappush(parts, (a - b, at + a, to + a))
     return tiles
 
 
 class Items:
-    """A block of items as numbers, with the place of every run of ``least`` words."""
+    """A block of items as numbers, with the place of every run of ``least`` words, ordered by run and the word before it (0: none)."""
 
     def __init__(self, rows: list[tuple[int, str]], least: int):
         self.vocabulary: dict[str, int] = {}
-        self.items: dict[int, np.ndarray] = {}
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.items: list[tuple[int, np.ndarray]] = []
         number = self.vocabulary.setdefault
         for key, text in rows:
             words = words_of(text)
             if len(words) >= least:
-                self.items[key] = x = np.array([number(w, len(self.vocabulary) + 1) for w in words], np.uint64)
-                times: dict[int, int] = defaultdict(int)
-                for p, h in enumerate(window_hash(mix(x), least).tolist()):
-                    times[h] += 1
-                    if times[h] <= REPEATS:
-                        self.places[h].append((key, p))
-        self.hashes = np.array(sorted(self.places), np.uint64)
+                self.items.append((key, np.array([number(w, len(self.vocabulary) + 1) for w in words], np.uint64)))
+        stop = np.array([~np.uint64(0)])
+        self.words = np.concatenate([stop[:0], *(part for _, x in self.items for part in (x, stop))])
+        self.begin = np.cumsum([0, *(len(x) + 1 for _, x in self.items)])
+        runs = [len(x) - least + 1 for _, x in self.items]
+        owner = np.repeat(np.arange(len(runs)), runs)
+        place = _ranges(np.zeros(len(runs), np.int64), np.array(runs, np.int64))
+        h = np.concatenate([np.empty(0, np.uint64), *(window_hash(mix(x), least) for _, x in self.items)])
+        before = np.concatenate([np.empty(0, np.int64), *(np.r_[0, x[: len(x) - least].astype(np.int64)] for _, x in self.items)])
+        order = np.lexsort((before, h))
+        self.owner, self.place = owner[order].astype(np.int32), place[order].astype(np.int32)
+        self.hashes, slot, times = np.unique(h[order], return_inverse=True, return_counts=True)
+        self.at = np.r_[0, np.cumsum(times)]
+        self.base = len(self.vocabulary) + 1
+        self.key = slot * self.base + before[order]
+
+    def starts(self, slot: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each run of a document the two ranges of places with another word before them."""
+        a, b, same = self.at[slot], self.at[slot + 1], slot * self.base + before
+        lo = np.searchsorted(self.key, same)
+        return a, lo, np.where(before == 0, lo, np.searchsorted(self.key, same, "right")), b
+
+    def by_item(self, p: np.ndarray, slot: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each item's number with the document's and the item's positions of seeds before which the words differ, for a document of very many; p, slot, before: of its runs."""
+        by = np.argsort(slot, kind="stable")
+        p, slot, before = p[by], slot[by], before[by]
+        present = np.unique(slot)
+        places = _ranges(self.at[present], self.at[present + 1])
+        owner = self.owner[places]
+        places = places[np.argsort(owner, kind="stable")]
+        for own in np.split(places, np.cumsum(np.unique(owner, return_counts=True)[1])[:-1]):
+            keys = self.key[own]
+            slots = keys // self.base
+            mine = np.unique(slots)
+            hits = _ranges(np.searchsorted(slot, mine), np.searchsorted(slot, mine, "right"))
+            a, b = np.searchsorted(slots, slot[hits]), np.searchsorted(slots, slot[hits], "right")
+            same = slot[hits] * self.base + before[hits]
+            lo, hi = np.searchsorted(keys, same), np.searchsorted(keys, same, "right")
+            hi = np.where(before[hits] == 0, lo, hi)
+            pairs = [(np.repeat(p[hits], y - x), self.place[own[_ranges(x, y)]]) for x, y in ((a, lo), (hi, b))]
+            yield int(self.owner[own[0]]), *map(np.concatenate, zip(*pairs))
+
+
+def _several(block: Items, x: np.ndarray, at: np.ndarray, doc: np.ndarray, p: np.ndarray, a: np.ndarray, lo: np.ndarray, hi: np.ndarray, b: np.ndarray, least: int) -> Iterator[tuple]:
+    """(document, item, and their maximal matches) of several documents at once: x has their words one after the other."""
+    hits = np.r_[np.repeat(np.arange(len(p)), lo - a), np.repeat(np.arange(len(p)), b - hi)]
+    places = np.r_[_ranges(a, lo), _ranges(hi, b)]
+    owner = block.owner[places]
+    d, i, n = matches(x, block.words, p[hits], block.begin[owner] + block.place[places], least)
+    docs, items = np.searchsorted(at, d, "right") - 1, np.searchsorted(block.begin, i, "right") - 1
+    order = np.lexsort((items, docs))
+    docs, items, n = docs[order], items[order], n[order]
+    d, i = d[order] - at[docs], i[order] - block.begin[items]
+    edges = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (items[1:] != items[:-1]), True]) if len(d) else np.zeros(1, int)
+    for f, t in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(docs[f]), int(items[f]), d[f:t], i[f:t], n[f:t]
 
 
 def _search(block: Items, least: int):
@@ -94,19 +196,26 @@ def _search(block: Items, least: int):
         h = window_hash(mix(x), least)[inside]
         slot = np.minimum(np.searchsorted(block.hashes, h), len(block.hashes) - 1)
         hit = block.hashes[slot] == h
-        inside, h = inside[hit], h[hit]
+        inside, slot = inside[hit], slot[hit]
+        before = np.r_[np.uint64(0), x][inside].astype(np.int64)
         doc = np.searchsorted(at, inside, "right") - 1
-        seeds: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        times: dict[tuple[int, int], int] = defaultdict(int)
-        for n, p, v in zip(doc.tolist(), (inside - at[doc]).tolist(), h.tolist()):
-            times[n, v] += 1
-            if times[n, v] <= REPEATS:
-                for key, q in block.places[v]:
-                    seeds[n, key].append((p, q))
-        for (n, key), pairs in seeds.items():
-            tiles = tile(parts[n], block.items[key], pairs, least)
-            if tiles:
-                yield ids[n], key, len(tiles), max(t[2] for t in tiles), sum(t[2] for t in tiles), len(block.items[key])
+        a, lo, hi, b = block.starts(slot, before)
+        total = np.cumsum(np.bincount(doc, lo - a + b - hi, len(parts)).astype(np.int64))
+        n = 0
+        while n < len(parts):  # as many documents at once as have _SEEDS seeds, one at least
+            to = max(n + 1, int(np.searchsorted(total, (total[n - 1] if n else 0) + _SEEDS, "right")))
+            own = slice(*np.searchsorted(doc, [n, to]))
+            if to == n + 1:
+                runs = block.by_item(inside[own] - at[n], slot[own], before[own]) if own.start < own.stop else ()
+                found = ((n, k, *matches(parts[n], block.items[k][1], d, i, least)) for k, d, i in runs)
+            else:
+                found = _several(block, x, at, doc[own], inside[own], a[own], lo[own], hi[own], b[own], least)
+            for m, k, d, i, size in found:
+                if len(d):
+                    key, item = block.items[k]
+                    tiles = greedy(d, i, size, len(parts[m]), len(item), least)
+                    yield ids[m], key, len(tiles), max(t[2] for t in tiles), sum(t[2] for t in tiles), len(item)
+            n = to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = block.vocabulary.get

@@ -108,3 +108,46 @@ def test_periodic_texts_stay_small(spark):
     d = spark.createDataFrame([(1, "a " * 200_000), (2, "x " + "c b " * 50_000), (3, "a " * 14)], "doc_id bigint, text string")
     got = leaks.leaks(i, d, F.col("item_id"), F.col("text"), F.col("doc_id"), F.col("text"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (2, 2)}
+
+
+def brute_tiles(doc, item, least):
+    """Greedy string tiling over every diagonal, word by word."""
+    doc, item, tiles = list(doc), list(item), []
+    while True:
+        best = None
+        for d in range(len(doc)):
+            for i in range(len(item)):
+                n = 0
+                while d + n < len(doc) and i + n < len(item) and doc[d + n] is not None and doc[d + n] == item[i + n]:
+                    n += 1
+                if n >= least and (best is None or (-n, d, i) < best):
+                    best = (-n, d, i)
+        if best is None:
+            return tiles
+        n, d, i = -best[0], best[1], best[2]
+        tiles.append((d, i, n))
+        doc[d : d + n] = item[i : i + n] = [None] * n
+
+
+def test_tiles_of_repetitive_texts_equal_brute_force(spark):
+    rng = random.Random(5)
+    items, docs = [], []
+    for n in range(12):
+        letters = "ab" if n % 2 else "abc"
+        items.append((n, " ".join(rng.choice(["a a a", "a b", *letters]) for _ in range(rng.randrange(4, 22)))))
+        docs.append((n, " ".join(rng.choice(["a a a a", "a b", "z", *letters]) for _ in range(rng.randrange(4, 30)))))
+    i, d = spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.tiles, r.longest, r.covered) for r in leaks.leaks(i, d, F.col("item_id"), F.col("text"), F.col("doc_id"), F.col("text"), 3).collect()}
+    for dn, dt in docs:
+        for n, it in items:
+            t = brute_tiles(dt.split(), it.split(), 3)
+            assert got.get((dn, n)) == ((len(t), max(x[2] for x in t), sum(x[2] for x in t)) if t else None)
+
+
+def test_every_occurrence_of_a_repeated_run_counts(spark):
+    passage = " ".join(f"p{n}" for n in range(6)) + " r1 r2 r3 r4 r5 r6 r7 r8 " + " ".join(f"q{n}" for n in range(6))
+    items = [(1, "a " * 3000), (2, passage)]
+    docs = [(1, "a " * 200_000), (2, " ".join(f"r1 r2 r3 r4 r5 r6 r7 r8 x{n}" for n in range(300)) + " " + passage)]
+    i, d = spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = leaks.leaks(i, d, F.col("item_id"), F.col("text"), F.col("doc_id"), F.col("text"), 8).collect()
+    assert {(r.doc_id, r.item_id, r.tiles, r.longest, r.covered) for r in got} == {(1, 1, 1, 3000, 3000), (2, 2, 1, 20, 20)}
