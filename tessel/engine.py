@@ -30,6 +30,11 @@ ENTRY_GLOBS = [
 ]
 ALIASES = {"~~/": "", "@@/": "", "~/": "", "@/": "", "#internal/": "internal/"}
 NODE_BUILTINS = "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls trace_events tty url util v8 vm wasi worker_threads zlib".split()
+# fixed values: words that are no names, so renaming keeps them
+CLONE_KEYWORDS = {
+    "py": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda match nonlocal not or pass raise return try while with yield case type".split(),
+    "ts": "function class let const var if else for while do switch case default break continue return try catch finally throw new delete typeof instanceof in of import export from as async await yield this super null undefined true false void interface type enum extends implements readonly public private protected static abstract override declare module namespace".split(),
+}
 RULES = [
     "boundary-violations", "circular-dependencies", "code-duplication", "cognitive-complexity", "complexity-hotspot", "duplicate-exports", "private-type-leak", "unlisted-dependencies", "unresolved-imports", "unused-class-members",
     "unused-deps", "unused-dev-deps", "unused-enum-members", "unused-exports", "unused-files", "unused-optional-deps", "unused-types",
@@ -179,12 +184,13 @@ class Codebase:
             return self._finding(rows, kind, F.concat("name", F.lit(f" has {metric} complexity "), metric, F.lit(f" (threshold {threshold})")), "start_off", "name")
         if kind == "code-duplication":
             found = self.clone_families()
-            return self._finding(found, kind, F.concat(F.lit("type-1 clone of "), "length", F.lit(" tokens in "), "members", F.lit(" places")), None, None)
+            return self._finding(found, kind, F.concat(F.lit("type-"), "type", F.lit(" clone of "), "length", F.lit(" tokens in "), "members", F.lit(" places")), None, None)
         raise ValueError(kind)
 
     def clone_families(self) -> DataFrame:
+        """Families of all clone types, merged."""
         toks = self.sources.filter("content is not null").select("file", clones.tokens(F.col("content")).alias("toks"))
-        return clones.families(clones.grams(toks, self.config.min_tokens), self.config.min_tokens)
+        return clones.find_clones(toks, self.config.min_tokens, CLONE_KEYWORDS)
 
     def enabled(self, mode: str) -> list[str]:
         return [r for r in RULES if r in MODES[mode] and self.config.rules.get(r, "error") != "off" and (r != "boundary-violations" or self.config.zones)]

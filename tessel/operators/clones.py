@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions.rolling import MULTIPLIER, mix, window_hash
+from tessel.session import materialize
 
 TOKEN = r"[A-Za-z_]\w*|\d+|[^\s\w]"
 
@@ -84,10 +85,14 @@ def occurrences(positions: DataFrame, found: DataFrame, m: int) -> DataFrame:
     return rows.withColumn("_n", n).filter("_n > 1").drop("_n")
 
 
-def subsumed(spans: DataFrame) -> DataFrame:
-    """(id) of families every occurrence of which lies inside an occurrence of one other, longer family; spans(id, length, file, lo, hi)."""
-    a, b = spans, spans.select(F.col("id").alias("by"), F.col("length").alias("by_length"), "file", F.col("lo").alias("by_lo"), F.col("hi").alias("by_hi"))
-    inside = a.join(b, "file").filter("id <> by and length < by_length and by_lo <= lo and hi <= by_hi")
+def subsumed(spans: DataFrame, ranked: bool = False) -> DataFrame:
+    """(id) of families every occurrence of which lies inside an occurrence of one other, longer family; spans(id, length, file, lo, hi).
+
+    ranked: or inside one of as long a family of a lower ``rank``, a further column."""
+    rank = ["rank"] if ranked else []
+    a, b = spans, spans.select(F.col("id").alias("by"), F.col("length").alias("by_length"), "file", F.col("lo").alias("by_lo"), F.col("hi").alias("by_hi"), *(F.col(r).alias("by_rank") for r in rank))
+    longer = "(length < by_length or length = by_length and by_rank < rank)" if ranked else "length < by_length"
+    inside = a.join(b, "file").filter(f"id <> by and {longer} and by_lo <= lo and hi <= by_hi")
     covered = inside.groupBy("id", "by").agg(F.count_distinct("file", "lo").alias("n"))
     total = spans.groupBy("id").agg(F.count_distinct("file", "lo").alias("total"))
     return covered.join(total, "id").filter("n = total").select("id").distinct()
@@ -119,61 +124,99 @@ def _top(toks: list[str], i: int, end: int, wanted: str) -> int:
     return -1
 
 
-def structural(toks: list[str], keywords: set[str]) -> list[str]:
-    """Tokens after two rewrites and renaming: ``return c ? a : b;`` as two conditional returns, a counted ``while`` as a ``for``."""
-    out, i = [], 0
+def _returns(toks: list[str], at: list[int]) -> tuple[list[str], list[int]]:
+    """``return c ? a : b;`` as two conditional returns; new tokens are at the ``return``."""
+    out, where, i = [], [], 0
     while i < len(toks):
         if toks[i] == "return":
             q = _top(toks, i + 1, len(toks), "?")
             c = _top(toks, q + 1, len(toks), ":") if q > 0 else -1
             e = _top(toks, c + 1, len(toks), ";") if c > 0 else -1
             if e > 0:
+                r = at[i]
                 out += ["if", "(", *toks[i + 1 : q], ")", "return", *toks[q + 1 : c], ";", "return", *toks[c + 1 : e], ";"]
+                where += [r, r, *at[i + 1 : q], r, r, *at[q + 1 : c], r, r, *at[c + 1 : e], r]
                 i = e + 1
                 continue
+        out.append(toks[i])
+        where.append(at[i])
+        i += 1
+    return out, where
+
+
+def _loops(toks: list[str], at: list[int]) -> tuple[list[str], list[int]]:
+    """A counted ``while`` as a ``for``; new tokens are at the first of the initial statement."""
+    out, where, i = [], [], 0
+    while i < len(toks):
         if toks[i] == "while" and i + 1 < len(toks) and toks[i + 1] == "(" and out and out[-1] == ";":
             t = _closing(toks, i + 1, "(", ")")
             b = _closing(toks, t + 1, "{", "}") if t > 0 and t + 1 < len(toks) and toks[t + 1] == "{" else -1
             if b > 0 and toks[b - 1] == ";":
-                body = toks[t + 2 : b]
-                cut = max((k for k in range(len(body) - 1) if body[k] in (";", "}")), default=-1)
+                cut = max((k for k in range(t + 2, b - 1) if toks[k] in (";", "}")), default=t + 1)
                 start = max((k for k in range(len(out) - 1) if out[k] in (";", "{", "}")), default=-1)
-                init, step = out[start + 1 : -1], body[cut + 1 : -1]
+                init, step = out[start + 1 : -1], toks[cut + 1 : b - 1]
                 if init and step:
-                    del out[start + 1 :]
-                    out += ["for", "(", *init, ";", *toks[i + 2 : t], ";", *step, ")", "{", *body[: cut + 1], "}"]
+                    init_at, r = where[start + 1 : -1], where[start + 1]
+                    del out[start + 1 :], where[start + 1 :]
+                    out += ["for", "(", *init, ";", *toks[i + 2 : t], ";", *step, ")", "{", *toks[t + 2 : cut + 1], "}"]
+                    where += [r, r, *init_at, r, *at[i + 2 : t], r, *at[cut + 1 : b - 1], r, r, *at[t + 2 : cut + 1], r]
                     i = b + 1
                     continue
         out.append(toks[i])
+        where.append(at[i])
         i += 1
-    return ["IDENT" if _IDENT.fullmatch(t) and t not in keywords else t for t in out]
+    return out, where
 
 
-def structural_tokens(files: DataFrame, keywords: list[str]) -> DataFrame:
-    """files(file, toks) with rewritten tokens; the rewrites need a stack, so they run in Arrow batches."""
-    known = set(keywords)
+def rewritten(toks: list[str], keywords: set[str]) -> tuple[list[str], list[int]]:
+    """Tokens after two rewrites and renaming, first the returns, then the loops, and the token of the text that each stands at."""
+    out, where = _loops(*_returns(toks, list(range(len(toks)))))
+    return ["IDENT" if _IDENT.fullmatch(t) and t not in keywords else t for t in out], where
+
+
+def structural(toks: list[str], keywords: set[str]) -> list[str]:
+    """Tokens after two rewrites and renaming: ``return c ? a : b;`` as two conditional returns, a counted ``while`` as a ``for``."""
+    return rewritten(toks, keywords)[0]
+
+
+def structural_tokens(files: DataFrame, keywords: list[str] | dict[str, list[str]]) -> DataFrame:
+    """(file, toks, at) with rewritten tokens; at: where they stand in the text, null if nothing was rewritten. The rewrites need a stack, so they run in Arrow batches."""
 
     def run(batches):
         for batch in batches:
-            yield batch.assign(toks=[structural(list(t), known) for t in batch["toks"]])
+            rows = [rewritten(list(t), set(_kept(f, keywords))) if t is not None else (None, None) for f, t in zip(batch["file"], batch["toks"])]
+            same = [at is None or at == list(range(len(t))) for (_, at), t in zip(rows, batch["toks"])]
+            yield batch[["file"]].assign(toks=[t for t, _ in rows], at=[None if s else at for (_, at), s in zip(rows, same)])
+
+    return files.select("file", "toks").mapInPandas(run, "file string, toks array<string>, at array<int>")
+
 
-    return files.select("file", "toks").mapInPandas(run, "file string, toks array<string>")
+def _kept(file: str, keywords: list[str] | dict[str, list[str]]) -> list[str]:
+    return keywords if isinstance(keywords, list) else keywords["py" if file.endswith(".py") else "ts"]
 
 
-def find_clones(files: DataFrame, m: int, keywords: list[str], types: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
-    """(type, file, pos, members, length) of the families of all types, without those that a longer family of the same or another type covers entirely.
+def find_clones(files: DataFrame, m: int, keywords: list[str] | dict[str, list[str]], types: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
+    """(type, file, pos, members, length) of the families of all types, without those that a longer family, or as long a one of a lower type, covers entirely.
 
-    Positions of type 4 count rewritten tokens, so type 4 is only set against itself. files(file, toks)."""
-    kinds = {1: files, 2: files.select("file", normalised(F.col("toks"), keywords).alias("toks")), 4: structural_tokens(files, keywords)}
-    found, spans = None, None
+    files(file, toks); keywords: one list, or one each for "py" and "ts". members counts the occurrences that do not overlap. Positions count the tokens of
+    the text; length those that are compared, of type 4 after the rewrites. Type 3 is type 2 under another name, so type 2 covers it always."""
+    if isinstance(keywords, list):
+        renamed = normalised(F.col("toks"), keywords)
+    else:
+        renamed = F.when(F.endswith("file", F.lit(".py")), normalised(F.col("toks"), keywords["py"])).otherwise(normalised(F.col("toks"), keywords["ts"]))
+    spans = None
     for t in types:
-        positions = grams(kinds[t], m)
-        fam = families(positions, m)
-        ident = F.concat_ws("/", F.lit(t), "file", "pos")
-        rows = fam.select(F.lit(t).alias("type"), ident.alias("id"), "file", "pos", "members", "length")
-        at = F.concat_ws("/", F.lit(t), "family_file", "family_pos")
-        occ = occurrences(positions, fam, m).select(at.alias("id"), "length", F.concat_ws("|", F.lit("4" if t == 4 else "1"), "file").alias("file"), F.col("pos").alias("lo"), (F.col("pos") + F.col("length")).alias("hi"))
-        found, spans = (rows, occ) if found is None else (found.unionByName(rows), spans.unionByName(occ))
-    # families whose occurrences all overlap one another have fewer than two left
-    alive = spans.select("id").distinct()
-    return found.join(alive, "id", "left_semi").join(subsumed(spans), "id", "left_anti").select("type", "file", "pos", "members", "length")
+        toks = files if t == 1 else files.select("file", renamed.alias("toks")) if t == 2 else materialize(structural_tokens(files, keywords), "structural")
+        times = F.count("*").over(Window.partitionBy("key"))  # only repeated runs can be in a family: the joins below see no others
+        positions = materialize(grams(toks, m).withColumn("times", times).filter("times > 1").drop("times"), "grams")
+        occ = occurrences(positions, families(positions, m), m)
+        occ = occ.select(F.lit(t).alias("rank"), F.concat_ws("/", F.lit(t), "family_file", "family_pos").alias("id"), "length", "file", F.col("pos").alias("lo"), (F.col("pos") + F.col("length") - 1).alias("hi"))
+        if t == 4:
+            moved = toks.filter("at is not null").select("file", F.posexplode("at").alias("k", "at"))
+            for end in ("lo", "hi"):
+                occ = occ.join(moved.select("file", F.col("k").alias(end), "at"), ["file", end], "left").withColumn(end, F.coalesce("at", end)).drop("at")
+        occ = occ.select("rank", "id", "length", "file", "lo", (F.col("hi") + 1).alias("hi"))
+        spans = occ if spans is None else spans.unionByName(occ)
+    spans = materialize(spans, "clones")
+    found = spans.groupBy("id").agg(F.first("rank").alias("type"), F.min(F.struct("file", "lo")).alias("b"), F.count("*").alias("members"), F.first("length").alias("length"))
+    return found.join(subsumed(spans, True), "id", "left_anti").select("type", "b.file", F.col("b.lo").alias("pos"), "members", "length")

@@ -58,6 +58,11 @@ def findings_counts(spark, d):
     return base.counts(base.findings("dead-code-only"), "dead-code-only")
 
 
+def clones_merged(spark, d):
+    """The families of all clone types, without those that a stronger one covers."""
+    return codebase(spark, d).clone_families().select("type", "file", F.col("pos").cast("bigint").alias("pos"), "members", F.col("length").cast("bigint").alias("length"))
+
+
 def codebase_health(spark, d):
     return codebase(spark, d).health()
 
@@ -65,6 +70,7 @@ def codebase_health(spark, d):
 QUERIES = {
     "inventory_declarations": inventory_declarations, "inventory_imports": inventory_imports, "inventory_usages": inventory_usages, "function_complexity": function_complexity, "file_complexity": file_complexity,
     "module_edges": module_edges, "entry_points": entry_points, "findings_all": findings_all, "findings_counts": findings_counts, "codebase_health": codebase_health,
+    "clones_merged": clones_merged,
 }
 
 _FILES = "f AS (SELECT file, b.project AS project, b.content AS content FROM (SELECT file, max({'i': ingested_at, 'project': project, 'content': content}) AS b FROM files GROUP BY file))"

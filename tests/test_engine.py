@@ -114,6 +114,15 @@ def test_clone_families_match_brute_force(spark):
         assert got == want, case
 
 
+def test_code_duplication_finds_all_clone_types(spark):
+    same = "export function f(a) { const b = a * 2; return b + a; }"
+    ternary, branches = "function g(x, y) { return x > y ? x * 3 : y * 4; }", "function h(p, q) { if (p > q) return p * 3; return q * 4; }"
+    texts = {"1a": same, "1b": same, "2a": same.replace("a", "z"), "4a": ternary, "4b": branches}
+    files = spark.createDataFrame([("p", "/w", f"/w/{n}.ts", t) for n, t in texts.items()], "project string, root string, file string, content string")
+    got = {(r.file, r.message) for r in Codebase(files, config=config.Config(min_tokens=20)).rule("code-duplication").collect()}
+    assert got == {("/w/1a.ts", "code-duplication: type-1 clone of 20 tokens in 2 places"), ("/w/1a.ts", "code-duplication: type-2 clone of 20 tokens in 3 places"), ("/w/4a.ts", "code-duplication: type-4 clone of 25 tokens in 2 places")}
+
+
 def test_extract_is_tolerant():
     for text in ("", "export", "import {", "class {", "function (", "const", "if (", "x = `${", "enum A {", "@", "export default", "interface", "type X ="):
         assert extract("a.ts", text)["failed"] is False
