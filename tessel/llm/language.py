@@ -76,12 +76,11 @@ def plain(clean: str) -> str:
 
 
 def windows(cleans: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of each window, number of its sentence); the last window of a long sentence ends with it."""
+    """(bytes of each window, number of its sentence); the windows cover the sentence, the last one of a long sentence ends with it."""
     rows, owner = [], []
     for n, clean in enumerate(cleans):
         data = f" {clean} ".encode()
-        starts = range(0, max(1, len(data) - WINDOW // 2), WINDOW) if len(data) > WINDOW else (0,)
-        for s in starts:
+        for s in range(0, len(data), WINDOW):
             s = min(s, max(0, len(data) - WINDOW))
             rows.append(data[s : s + WINDOW].ljust(WINDOW, b"\0"))
             owner.append(n)

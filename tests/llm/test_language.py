@@ -90,3 +90,16 @@ def test_operator_and_labels(spark):
     assert by == {900: ("en", "de"), 901: (None, "ru"), None: (None, "en"), 905: ("en", "en")}
     assert all(r.label == r.lang for r in got if r.id is not None and r.id < 900)
     assert language.detect(df.limit(0), F.col("doc_id"), F.col("text"), F.col("lang"), codes).count() == 0
+
+
+def test_windows_cover_every_byte():
+    for size in (1, 62, 63, 70, 94, 95, 126, 127, 158, 300):
+        clean = "".join(chr(33 + n % 90) for n in range(size))
+        x, owner = language.windows(["ab cd", clean])
+        data, at = f" {clean} ".encode(), 0
+        for row in x[owner == 1]:
+            piece = row.tobytes().rstrip(b"\0")
+            found = data.find(piece, max(0, at - language.WINDOW))
+            assert 0 <= found <= at
+            at = found + len(piece)
+        assert at == len(data), size
