@@ -338,6 +338,8 @@ _PY_FORMAT = r"(?:[fF][rR]?|[rR][fF])(?:'''|\"\"\"|'|\")"
 # a line end with the blank and comment lines after it, and the indentation of the next line
 _PY_LINE = r"(?:[ \t\f]*(?:#[^\n]*)?\n)+[ \t\f]*(?:#[^\n]*)?"
 _PY_FAST = re.compile(rf"[ \t\f]+|\\\n|({_PY_LINE}|#[^\n]*|{_PY_STRING}|{_PY_SIMPLE_FORMAT}|{_PY_FORMAT}|{_PY_NAME}|{_PY_NUMBER}|{_PY_PUNCT}|[\s\S])")
+# the interpreter's own limits of nested formatted strings, and of fields nested in format specifications
+_PY_STRINGS, _PY_FIELDS = 149, 3
 _PY_COMPARE = {"<", ">", "<=", ">=", "==", "!="}
 _PY_OPERATOR = {"//", "%", "<<", ">>", "&", "^"}
 _PY_AUGMENTED = {"+=", "-=", "*=", "/=", "//=", "%=", "@=", "&=", "|=", "^=", ">>=", "<<=", "**="}
@@ -354,7 +356,7 @@ class PythonLexer:
         # string prefixes are settled by the last character
         self.quoted = "'\""
 
-    def _field(self, text: str, pos: int, out: list[str], quote: str, depth: int) -> int:
+    def _field(self, text: str, pos: int, out: list[str], quote: str, spec: int, depth: int) -> int:
         """The codes of one replacement field after its brace; the position after it, or -1."""
         t, need = self.t, []
         out.append(t["{"])
@@ -376,7 +378,7 @@ class PythonLexer:
                 continue
             if not need and token[0] == ":":
                 out.append(t[":"])
-                pos = self._literal(text, pos + 1, out, quote, True, depth + 1)
+                pos = self._literal(text, pos + 1, out, quote, spec + 1, depth)
                 if pos < 0:
                     return -1
                 out.append(t["}"])
@@ -395,9 +397,9 @@ class PythonLexer:
                 return -1
         return -1
 
-    def _literal(self, text: str, pos: int, out: list[str], quote: str, spec: bool, depth: int, raw: bool = False) -> int:
-        """The literal parts of a formatted string up to its quotes (or, of a format specification, up to its brace)."""
-        if depth > 6:
+    def _literal(self, text: str, pos: int, out: list[str], quote: str, spec: int, depth: int, raw: bool = False) -> int:
+        """The literal parts of a formatted string up to its quotes (or, of a format specification, up to its brace). spec, depth: levels of specifications and strings."""
+        if depth > _PY_STRINGS:
             return -1
         n, size = len(text), len(quote)
         while pos < n:
@@ -415,7 +417,7 @@ class PythonLexer:
                 else:
                     pos += 1 if text[pos + 1 : pos + 2] in ("{", "}") else 2
             elif c == "{" and not (not spec and text.startswith("{{", pos)):
-                pos = self._field(text, pos + 1, out, quote, depth)
+                pos = self._field(text, pos + 1, out, quote, spec, depth) if spec < _PY_FIELDS else -1
                 if pos < 0:
                     return -1
             elif c == "{":
@@ -440,7 +442,7 @@ class PythonLexer:
             if re.fullmatch(_PY_FORMAT, token):
                 out.append(t["FSTART"])
                 quote = re.search(r"'+|\"+", token)[0]
-                pos = self._literal(text, m.end(), out, quote, False, depth + 1, "r" in token.lower())
+                pos = self._literal(text, m.end(), out, quote, 0, depth + 1, "r" in token.lower())
                 if pos < 0:
                     return -1
                 out.append(t["FEND"])

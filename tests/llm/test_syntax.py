@@ -112,3 +112,15 @@ def test_operator(spark):
     got = sorted(tuple(r) for r in syntax.check_syntax(df, F.col("file"), F.col("content"), F.col("project")).select("file", "grp", "valid").collect())
     assert got == [("/w/a.ts", "p", True), ("/w/b.py", "p", False), ("/w/c.py", None, True)]
     assert syntax.check_syntax(df.limit(0), F.col("file"), F.col("content"), F.col("project")).count() == 0
+
+
+def test_nested_formatted_strings_as_deep_as_the_interpreter(parser):
+    strings = lambda k: "x = " + "f'{" * k + "1" + "}'" * k + "\n"
+    fields = lambda k: "x = f'" + "{1:" * (k - 1) + "{1}" + "}" * (k - 1) + "'\n"
+    for text in [*map(strings, (6, 7, 20, 149, 150)), *map(fields, (1, 2, 3, 4, 5)), "x = f'{1:{1:{1:x}}}'\n", "x = f'{1:{f\"{1:{1:{1}}}\"}}'\n"]:
+        try:
+            ast.parse(text)
+            right = True
+        except SyntaxError:
+            right = False
+        assert (parser.first_error("py", text) is None) == right, text
