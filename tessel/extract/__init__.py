@@ -19,7 +19,6 @@ decls array<struct<{', '.join(x.replace(' ', ': ', 1) for x in DECL.split(', '))
 imports array<struct<kind: string, source: string, resolvable: boolean, start_off: int, end_off: int, line: int, names: array<string>>>,
 usages array<struct<kind: string, name: string, off: int>>,
 functions array<struct<name: string, cyclomatic: int, cognitive: int, mi: double, loc: int, start_off: int, end_off: int, line: int>>"""
-FUNCTION_CAP = 1000
 
 
 def extract(file: str, content: str | None) -> dict:
@@ -38,7 +37,6 @@ def inventory(files: DataFrame) -> DataFrame:
             rows = []
             for project, file, content in zip(batch["project"], batch["file"], batch["content"]):
                 got = extract(file, content)
-                got["functions"] = got["functions"][:FUNCTION_CAP]
                 rows.append({"project": project, "file": file, "lang": "py" if file.endswith((".py", ".pyi")) else "ts", **got})
             yield pd.DataFrame(rows, columns=["project", "file", "lang", "failed", "decls", "imports", "usages", "functions"])
 

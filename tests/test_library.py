@@ -105,3 +105,12 @@ def test_plugins(tmp_path):
     assert b.active(set(), {"py-lib"}, ["src/a.py"]) and not b.active(set(), {"py-lib"}, ["a.ts"])
     with pytest.raises(ValueError):
         packages.Plugin.of({"enablers": []})
+
+
+def test_files_of_many_functions_keep_all(spark):
+    from tessel.extract import exploded, file_metrics, inventory
+
+    text = "".join(f"def f{n}(a):\n    return a\n" for n in range(1500))
+    rows = inventory(spark.createDataFrame([("p", "/w/p/a.py", text)], "project string, file string, content string"))
+    assert exploded(rows, "functions").count() == 1500
+    assert file_metrics(rows).collect()[0].cyclomatic == 1500
