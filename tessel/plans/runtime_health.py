@@ -115,13 +115,13 @@ def rule_priority(spark, d):
 
 
 def imports(spark, d):
-    """Relative script imports, by the text of the statement."""
+    """Script imports by the text of the statement: one pattern, the one of the SQL; the extraction's imports have all forms."""
     spec = F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^import [^'\"\n]* from '([^'\n]+)'"), F.lit(1))).alias("spec")
     return sources(spark, d).select("file", "project", spec).distinct()
 
 
 def import_resolution(spark, d):
-    """Every relative import with the file it means, or null."""
+    """Every relative import that the pattern of ``imports`` finds, with the file it means, or null."""
     rows = imports(spark, d).filter(F.col("spec").rlike(r"^\.\.?/"))
     base = fold(F.concat(dirname(F.col("file")), F.lit("/"), F.col("spec")))
     return resolve(rows, table(spark, d, "files").select("file"), script_candidates(base)).select("file", "spec", "dst")
