@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessel.llm import neardup, spans
@@ -87,8 +89,8 @@ def test_near_duplicates_match_brute_force(spark):
     rows += [(f"b{n}", " ".join(boiler + [rng.choice(vocabulary) for _ in range(12)])) for n in range(40)]
     rows += [("same1", rows[0][1]), ("same2", rows[0][1].replace(" ", "  ")), (rows[5][0], rows[5][1]), ("empty", ""), ("null", None)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "file string, content string, id int")
-    for cap in (64, 3):
-        found = neardup.NearDuplicates(df, F.col("file"), F.col("content"), cap=cap)
+    for cap, big in ((64, 100_000), (3, 100_000), (10, 12)):
+        found = neardup.NearDuplicates(df, F.col("file"), F.col("content"), cap=cap, big=big)
         got = {tuple(r) for r in found.pairs().collect()}
         want = near(rows, 0.6, 30)
         assert got <= want and len(want - got) <= len(want) // 200
@@ -107,6 +109,35 @@ def test_near_duplicates_match_brute_force(spark):
         assert groups[f] == (min(seen), len(near_))
 
 
+def test_trie_matches_follow_the_definition():
+    rng = np.random.default_rng(4)
+    for cap in (2, 3, 6):
+        # labels 3 to 6 of 300 rows of 12 nodes, few values each, so that nodes of all depths and sizes occur
+        node, labels = rng.integers(0, 12, 300), rng.integers(0, 3, (300, 4)).astype(np.uint64)
+        labels[:, 0] = 1
+        tail = labels[:, 0] << np.uint64(48) | labels[:, 1] << np.uint64(32) | labels[:, 2] << np.uint64(16) | labels[:, 3]
+        order = np.lexsort((tail, node))
+        node, labels, tail = node[order], labels[order], tail[order]
+        a, b, depth = neardup.trie_matches(node, tail, 3, cap)
+        prefix = {d: [(int(n), *map(int, row[: d - 2])) for n, row in zip(node, labels)] for d in range(3, 7)}
+        size = {d: Counter(p) for d, p in prefix.items()}
+        want = [next((d for d in range(3, 7) if size[d][prefix[d][i]] <= cap), 7) for i in range(300)]
+        assert depth.tolist() == want
+        pairs = {(i, j) for i in range(300) for j in range(i + 1, 300) if want[i] < 7 and prefix[want[i]][i] == prefix[want[i]][j]}
+        assert set(zip(a.tolist(), b.tolist())) == pairs and len(a) == len(pairs)
+
+
+def test_texts_that_full_nodes_hide_are_found(spark):
+    rng = random.Random(5)
+    boiler = [f"b{n}" for n in range(60)]
+    rows = [(f"f{n:03d}", " ".join(boiler + [f"x{n}_{k}" for k in range(14)])) for n in range(70)]
+    rows += [(f"n{n}", " ".join([f"q{n // 2}_{k}" for k in range(80)] + [f"z{n}_{k}" for k in range(8)])) for n in range(20)]
+    df = spark.createDataFrame(rows, "file string, content string")
+    for cap, big in ((8, 100_000), (8, 9), (70, 80)):
+        got = {tuple(r) for r in neardup.NearDuplicates(df, F.col("file"), F.col("content"), cap=cap, big=big).pairs().collect()}
+        assert got == near(rows, 0.6, 30)
+
+
 def test_near_duplicates_empty(spark):
     df = spark.createDataFrame([], "file string, content string")
     assert neardup.NearDuplicates(df, F.col("file"), F.col("content")).pairs().count() == 0
