@@ -1,17 +1,18 @@
 """Languages of documents and of their segments by a byte convolutional network (p9).
 
-A text is read sentence by sentence: code, log lines, headings, inline code, identifiers and quoted terms are taken out, what is left is lower-cased. The UTF-8
-bytes of each sentence fill fixed-length windows; the network (byte embedding, convolutions of several widths, maximum over time,
+A text is read sentence by sentence: code, log lines, headings, inline code, identifiers and quoted terms are taken out, what is left is lower-cased. Indented
+lines are code unless they go on with a paragraph or list; the cells of a table are read one by one. The UTF-8 bytes of each sentence fill fixed-length windows; the network (byte embedding, convolutions of several widths, maximum over time,
 softmax; plain numpy) gives each window a distribution, a sentence gets the mean of its windows' log-probabilities. Along the text a most
-probable path with a price per change of language makes segments.
+probable path with a price per change of language makes segments. A sentence of few letters says little: its log-probabilities weigh
+less, and it counts as a sentence of its segment only if it looks like its language by itself.
 
-The network is trained on the labelled rows themselves: at most ``SAMPLE_DOCS`` documents with a usable label, chosen by digest, at
-most ``SAMPLE_SENTENCES`` sentences of each. Labels are partly wrong, so a sentence counts for the label most of its copies have, and
-after a first round sentences the network is sure to be mislabelled are left out. Every sentence is also shown without accents.
-Everything else reads all documents.
+The network is trained on the labelled rows themselves: documents with a usable label, chosen by digest, at most ``SAMPLE_DOCS`` shared out evenly between
+the languages (``SAMPLE_LEAST`` of each at least), at most ``SAMPLE_SENTENCES`` sentences of each. Labels are partly wrong, so a sentence counts for
+the label most of its copies have, and after a first round sentences the network is sure to be mislabelled are left out. Every sentence is also
+shown without accents. Everything else reads all documents.
 
-Defined results: null and empty texts, and texts with no sentence, have no segment; a label that names no language says nothing; without any usable label in the
-table there is no network and no segment; repeated rows give their rows again, ``distinct`` is up to the query. Input columns other than id, text and label are not read.
+Defined results: null and empty texts, and texts with no sentence, have no segment but one row without language, with no sentence and confidence 0; a label that names
+no language says nothing; without any usable label in the table there is no network, and every row is such a row; repeated rows give their rows again, ``distinct`` is up to the query. Input columns other than id, text and label are not read.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 4000
+SAMPLE_LEAST = 50
 SAMPLE_SENTENCES = 24
 WINDOW = 64
 EMBEDDING = 12
@@ -36,12 +38,16 @@ FILTERS = 24
 STEPS = 800
 CHANGE = 2.5
 FLOOR = -9.0
+FULL_WEIGHT = 48
 _KEPT = 150_000
 MAX_LANGUAGES = 1000
 
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n(?:[\s\S]*?^[ \t]*\1[^\n]*$|[\s\S]*\Z)", re.M)
 _LINE = re.compile(r"[^\r\n]+")
-_SKIPPED = re.compile(r"\s*(?:#{1,6}\s|[=*_-]{3,}\s*$|(?:[A-Z]+|\[[^\]]*\])?[ \t]*\d{4}-\d\d-\d\d|\S+:\d+:\d+|\$ |at \S+\(|\|| {4}\S|\t\S)")
+_SKIPPED = re.compile(r"\s*(?:#{1,6}\s|[=*_-]{3,}\s*$|(?:[A-Z]+|\[[^\]]*\])?[ \t]*\d{4}-\d\d-\d\d|\S+:\d+:\d+|\$ |at \S+\(|\|?(?:\s*:?-+:?\s*\|)+)")
+_INDENTED = re.compile(r"(?: {4}|\t)\s*\S")
+_LIST = re.compile(r"\s*(?:>\s*)*(?:[-*+]|\d+[.)])\s")
+_CELL = re.compile(r"(?:`[^`]*`|[^|`]|`)+")
 _MARK = re.compile(r"[ \t]*(?:>[ \t]*)*(?:[-*+][ \t]+|\d+[.)][ \t]+)?(?:\[[ xX]\][ \t]*)?")
 _SENTENCE = re.compile(r"(?:`[^`]*`|[^`.!?…。！？]+|(?<=\b[^\W\d_])\.|[.!?…]+(?![\s\"'”»)\]*_]|$)|`)+(?:[.!?…。！？]+[\"'”»)\]*_]*|$)")
 _MARKS = "_/\\0123456789@#<>=|{}[]()*~$%^+"
@@ -55,22 +61,47 @@ _SPACES = re.compile(r"[\W\d_]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
 
+def _prose(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the lines, and cells of table rows, that may be prose."""
+    listed = coded = False
+    end = 0
+    for line in _LINE.finditer(text):
+        raw, base = line[0], line.start()
+        if not raw.strip():
+            continue
+        apart = end == 0 or text.count("\n", end, base) > 1 or text.count("\r", end, base) > 1
+        end = line.end()
+        if _LIST.match(raw) and not coded:
+            listed = True
+        elif apart and raw[0] not in " \t":
+            listed = False
+        coded = not listed and _INDENTED.match(raw) is not None and (apart or coded)
+        if coded or _SKIPPED.match(raw):
+            continue
+        if raw.lstrip()[0] == "|":
+            yield from ((base + cell.start(), base + cell.end()) for cell in _CELL.finditer(raw))
+        else:
+            yield base + _MARK.match(raw).end(), end
+
+
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, cleaned) of every sentence of prose."""
     if "```" in text or "~~~" in text:
         text = _FENCE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
     out = []
-    for line in _LINE.finditer(text):
-        raw, base = line[0], line.start()
-        if _SKIPPED.match(raw):
-            continue
-        for m in _SENTENCE.finditer(raw, _MARK.match(raw).end()):
+    for start, end in _prose(text):
+        for m in _SENTENCE.finditer(text, start, end):
             clean = _SPACES.sub(" ", _NOISE.sub(" ", m[0])).strip().lower()
-            if len(clean) >= 12 and clean.count(" ") >= 2 or len(clean) >= 4 and len(_WIDE.findall(clean)) >= 4:
-                out.append((base + m.start(), base + m.end(), clean))
+            if len(clean) >= 4 or len(clean) >= 2 and _WIDE.search(clean):
+                out.append((m.start(), m.end(), clean))
     return out
 
 
+def firm(clean: str) -> bool:
+    """Whether a sentence is long enough to be judged by itself."""
+    return len(clean) >= 12 and clean.count(" ") >= 2 or len(clean) >= 4 and len(_WIDE.findall(clean)) >= 4
+
+
 def plain(clean: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", clean) if not unicodedata.combining(c))
 
@@ -160,14 +191,17 @@ class Network:
         z = np.concatenate([self.forward(x[i : i + 512]) for i in range(0, len(x), 512)])
         out = np.zeros((len(cleans), z.shape[1]), np.float32)
         np.add.at(out, owner, z)
-        return np.maximum(out / np.bincount(owner, minlength=len(cleans))[:, None], FLOOR)
+        out = np.maximum(out / np.bincount(owner, minlength=len(cleans))[:, None], FLOOR)
+        weak = [n for n, c in enumerate(cleans) if not firm(c)]
+        out[weak] *= np.array([min(1, len(cleans[n].encode()) / FULL_WEIGHT) for n in weak], np.float32)[:, None]
+        return out
 
 
 def fit(texts: Iterator[tuple[str, str]], steps: int = STEPS) -> tuple[list[str], Network] | None:
     """Languages and network from (language, text) rows with partly wrong labels."""
     votes: dict[str, Counter] = defaultdict(Counter)
     for lang, text in texts:
-        for _, _, clean in sentences(text)[:SAMPLE_SENTENCES]:
+        for clean in [c for _, _, c in sentences(text) if firm(c)][:SAMPLE_SENTENCES]:
             votes[clean][lang] += 1
     langs = sorted({lang for v in votes.values() for lang in v})
     if not langs:
@@ -217,15 +251,16 @@ def path(scores: np.ndarray, change: float = CHANGE) -> np.ndarray:
 
 def segments(found: list[tuple[int, int, str]], scores: np.ndarray) -> list[tuple[int, int, int, int, float, float]]:
     """(start, end, language, sentences, confidence, weight) of each stretch of one language."""
-    first = scores[0].argmax()
+    single = scores.argmax(1)
     # one language throughout costs no change, so there is nothing to weigh
-    at = np.full(len(scores), first) if (scores.argmax(1) == first).all() else path(scores)
+    at = single if (single == single[0]).all() else path(scores)
     edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
     out = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         mean = scores[a:b].mean(0)
         p = np.exp(mean - mean.max())
-        out.append((found[a][0], found[b - 1][1], int(at[a]), b - a, float(p[at[a]] / p.sum()), float(sum(len(found[i][2]) for i in range(a, b)))))
+        counted = sum(single[i] == at[i] or firm(found[i][2]) for i in range(a, b))
+        out.append((found[a][0], found[b - 1][1], int(at[a]), counted, float(p[at[a]] / p.sum()), float(sum(len(found[i][2]) for i in range(a, b)))))
     return out
 
 
@@ -247,7 +282,9 @@ def _detect(langs: list[str], net: Network, key: bytes):
                     known.update(zip(fresh, net.scores(fresh)))
                 rows = []
                 for key_, label, found in zip(part.column("id").to_pylist(), part.column("label").to_pylist(), docs):
-                    if found:
+                    if not found:
+                        rows.append((key_, label, None, None, None, 0, 0.0, 0.0))
+                    else:
                         rows.extend((key_, label, a, b, langs[k], n, round(p, 4), w) for a, b, k, n, p, w in segments(found, np.stack([known[c] for _, _, c in found])))
                 columns = list(zip(*rows)) if rows else [[]] * 8
                 types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64())
@@ -282,13 +319,17 @@ def detect(df: DataFrame, key: Column, text: Column, label: Column, codes: DataF
     rows = df.select(key.cast("bigint").alias("id"), text.alias("text"), label_language(label, named).alias("label"))
     usable = rows.filter("label is not null and length(text) > 40")
     digest = F.xxhash64("id").bitwiseAND((1 << 62) - 1)
-    # about twice the sample passes this bound at any size, so the final choice moves no more than that
-    bound = min(1.0, 2 * sample_docs / max(1, usable.count()))
-    sample = usable.filter(digest <= F.lit(int(bound * ((1 << 62) - 1)))).orderBy(digest, "id").limit(sample_docs)
+    counts = {r.label: r.n for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a language of ``codes``
+    each = max(SAMPLE_LEAST, sample_docs // max(1, len(counts)))
+    # about twice the sample passes these bounds at any size, so the final choice moves no more than that
+    bounds = F.create_map(*(F.lit(x) for label, n in counts.items() for x in (label, int(min(1.0, 2 * each / n) * ((1 << 62) - 1))))) if counts else F.lit(None)
+    chosen = usable.filter(digest <= F.try_element_at(bounds, F.col("label"))) if counts else usable.limit(0)
+    place = F.row_number().over(Window.partitionBy("label").orderBy(digest, "id", "text"))
+    sample = chosen.withColumn("place", place).filter(F.col("place") <= each)
     # one task trains, away from the driver; only the weights come back
     (model,) = sample.select("label", "text").repartition(1).mapInArrow(_train(steps), "model binary").collect() or [None]
     if model is None:
-        return df.sparkSession.createDataFrame([], _SEGMENTS)
+        return rows.selectExpr("id", "label", "cast(null as bigint) start", "cast(null as bigint) end", "cast(null as string) lang", "0 sentences", "0.0D confidence", "0.0D weight")
     langs, net = pickle.loads(model.model)
     digest = net.p["o"].tobytes()[:64]
-    return rows.filter("text is not null").select("id", "text", "label").mapInArrow(_detect(langs, net, digest), _SEGMENTS)
+    return rows.select("id", "text", "label").mapInArrow(_detect(langs, net, digest), _SEGMENTS)

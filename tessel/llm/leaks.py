@@ -1,14 +1,18 @@
 """Held-out passages inside a corpus by greedy string tiling (p8).
 
-Words of a document become numbers of the items' vocabulary; a running Karp-Rabin hash over ``least`` words finds the seeds that the document
-shares with an item. Seeds grow to maximal matches, and the longest match is marked again and again, each word of
-document and item in one tile at most, until no match of ``least`` words is left. So passages that were reordered or interrupted still
-cover their item. Of the seeds of a match only its first is formed, the one before which the words differ, and the match is extended from there word by
-word; so a text that repeats one run costs as much as it has matches, not seeds, and no occurrence is left out. Every document is read whole and once per block of items; items form blocks of bounded size, so a block can be sent to all tasks
-however many items there are.
+Seeds are runs of ``least`` words, known by a Karp-Rabin hash of their words. The seeds of all items and those of all documents are two tables, and their join
+gives the documents and items that share a seed. A sieve of at most ``MOST_BITS`` bits, made of the items' seeds, keeps most seeds that no item has out of the
+join; it lets every seed pass that some item has, so it only saves work. Which side is sent where is left to the optimiser: a small item table is
+broadcast by its size, large ones meet the documents' seeds by hash, where adaptive execution splits a seed that very many documents hold.
+
+The pairs found are tiled with the texts at hand: a running Karp-Rabin hash finds the seeds of document and item, seeds grow to maximal
+matches, and the longest match is marked again and again, each word of document and item in one tile at most, until no match of ``least`` words is left. So
+passages that were reordered or interrupted still cover their item. Of the seeds of a match only its first is formed, the one before which the words
+differ, and the match is extended from there word by word; so a text that repeats one run costs as much as it has matches, not seeds, and no
+occurrence is left out. Documents are read whole; the items of a document come in groups of about ``GROUP``.
 
 Defined results: null, empty and too short texts give nothing; equal texts under several ids are all reported; repeated rows change
-nothing; word case is ignored, whatever stands between words too. Columns other than id and text are not read.
+nothing; several texts of one id each count; word case is ignored, whatever stands between words too. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,16 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.hashing import mix, window_hash
+from tessel.llm.hashing import WordDigests, mix, window_hash
 from tessel.session import materialize
 
 WORD = re.compile(r"\w+")
 LEAST = 15
-BLOCK_CHARS = 16_000_000
+GROUP = 16
+MOST_BITS = 1 << 28
+_BITS_A_SEED = 16
 _PIECE = 400_000
 _AHEAD = 64
 _TOGETHER = 1 << 15
-_SEEDS = 1 << 17
 
 
 def words_of(text: str) -> list[str]:
@@ -128,9 +133,6 @@ class Items:
             words = words_of(text)
             if len(words) >= least:
                 self.items.append((key, np.array([number(w, len(self.vocabulary) + 1) for w in words], np.uint64)))
-        stop = np.array([~np.uint64(0)])
-        self.words = np.concatenate([stop[:0], *(part for _, x in self.items for part in (x, stop))])
-        self.begin = np.cumsum([0, *(len(x) + 1 for _, x in self.items)])
         runs = [len(x) - least + 1 for _, x in self.items]
         owner = np.repeat(np.arange(len(runs)), runs)
         place = _ranges(np.zeros(len(runs), np.int64), np.array(runs, np.int64))
@@ -143,12 +145,6 @@ class Items:
         self.base = len(self.vocabulary) + 1
         self.key = slot * self.base + before[order]
 
-    def starts(self, slot: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each run of a document the two ranges of places with another word before them."""
-        a, b, same = self.at[slot], self.at[slot + 1], slot * self.base + before
-        lo = np.searchsorted(self.key, same)
-        return a, lo, np.where(before == 0, lo, np.searchsorted(self.key, same, "right")), b
-
     def by_item(self, p: np.ndarray, slot: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Each item's number with the document's and the item's positions of seeds before which the words differ, for a document of very many; p, slot, before: of its runs."""
         by = np.argsort(slot, kind="stable")
@@ -170,99 +166,102 @@ class Items:
             yield int(self.owner[own[0]]), *map(np.concatenate, zip(*pairs))
 
 
-def _several(block: Items, x: np.ndarray, at: np.ndarray, doc: np.ndarray, p: np.ndarray, a: np.ndarray, lo: np.ndarray, hi: np.ndarray, b: np.ndarray, least: int) -> Iterator[tuple]:
-    """(document, item, and their maximal matches) of several documents at once: x has their words one after the other."""
-    hits = np.r_[np.repeat(np.arange(len(p)), lo - a), np.repeat(np.arange(len(p)), b - hi)]
-    places = np.r_[_ranges(a, lo), _ranges(hi, b)]
-    owner = block.owner[places]
-    d, i, n = matches(x, block.words, p[hits], block.begin[owner] + block.place[places], least)
-    docs, items = np.searchsorted(at, d, "right") - 1, np.searchsorted(block.begin, i, "right") - 1
-    order = np.lexsort((items, docs))
-    docs, items, n = docs[order], items[order], n[order]
-    d, i = d[order] - at[docs], i[order] - block.begin[items]
-    edges = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (items[1:] != items[:-1]), True]) if len(d) else np.zeros(1, int)
-    for f, t in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        yield int(docs[f]), int(items[f]), d[f:t], i[f:t], n[f:t]
-
-
-def _search(block: Items, least: int):
-    def flush(ids: list, parts: list[np.ndarray]) -> Iterator[tuple]:
-        x = np.concatenate(parts)
-        at = np.cumsum([0, *(len(p) for p in parts)])
-        unknown = np.cumsum(np.r_[0, x == 0])
-        inside = np.flatnonzero(unknown[least:] == unknown[:-least]) if len(x) >= least else np.empty(0, int)
-        if not len(inside):
-            return
-        h = window_hash(mix(x), least)[inside]
-        slot = np.minimum(np.searchsorted(block.hashes, h), len(block.hashes) - 1)
-        hit = block.hashes[slot] == h
-        inside, slot = inside[hit], slot[hit]
-        before = np.r_[np.uint64(0), x][inside].astype(np.int64)
-        doc = np.searchsorted(at, inside, "right") - 1
-        a, lo, hi, b = block.starts(slot, before)
-        total = np.cumsum(np.bincount(doc, lo - a + b - hi, len(parts)).astype(np.int64))
-        n = 0
-        while n < len(parts):  # as many documents at once as have _SEEDS seeds, one at least
-            to = max(n + 1, int(np.searchsorted(total, (total[n - 1] if n else 0) + _SEEDS, "right")))
-            own = slice(*np.searchsorted(doc, [n, to]))
-            if to == n + 1:
-                runs = block.by_item(inside[own] - at[n], slot[own], before[own]) if own.start < own.stop else ()
-                found = ((n, k, *matches(parts[n], block.items[k][1], d, i, least)) for k, d, i in runs)
-            else:
-                found = _several(block, x, at, doc[own], inside[own], a[own], lo[own], hi[own], b[own], least)
-            for m, k, d, i, size in found:
-                if len(d):
-                    key, item = block.items[k]
-                    tiles = greedy(d, i, size, len(parts[m]), len(item), least)
-                    yield ids[m], key, len(tiles), max(t[2] for t in tiles), sum(t[2] for t in tiles), len(item)
-            n = to
+def search(block: Items, doc: np.ndarray, least: int) -> Iterator[tuple]:
+    """(item, tiles, longest, covered, item words) of a document given by its words' numbers in the block, 0 where it has none, the last one too."""
+    unknown = np.cumsum(np.r_[0, doc == 0])
+    inside = np.flatnonzero(unknown[least:] == unknown[:-least]) if len(doc) >= least else np.empty(0, int)
+    if not len(inside) or not len(block.hashes):
+        return
+    h = window_hash(mix(doc), least)[inside]
+    slot = np.minimum(np.searchsorted(block.hashes, h), len(block.hashes) - 1)
+    hit = block.hashes[slot] == h
+    inside, slot = inside[hit], slot[hit]
+    if not len(inside):
+        return
+    for k, d, i in block.by_item(inside, slot, np.r_[np.uint64(0), doc][inside].astype(np.int64)):
+        key, item = block.items[k]
+        d, i, n = matches(doc, item, d, i, least)
+        if len(d):
+            tiles = greedy(d, i, n, len(doc), len(item), least)
+            yield key, len(tiles), max(t[2] for t in tiles), sum(t[2] for t in tiles), len(item)
+
+
+def _seeds(least: int, sieve: np.ndarray | None = None):
+    """(key, id) of the distinct seeds of each text that pass the sieve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = block.vocabulary.get
-        stop = np.zeros(1, np.uint64)  # an unknown word after each document: no run crosses it
+        digests = WordDigests()
+        shift = np.uint64(64 - (64 * len(sieve)).bit_length() + 1) if sieve is not None else None
+
+        def flush(ids: list, parts: list[np.ndarray]) -> pa.RecordBatch:
+            at = np.cumsum([0, *(len(p) for p in parts)])
+            runs = np.diff(at) - least + 1
+            key = mix(window_hash(np.concatenate(parts), least)[_ranges(at[:-1], at[:-1] + runs)])
+            owner = np.repeat(np.arange(len(parts)), runs)
+            if sieve is not None:
+                slot = key >> shift
+                passed = np.flatnonzero(sieve[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+                key, owner = key[passed], owner[passed]
+            order = np.lexsort((key, owner))
+            key, owner = key[order], owner[order]
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]) if len(key) else np.empty(0, int)
+            return pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(ids, pa.int64()).take(pa.array(owner[first]))], names=["key", "id"])
+
         for batch in batches:
-            rows, ids, parts, size = [], [], [], 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, parts, size = [], [], 0
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
                 if len(words) < least:
                     continue
-                ids.append(key)
-                parts.append(np.concatenate([np.array([number(w, 0) for w in words], np.uint64), stop]))
+                ids.append(id_)
+                parts.append(digests.of(words))
                 size += len(words)
                 if size > _PIECE:
-                    rows.extend(flush(ids, parts))
+                    yield flush(ids, parts)
                     ids, parts, size = [], [], 0
             if ids:
-                rows.extend(flush(ids, parts))
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "tiles", "longest", "covered", "item_words"])
+                yield flush(ids, parts)
 
     return run
 
 
-def _blocks(items: DataFrame, bound: int) -> Iterator[list[tuple[int, str]]]:
-    rows, size = [], 0
-    for r in items.toLocalIterator():
-        rows.append((r.item_id, r.text))
-        size += len(r.text)
-        if size > bound:
-            yield rows
-            rows, size = [], 0
-    if rows:
-        yield rows
+def _sieve(seeds: DataFrame) -> np.ndarray:
+    """A set of seeds as bits at the leading digits of their keys, in 64-bit words; ``MOST_BITS`` bits at most, however many seeds there are."""
+    n = seeds.count()
+    bits = min(MOST_BITS, max(1 << 16, 1 << (_BITS_A_SEED * n - 1).bit_length()))
+    slot = F.shiftrightunsigned("key", 64 - bits.bit_length() + 1).alias("slot")
+    words = seeds.select(slot).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("mask")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def _tile(least: int):
+    """Documents with the items they share a seed with, in; tilings out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop = np.zeros(1, np.uint64)  # an unknown word after each document: no run crosses it
+        for batch in batches:
+            rows: list[tuple] = []
+            for id_, text, items in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "items"))):
+                block = Items([(i["item_id"], i["text"]) for i in items], least)
+                number = block.vocabulary.get
+                rows.extend((id_, *found) for found in search(block, np.concatenate([np.array([number(w, 0) for w in words_of(text)], np.uint64), stop]), least))
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "tiles", "longest", "covered", "item_words"])
+
+    return run
 
 
-def leaks(items: DataFrame, docs: DataFrame, item_id: Column, item_text: Column, doc_id: Column, doc_text: Column, least: int = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaks(items: DataFrame, docs: DataFrame, item_id: Column, item_text: Column, doc_id: Column, doc_text: Column, least: int = LEAST, group: int = GROUP) -> DataFrame:
     """(doc_id, item_id, tiles, longest, covered, item_words) of every document and item that share a run of at least ``least`` words."""
     items = items.select(item_id.cast("bigint").alias("item_id"), item_text.alias("text")).filter("item_id is not null and text is not null").distinct()
     docs = docs.select(doc_id.cast("bigint").alias("doc_id"), doc_text.alias("text")).filter("doc_id is not null and text is not null")
-    schema = "doc_id bigint, item_id bigint, tiles bigint, longest bigint, covered bigint, item_words bigint"
-    found = None
-    for rows in _blocks(items, block_chars):
-        block = Items(rows, least)
-        if len(block.hashes):
-            part = docs.mapInArrow(_search(block, least), schema)
-            found = part if found is None else found.union(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], schema)
-    return found.distinct()
+    wanted = materialize(items.mapInArrow(_seeds(least), "key bigint, item_id bigint").distinct(), "item_seeds")
+    found = docs.mapInArrow(_seeds(least, _sieve(wanted)), "key bigint, doc_id bigint")
+    pairs = materialize(found.join(wanted, "key").select("doc_id", "item_id").distinct(), "pairs")
+    # the items of one document in groups of bounded expected size, so that no row holds them all
+    per = pairs.groupBy("doc_id").agg(F.ceil(F.count("*") / group).alias("parts"))
+    grouped = pairs.join(per, "doc_id").join(items, "item_id").groupBy("doc_id", F.pmod(F.xxhash64("item_id"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    texts = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    return grouped.join(texts, "doc_id").select("doc_id", "text", "items").mapInArrow(_tile(least), "doc_id bigint, item_id bigint, tiles bigint, longest bigint, covered bigint, item_words bigint").distinct()

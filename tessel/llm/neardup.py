@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.hashing import MULTIPLIER, mix
+from tessel.llm.hashing import MULTIPLIER, WordDigests, mix
 from tessel.llm.pairs import block_pairs, expand, shared_keys
 from tessel.llm.spans import join_texts
 from tessel.operators.graph import connected_components
@@ -49,7 +49,6 @@ DEEPEST = 6
 RECALL = 0.999
 CAP = 64
 BIG = 100_000
-_WORDS_KEPT = 200_000
 
 
 def depth_for(threshold: float, trees: int = TREES, recall: float = RECALL) -> int:
@@ -64,19 +63,10 @@ class Shingler:
     """64-bit digests of the distinct word sequences of a text; word digests are kept between texts."""
 
     def __init__(self, size: int):
-        self.size, self.known = size, {}
+        self.size, self.digests = size, WordDigests()
 
     def words(self, text: str) -> np.ndarray:
-        known, words = self.known, WORD.findall(text)
-        try:
-            return np.array([known[w] for w in words], np.uint64)
-        except KeyError:
-            if len(known) > _WORDS_KEPT:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            return np.array([known[w] for w in words], np.uint64)
+        return self.digests.of(WORD.findall(text))
 
     def sequences(self, words: np.ndarray) -> np.ndarray:
         n = len(words) - self.size + 1

@@ -145,8 +145,10 @@ def pack(counts: DataFrame, profiles: dict[str, int]) -> DataFrame:
     ranked = rest.withColumn("inner", inner).join(offsets, ["profile", "length", "salt"]).withColumn("rank", (F.col("inner") + F.col("before")).cast("bigint"))
     packed = ranked.select("profile", "id", "pieces", "length", "rank").mapInArrow(_assign(tables), "profile string, id bigint, pieces bigint, length bigint, packed bigint")
     shared = packed.select("profile", "id", F.col("pieces").alias("piece_ix"), F.col("length").alias("tokens"), F.concat(F.lit("p"), F.col("packed")).alias("container"))
-    whole = items.filter("pieces > 0").select("profile", "id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece_ix"), F.col("capacity").alias("tokens"))
-    return shared.unionByName(whole.withColumn("container", F.concat_ws("-", F.lit("f"), "id", "piece_ix")))
+    # a number for each row: ids may repeat or be null
+    split = items.filter("pieces > 0").withColumn("row", F.monotonically_increasing_id())
+    whole = split.select("row", "profile", "id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece_ix"), F.col("capacity").alias("tokens"))
+    return shared.unionByName(whole.withColumn("container", F.concat(F.lit("f"), "row", F.lit("-"), "piece_ix")).drop("row"))
 
 
 def fill(packing: DataFrame, profiles: dict[str, int]) -> DataFrame:

@@ -106,14 +106,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     """The language and a confidence of every segment."""
-    return _languages(spark, d).select(F.col("id").alias("doc_id"), "start", "end", "lang", "sentences", "confidence")
+    return _languages(spark, d).filter("lang is not null").select(F.col("id").alias("doc_id"), "start", "end", "lang", "sentences", "confidence")
 
 
 def p9_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's main language by the letters of its segments, with their mean confidence."""
+    """Each document's main language by the letters of its segments, with their mean confidence; no language with confidence 0 where there is no sentence."""
     per = _languages(spark, d).groupBy("id", "label", "lang").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("confidence")).alias("wc"))
+    ratio = lambda x, y: F.round(F.coalesce(F.try_divide(x, y), F.lit(0.0)), 4)
     best = per.groupBy("id", "label").agg(F.max(F.struct("w", "lang", "wc")).alias("b"), F.sum("w").alias("all"))
-    return best.select(F.col("id").alias("doc_id"), "label", F.col("b.lang").alias("lang"), F.round(F.col("b.wc") / F.col("b.w"), 4).alias("confidence"), F.round(F.col("b.w") / F.col("all"), 4).alias("share"))
+    return best.select(F.col("id").alias("doc_id"), "label", F.col("b.lang").alias("lang"), ratio("b.wc", "b.w").alias("confidence"), ratio("b.w", "all").alias("share"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_errors": p1_errors, "p1_rates": p1_rates, "p4_found": p4_found, "p4_shared": p4_shared, "p5_found": p5_found, "p5_groups": p5_groups, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}

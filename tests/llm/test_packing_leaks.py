@@ -50,6 +50,14 @@ def test_packing_places_every_item_once(spark):
         assert len(room) <= -(-volume // capacity) * 1.1 + 1
 
 
+def test_repeated_and_null_ids_above_the_capacity_have_containers_of_their_own(spark):
+    counts = spark.createDataFrame([(1, 25), (1, 25), (None, 12), (None, 13)], "id bigint, tokens bigint")
+    got = packing.pack(counts, {"a": 10, "b": 12})
+    assert {tuple(r) for r in got.groupBy("profile").agg(F.sum("tokens")).collect()} == {("a", 75), ("b", 75)}
+    rooms = got.groupBy("profile", "container").agg(F.sum("tokens").alias("t")).collect()
+    assert all(r.t <= {"a": 10, "b": 12}[r.profile] for r in rooms)
+
+
 def test_token_counts_and_edge_texts(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "größe 中文\r\n" * 5000)], "doc_id bigint, text string")
     got = dict(packing.token_counts(df, F.col("doc_id"), F.col("text")).collect())
@@ -90,8 +98,8 @@ def test_leaks_match_brute_force(spark):
     docs += [(500, None), (501, ""), (None, items[0][1]), (7, docs[7][1])]
     i = spark.createDataFrame([(*r, 1) for r in items], "item_id bigint, text string, doc_id int")
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
-    for block in (leaks.BLOCK_CHARS, 200):
-        got = leaks.leaks(i, d, F.col("item_id"), F.col("text"), F.col("doc_id"), F.col("text"), 5, block)
+    for group in (leaks.GROUP, 2):
+        got = leaks.leaks(i, d, F.col("item_id"), F.col("text"), F.col("doc_id"), F.col("text"), 5, group)
         assert {(r.doc_id, r.item_id) for r in got.collect()} == brute_leaks([x for x in items if x[0] is not None], [x for x in docs if x[0] is not None], 5)
     assert leaks.leaks(i.limit(0), d, F.col("item_id"), F.col("text"), F.col("doc_id"), F.col("text")).count() == 0
 
