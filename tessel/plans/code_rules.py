@@ -1,8 +1,8 @@
-"""The rules over relations derived from the warehouse tables: parts are files, parts that follow each other in an order are imports, order lines are declarations and uses."""
+"""The rules over relations derived from the warehouse tables: orders are files, a customer's orders that follow each other are imports, order lines are declarations and uses."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.operators import graph, reexports, rules
@@ -11,27 +11,39 @@ from tessel.plans.runtime_health import sources
 from tessel.session import table
 
 
+_O = "o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p, o_orderstatus AS s, o_orderdate AS t, o_totalprice AS v FROM orders)"
+_E = f"""{_O}, e AS (SELECT DISTINCT src, dst, CASE WHEN v >= 498000 THEN 'dynamic' ELSE 'static' END AS kind FROM (
+  SELECT k AS src, v, lead(k) OVER (PARTITION BY c, p ORDER BY t, k) AS dst FROM o UNION ALL SELECT k, v, lag(k) OVER (PARTITION BY c, s ORDER BY t, k) FROM o) WHERE dst IS NOT NULL)"""
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """One import per pair of parts on consecutive lines of an order with a quantity of 48 or more on the first; returned open lines are dynamic imports."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
-    a = lines.filter("l_quantity >= 48").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"), F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 50), "dynamic").otherwise("static").alias("kind"))
-    b = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst"))
-    return a.join(b, ["l_orderkey", "l_linenumber"]).select("src", "dst", "kind").distinct().withColumn("resolvable", F.lit(True))
+    """Every order imports its customer's next order of the same priority and the one before it of the same status; the dearest orders import dynamically."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate", "o_totalprice")
+    kind = F.when(F.col("o_totalprice") >= 498_000, "dynamic").otherwise("static").alias("kind")
+    after = o.select("src", F.lead("src").over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderdate", "src")).alias("dst"), kind)
+    before = o.select("src", F.lag("src").over(Window.partitionBy("o_custkey", "o_orderstatus").orderBy("o_orderdate", "src")).alias("dst"), kind)
+    return after.union(before).filter("dst is not null").distinct().withColumn("resolvable", F.lit(True))
 
 
 def files(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("file"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("file"))
 
 
 def entries(spark, d):
-    return table(spark, d, "part").filter("p_size = 1").select(F.col("p_partkey").alias("file"))
+    """The dear orders start programs."""
+    return table(spark, d, "orders").filter("o_totalprice >= 490000").select(F.col("o_orderkey").alias("file"))
+
+
+def _cheap(spark, d):
+    """The cheap orders hold what is traced; the name is the priority."""
+    return table(spark, d, "orders").filter("o_totalprice < 5000").select(F.col("o_orderkey").alias("file"), F.col("o_orderpriority").alias("name"))
 
 
 def decls(spark, d):
-    """Every order line declares its supplier in its part; the line status says exported, the return flag the kind."""
+    """Every order line declares its supplier in its order; the line status says exported, the return flag the kind."""
     kind = F.when(F.col("l_returnflag") == "R", "type").when(F.col("l_returnflag") == "A", "class").otherwise("function")
     return table(spark, d, "lineitem").select(
-        F.col("l_partkey").alias("file"), F.col("l_suppkey").alias("name"), kind.alias("kind"), (F.col("l_linestatus") == "O").alias("exported"), F.col("l_orderkey").alias("start_off"),
+        F.col("l_orderkey").alias("file"), F.col("l_suppkey").alias("name"), kind.alias("kind"), (F.col("l_linestatus") == "O").alias("exported"), F.col("l_linenumber").alias("start_off"),
         F.array(F.when(F.col("l_tax") >= 0.08, "Protocol").otherwise("Base")).alias("bases"), F.when(F.col("l_discount") >= 0.1, "TypeAlias").alias("annotation"), F.lit(None).cast("string").alias("callee"),
     )
 
@@ -41,12 +53,12 @@ def unused_files(spark, d):
 
 
 def trace_importers(spark, d):
-    """Everything that imports, directly or not, a part of size 50."""
-    return rules.importers(edges(spark, d), table(spark, d, "part").filter("p_size = 50").select(F.col("p_partkey").alias("file")))
+    """Everything that imports, directly or not, a cheap order."""
+    return rules.importers(edges(spark, d), _cheap(spark, d))
 
 
 def circular_dependencies(spark, d):
-    return rules.circular_dependencies(edges(spark, d)).select("scc", "size", F.col("cycle")[0].alias("first"))
+    return rules.circular_dependencies(edges(spark, d)).select("scc", "size", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"))
 
 
 def import_components(spark, d):
@@ -54,9 +66,26 @@ def import_components(spark, d):
 
 
 def reexport_fixed_point(spark, d):
-    """Brands flow from a part to everything that re-exports it."""
-    facts = table(spark, d, "part").filter("p_size = 50").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("value"))
-    return graph.propagate(graph.reverse(edges(spark, d)), facts)
+    """Priorities flow from a cheap order to everything that re-exports it."""
+    return graph.propagate(graph.reverse(edges(spark, d)), _cheap(spark, d).select(F.col("file").alias("node"), F.col("name").alias("value")))
+
+
+def reachable_rounds(spark, d):
+    """What the entries reach, by the distributed rounds at any size."""
+    return graph.reachable(edges(spark, d), entries(spark, d).select(F.col("file").alias("node")), local_edges=0)
+
+
+def cycles_rounds(spark, d):
+    """The components of the import cycles, by the distributed rounds at any size."""
+    return graph.strongly_connected(edges(spark, d), local_edges=0)
+
+
+def components_rounds(spark, d):
+    return graph.connected_components(edges(spark, d), local_edges=0)
+
+
+def fixed_point_rounds(spark, d):
+    return graph.propagate(graph.reverse(edges(spark, d)), _cheap(spark, d).select(F.col("file").alias("node"), F.col("name").alias("value")), local_edges=0)
 
 
 def reverse_index(spark, d):
@@ -94,13 +123,12 @@ def _members(kind: str):
     flag = {"enum": "N", "class": "A"}[kind]
 
     def query(spark, d):
-        """Owners are orders, members the words of the part names; uses are the words of the part names of large returned lines."""
+        """Owners are brands of an order's lines, members the words of the part names; uses are the words of the returned lines of the order and of those that import it."""
         part = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("members"), "p_brand")
-        line = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity").join(part, F.col("l_partkey") == F.col("p_partkey"))
-        owners = line.filter(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("file"), F.col("p_brand").alias("name"), F.lit(kind).alias("kind"), (F.col("l_linestatus") == "F").alias("exported"), "members")
-        uses = line.filter("l_returnflag = 'R' and l_quantity >= 50").select(F.col("l_suppkey").alias("file"), F.lit("member").alias("kind"), F.explode("members").alias("name"))
-        links = line.filter("l_returnflag = 'R' and l_quantity <= 1").select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") + 1).alias("dst")).distinct()
-        return rules.unused_members(owners, uses, links, kind).distinct()
+        line = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_returnflag", "l_linestatus").join(part, F.col("l_partkey") == F.col("p_partkey"))
+        owners = line.filter(F.col("l_returnflag") == flag).select(F.col("l_orderkey").alias("file"), F.col("p_brand").alias("name"), F.lit(kind).alias("kind"), (F.col("l_linestatus") == "F").alias("exported"), "members")
+        uses = line.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("file"), F.lit("member").alias("kind"), F.explode("members").alias("name"))
+        return rules.unused_members(owners, uses, _links(spark, d), kind).distinct()
 
     return query
 
@@ -108,10 +136,9 @@ def _members(kind: str):
 def _members_sql(kind: str) -> str:
     flag = {"enum": "N", "class": "A"}[kind]
     return f"""
-WITH line AS (SELECT l.*, p.p_brand, string_split(p.p_name, ' ') AS members FROM lineitem l JOIN part p ON l_partkey = p_partkey),
-m AS (SELECT DISTINCT l_suppkey AS file, p_brand AS owner, unnest(members) AS member FROM line WHERE l_returnflag = '{flag}' AND l_linestatus = 'F'),
-u AS (SELECT DISTINCT l_suppkey AS file, unnest(members) AS name FROM line WHERE l_returnflag = 'R' AND l_quantity >= 50),
-e AS (SELECT DISTINCT l_suppkey AS src, l_suppkey + 1 AS dst FROM line WHERE l_returnflag = 'R' AND l_quantity <= 1),
+WITH {_E}, line AS (SELECT l.*, p.p_brand, string_split(p.p_name, ' ') AS members FROM lineitem l JOIN part p ON l_partkey = p_partkey),
+m AS (SELECT DISTINCT l_orderkey AS file, p_brand AS owner, unnest(members) AS member FROM line WHERE l_returnflag = '{flag}' AND l_linestatus = 'F'),
+u AS (SELECT DISTINCT l_orderkey AS file, unnest(members) AS name FROM line WHERE l_returnflag = 'R'),
 v AS (SELECT file, name FROM u UNION SELECT e.dst, u.name FROM u JOIN e ON e.src = u.file)
 SELECT file, owner, member FROM m WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.file = m.file AND (v.name = m.member OR v.name = m.owner || '.' || m.member))"""
 
@@ -158,7 +185,7 @@ def _findings(spark, d):
 
 def cross_reference(spark, d):
     allowed = table(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").cast("string").alias("name"))
-    keep = table(spark, d, "part").filter("p_size = 2").select(F.col("p_partkey").alias("file"), F.lit(True).alias("_keep"))
+    keep = table(spark, d, "orders").filter("o_orderpriority = '2-HIGH'").select(F.col("o_orderkey").alias("file"), F.lit(True).alias("_keep"))
     found = _findings(spark, d).join(keep, "file", "left")
     return rules.cross_reference(found, F.col("_keep"), None, allowed).select("kind", "file", F.coalesce("name", F.lit("")).alias("name"))
 
@@ -178,9 +205,9 @@ def _links(spark, d):
 
 
 def trace_export(spark, d):
-    """Importers of parts that use a name, over importers that use it too: the name is the part's first word."""
-    uses = table(spark, d, "part").select(F.col("p_partkey").alias("file"), F.element_at(F.split("p_name", " "), 1).alias("name"))
-    return reexports.trace_export(edges(spark, d), uses, "red")
+    """Importers of urgent orders that are urgent too, over importers."""
+    uses = table(spark, d, "orders").select(F.col("o_orderkey").alias("file"), F.col("o_orderpriority").alias("name"))
+    return reexports.trace_export(edges(spark, d), uses, "1-URGENT")
 
 
 def entry_star_targets(spark, d):
@@ -188,14 +215,14 @@ def entry_star_targets(spark, d):
 
 
 def reexport_provenance(spark, d):
-    """Which direct source each re-exported brand comes from."""
-    own = table(spark, d, "part").filter("p_size = 50").select(F.col("p_partkey").alias("file"), F.col("p_brand").alias("name"), F.lit(True).alias("exported"))
+    """Which direct source each re-exported priority comes from."""
+    own = _cheap(spark, d).withColumn("exported", F.lit(True))
     return reexports.provenance(reexports.exported_names(own, _links(spark, d)), own, _links(spark, d))
 
 
 def star_symbols(spark, d):
-    brand = table(spark, d, "part").select(F.col("p_partkey").alias("dst"), F.when(F.col("p_type") == "PROMO", F.col("p_brand")).alias("alias"))
-    return reexports.star_symbols(_links(spark, d).join(brand, "dst").select("src", F.col("dst").alias("dst_id"), "alias"))
+    alias = table(spark, d, "orders").select(F.col("o_orderkey").alias("dst"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).alias("alias"))
+    return reexports.star_symbols(_links(spark, d).join(alias, "dst").select("src", F.col("dst").alias("dst_id"), "alias"))
 
 
 def import_hygiene(spark, d):
@@ -220,29 +247,32 @@ QUERIES = {
     "unused_files": unused_files, "trace_importers": trace_importers, "circular_dependencies": circular_dependencies, "import_components": import_components, "reexport_fixed_point": reexport_fixed_point, "reverse_index": reverse_index,
     "unused_exports": unused_exports, "unused_types": unused_types, "duplicate_exports": duplicate_exports, "unused_deps": _deps("ECONOMY"), "unused_dev_deps": _deps("PROMO"), "unused_optional_deps": _deps("STANDARD"),
     "unused_enum_members": _members("enum"), "unused_class_members": _members("class"), "boundary_violations": boundary_violations, "nearest_manifest": nearest_manifest, "private_type_leak": private_type_leak,
+    "reachable_rounds": reachable_rounds, "cycles_rounds": cycles_rounds, "components_rounds": components_rounds, "fixed_point_rounds": fixed_point_rounds,
     "cross_reference": cross_reference, "diagnostics_by_rule": diagnostics_by_rule, "rollup_report": rollup_report,
 }
 
-_E = """e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst, CASE WHEN a.l_returnflag = 'R' AND a.l_quantity >= 50 THEN 'dynamic' ELSE 'static' END AS kind
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= 48)"""
-_REACH = _E + """, r(node) AS (SELECT p_partkey FROM part WHERE p_size = 1 UNION SELECT src FROM e WHERE kind = 'dynamic' UNION SELECT e.dst FROM r JOIN e ON e.src = r.node)"""
-_DECLS = """x AS (SELECT l_partkey AS file, l_suppkey AS name, CASE l_returnflag WHEN 'R' THEN 'type' WHEN 'A' THEN 'class' ELSE 'function' END AS kind, l_linestatus = 'O' AS exported, l_orderkey AS start_off, l_tax, l_discount FROM lineitem)"""
-_OPEN = """exported AND file NOT IN (SELECT dst FROM e) AND file NOT IN (SELECT p_partkey FROM part WHERE p_size = 1)"""
+_REACH = _E + """, r(node) AS (SELECT k FROM o WHERE v >= 490000 UNION SELECT src FROM e WHERE kind = 'dynamic' UNION SELECT e.dst FROM r JOIN e ON e.src = r.node)"""
+_DECLS = """x AS (SELECT l_orderkey AS file, l_suppkey AS name, CASE l_returnflag WHEN 'R' THEN 'type' WHEN 'A' THEN 'class' ELSE 'function' END AS kind, l_linestatus = 'O' AS exported, l_linenumber AS start_off, l_tax, l_discount FROM lineitem)"""
+_OPEN = """exported AND file NOT IN (SELECT dst FROM e) AND file NOT IN (SELECT k FROM o WHERE v >= 490000)"""
 _UNUSED_TYPE = "(kind = 'type' OR (kind = 'class' AND l_tax >= 0.08) OR l_discount >= 0.1)"
-_ALL = f"""f AS (SELECT 'unused-files' AS kind, p_partkey AS file, NULL AS name FROM part WHERE p_partkey NOT IN (SELECT node FROM r)
+_ALL = f"""f AS (SELECT 'unused-files' AS kind, k AS file, NULL AS name FROM o WHERE k NOT IN (SELECT node FROM r)
   UNION ALL SELECT DISTINCT 'unused-exports', file, name::VARCHAR FROM x WHERE kind <> 'type' AND {_OPEN}
   UNION ALL SELECT DISTINCT 'unused-types', file, name::VARCHAR FROM x WHERE {_UNUSED_TYPE} AND {_OPEN})"""
 _REACH_PAIRS = _E + ", c(a, b) AS (SELECT src, dst FROM e UNION SELECT c.a, e.dst FROM c JOIN e ON e.src = c.b)"
 
+_SCC = _REACH_PAIRS + ", s AS (SELECT x.a AS node, min(x.b) AS scc FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
 _LINKS = "l AS (SELECT DISTINCT src, dst FROM e)"
+_COMPONENTS = f"WITH RECURSIVE {_E}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), c(node, low) AS (SELECT a, least(a, min(b)) FROM u GROUP BY a UNION SELECT u.a, c.low FROM u JOIN c ON u.b = c.node WHERE c.low < u.a) SELECT node, min(low) AS component FROM c GROUP BY node"
+_FIXED_POINT = f"WITH RECURSIVE {_E}, r(node, value) AS (SELECT k, p FROM o WHERE v < 5000 UNION SELECT e.src, r.value FROM r JOIN e ON e.dst = r.node) SELECT node, value FROM r"
 ORACLES = {
-    "trace_export": f"""WITH RECURSIVE {_E}, {_LINKS}, u AS (SELECT p_partkey AS k FROM part WHERE string_split(p_name, ' ')[1] = 'red'), x AS (SELECT dst AS a, src AS b FROM l WHERE src IN (SELECT k FROM u) AND dst IN (SELECT k FROM u)),
+    "import_components": _COMPONENTS, "components_rounds": _COMPONENTS, "reexport_fixed_point": _FIXED_POINT, "fixed_point_rounds": _FIXED_POINT,
+    "trace_export": f"""WITH RECURSIVE {_E}, {_LINKS}, u AS (SELECT k FROM o WHERE p = '1-URGENT'), x AS (SELECT dst AS a, src AS b FROM l WHERE src IN (SELECT k FROM u) AND dst IN (SELECT k FROM u)),
 r(file) AS (SELECT b FROM x UNION SELECT x.b FROM r JOIN x ON x.a = r.file) SELECT file FROM r""",
-    "entry_star_targets": f"""WITH RECURSIVE {_E}, {_LINKS}, s AS (SELECT DISTINCT dst AS file FROM l WHERE src IN (SELECT p_partkey FROM part WHERE p_size = 1)), r(file) AS (SELECT file FROM s UNION SELECT l.dst FROM r JOIN l ON l.src = r.file)
+    "entry_star_targets": f"""WITH RECURSIVE {_E}, {_LINKS}, s AS (SELECT DISTINCT dst AS file FROM l WHERE src IN (SELECT k FROM o WHERE v >= 490000)), r(file) AS (SELECT file FROM s UNION SELECT l.dst FROM r JOIN l ON l.src = r.file)
 SELECT file, file IN (SELECT file FROM s) AS direct FROM r""",
-    "reexport_provenance": f"""WITH RECURSIVE {_E}, {_LINKS}, o AS (SELECT p_partkey AS file, p_brand AS name FROM part WHERE p_size = 50), r(file, name) AS (SELECT file, name FROM o UNION SELECT l.src, r.name FROM r JOIN l ON l.dst = r.file)
-SELECT r.file, r.name, min(l.dst) AS via FROM r JOIN l ON l.src = r.file JOIN r q ON q.file = l.dst AND q.name = r.name WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.file = r.file AND o.name = r.name) GROUP BY r.file, r.name""",
-    "star_symbols": f"WITH {_E}, {_LINKS} SELECT DISTINCT src AS file, '__star_' || dst || CASE WHEN p_type = 'PROMO' THEN '_as_' || p_brand ELSE '' END || '__' AS symbol FROM l JOIN part ON p_partkey = dst",
+    "reexport_provenance": f"""WITH RECURSIVE {_E}, {_LINKS}, w AS (SELECT k AS file, p AS name FROM o WHERE v < 5000), r(file, name) AS (SELECT file, name FROM w UNION SELECT l.src, r.name FROM r JOIN l ON l.dst = r.file)
+SELECT r.file, r.name, min(l.dst) AS via FROM r JOIN l ON l.src = r.file JOIN r q ON q.file = l.dst AND q.name = r.name WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.file = r.file AND w.name = r.name) GROUP BY r.file, r.name""",
+    "star_symbols": f"WITH {_E}, {_LINKS} SELECT DISTINCT src AS file, '__star_' || dst || CASE WHEN s = 'P' THEN '_as_' || p ELSE '' END || '__' AS symbol FROM l JOIN o ON k = dst",
     "import_hygiene": r"""WITH r AS (SELECT DISTINCT project, kind, file AS src, detail.specifier AS spec FROM findings_actual JOIN (SELECT DISTINCT run_id, project FROM runs) USING (run_id) WHERE detail.specifier IS NOT NULL AND file IS NOT NULL),
 k AS (SELECT DISTINCT project, spec AS name FROM r WHERE kind IN ('unused-deps', 'unused-dev-deps')),
 p AS (SELECT *, CASE WHEN spec <> '' AND NOT regexp_matches(spec, '^(\.|/|#|[A-Za-z][A-Za-z0-9+.\-]*:)') THEN regexp_extract(spec, '^(@[^/]+/[^/]+|[^@/][^/]*)', 1) END AS package FROM r)
@@ -252,11 +282,13 @@ i AS (SELECT DISTINCT file, unnest(regexp_extract_all(content, '(?m)^from (\.+\w
 b AS (SELECT file, module, array_to_string(list_slice(string_split(file, '/'), 1, len(string_split(file, '/')) - length(regexp_extract(module, '^\.+'))), '/') || '/' || regexp_replace(module, '^\.+', '') AS base FROM i),
 k AS (SELECT file, module, 0 AS rank, base || '.py' AS path FROM b UNION ALL SELECT file, module, 1, base || '/__init__.py' FROM b UNION ALL SELECT file, module, 2, base || '.pyi' FROM b),
 g AS (SELECT k.file, module, arg_min(path, rank) AS dst FROM k JOIN (SELECT DISTINCT file AS f FROM files) ON f = path GROUP BY ALL) SELECT b.file, b.module, g.dst FROM b LEFT JOIN g ON g.file = b.file AND g.module = b.module""",
-    "unused_files": f"WITH RECURSIVE {_REACH} SELECT p_partkey AS file FROM part WHERE p_partkey NOT IN (SELECT node FROM r)",
-    "trace_importers": f"WITH RECURSIVE {_E}, r(file) AS (SELECT src FROM e WHERE dst IN (SELECT p_partkey FROM part WHERE p_size = 50) UNION SELECT e.src FROM r JOIN e ON e.dst = r.file) SELECT file FROM r",
-    "circular_dependencies": f"WITH RECURSIVE {_REACH_PAIRS}, s AS (SELECT x.a AS node, min(x.b) AS scc FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT scc, count(*) AS size, scc AS first FROM s GROUP BY scc",
-    "import_components": f"WITH RECURSIVE {_E}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), c(node, low) AS (SELECT a, least(a, min(b)) FROM u GROUP BY a UNION SELECT u.a, c.low FROM u JOIN c ON u.b = c.node WHERE c.low < u.a) SELECT node, min(low) AS component FROM c GROUP BY node",
-    "reexport_fixed_point": f"WITH RECURSIVE {_E}, r(node, value) AS (SELECT p_partkey, p_brand FROM part WHERE p_size = 50 UNION SELECT e.src, r.value FROM r JOIN e ON e.dst = r.node) SELECT node, value FROM r",
+    "unused_files": f"WITH RECURSIVE {_REACH} SELECT k AS file FROM o WHERE k NOT IN (SELECT node FROM r)",
+    "reachable_rounds": f"WITH RECURSIVE {_E}, r(node) AS (SELECT k FROM o WHERE v >= 490000 UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r",
+    "trace_importers": f"WITH RECURSIVE {_E}, r(file) AS (SELECT src FROM e WHERE dst IN (SELECT k FROM o WHERE v < 5000) UNION SELECT e.src FROM r JOIN e ON e.dst = r.file) SELECT file FROM r",
+    "circular_dependencies": f"""WITH RECURSIVE {_SCC}, n AS (SELECT a.scc, e.src, e.dst FROM e JOIN s a ON a.node = e.src JOIN s b ON b.node = e.dst AND b.scc = a.scc),
+w(scc, node, path) AS (SELECT DISTINCT scc, scc, [scc] FROM s UNION ALL SELECT w.scc, min(n.dst), list_append(w.path, min(n.dst)) FROM w JOIN n ON n.scc = w.scc AND n.src = w.node WHERE NOT list_contains(w.path, n.dst) GROUP BY w.scc, w.node, w.path)
+SELECT scc, any_value(size) AS size, array_to_string(list_append(arg_max(path, len(path)), scc), '>') AS cycle FROM w JOIN (SELECT scc, count(*) AS size FROM s GROUP BY scc) USING (scc) GROUP BY scc""",
+    "cycles_rounds": f"WITH RECURSIVE {_SCC} SELECT node, scc FROM s",
     "reverse_index": f"WITH {_E} SELECT dst AS file, count(DISTINCT src) AS importers, min(src) AS first_importer FROM e GROUP BY dst",
     "unused_exports": f"WITH {_E}, {_DECLS} SELECT DISTINCT file, name, start_off FROM x WHERE kind <> 'type' AND {_OPEN}",
     "unused_types": f"WITH {_E}, {_DECLS} SELECT DISTINCT file, name, start_off FROM x WHERE {_UNUSED_TYPE} AND {_OPEN}",
@@ -273,7 +305,7 @@ SELECT path, arg_max(dir, length(dir)) AS owner FROM a JOIN o USING (dir) GROUP
     "private_type_leak": """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS at, event_type, value FROM events),
 j AS (SELECT u.user_id AS key, u.event_id AS id, s.event_id AS span, s.at AS lo FROM e u JOIN e s ON u.user_id = s.user_id AND u.event_type = 'error' AND s.event_type = 'view' AND s.at <= u.at AND u.at < s.at + floor(s.value * 60000000)::BIGINT)
 SELECT key, id, span FROM j QUALIFY row_number() OVER (PARTITION BY key, id ORDER BY lo, span) = 1""",
-    "cross_reference": f"""WITH RECURSIVE {_REACH}, {_DECLS}, {_ALL}, g AS (SELECT * FROM f WHERE NOT (kind = 'unused-files' AND file IN (SELECT p_partkey FROM part WHERE p_size = 2)))
+    "cross_reference": f"""WITH RECURSIVE {_REACH}, {_DECLS}, {_ALL}, g AS (SELECT * FROM f WHERE NOT (kind = 'unused-files' AND file IN (SELECT k FROM o WHERE p = '2-HIGH')))
 SELECT kind, file, coalesce(name, '') AS name FROM g WHERE NOT (kind IN ('unused-exports', 'unused-types') AND file IN (SELECT file FROM g WHERE kind = 'unused-files'))
 AND NOT (kind = 'unused-exports' AND name IN (SELECT s_suppkey::VARCHAR FROM supplier WHERE s_acctbal < 0))""",
     "diagnostics_by_rule": f"""WITH RECURSIVE {_REACH}, {_DECLS}, {_ALL} SELECT rule, count(f.kind) AS n FROM (SELECT unnest(['unused-files', 'unused-exports', 'unused-types', 'unused-deps', 'circular-dependencies']) AS rule) LEFT JOIN f ON f.kind = rule GROUP BY rule""",
