@@ -7,7 +7,8 @@ are parsed once. Tokens are single characters, so a chunk is a string.
 
 Grammar text: ``name: alternative | alternative`` per rule, a rule may continue on indented lines. ``'x'`` and capitalised words are terminals; ``?``,
 ``*`` and ``+`` follow an item or a parenthesised group. An alternative that starts with ``@feature`` exists only with that feature.
-``%prefer a > b``: where a and b begin with the same terminal at one point, b is dropped.
+``%prefer a > b``: where a and b begin with the same terminal at one point, b is dropped. ``%copy f a b c``: each rule named has a copy a_f whose
+references to the others are to their copies too, and only the copies have the alternatives marked with @f.
 """
 
 from __future__ import annotations
@@ -69,7 +70,12 @@ class _Rules:
 
 def compile_grammar(text: str, features: set[str] = frozenset()) -> Table:
     made, prefer = _Rules(set(features)), []
-    for rule in re.split(r"\n(?=\S)", re.sub(r"(?m)^#.*\n", "", text.strip() + "\n")):
+    texts = re.split(r"\n(?=\S)", re.sub(r"(?m)^#.*\n", "", text.strip() + "\n"))
+    for line in [x for x in texts if x.startswith("%copy")]:
+        mark, *copied = line.split()[1:]
+        inside = re.compile(rf"(?<![\w'@%])({'|'.join(copied)})\b(?!')")
+        texts += [inside.sub(rf"\1_{mark}", x).replace(f"@{mark} ", "") for x in texts if x.split(":")[0] in copied]
+    for rule in [x for x in texts if not x.startswith("%copy")]:
         if not rule.strip():
             continue
         if rule.startswith("%prefer"):

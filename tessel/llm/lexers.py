@@ -8,20 +8,22 @@ scanner with a mode stack decides.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 ERROR = "\x02"
 
 # ---------------------------------------------------------------- scripts
 
 _IDENT = r"(?:[A-Za-z_$\u0080-\U0010ffff]|\\u\{?[0-9A-Fa-f]+\}?)(?:[\w$‌‍]|\\u\{?[0-9A-Fa-f]+\}?)*"
-_NUMBER = r"(?:0[xX][0-9A-Fa-f_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?)(?![\w$])"
+_NUMBER = r"(?:0[xX][0-9A-Fa-f_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|(?:(?:[1-9][\d_]*|0(?![\d_]))(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?)(?![\w$])"
 _STRING = r"'(?:[^'\\\r\n]|\\(?:\r\n|[\s\S]))*'|\"(?:[^\"\\\r\n]|\\(?:\r\n|[\s\S]))*\""
 _REGEX = r"/(?![*/])(?:[^\\/\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*\])+/[A-Za-z]*"
 _COMMENT = r"//[^\r\n  ]*|/\*[\s\S]*?\*/"
 _SPACE = r"[ \t\f\v ﻿  -   　]+"
 _PUNCT = r">>>=|\.\.\.|\*\*=|<<=|>>=|===|!==|&&=|\|\|=|\?\?=|=>|\?\.(?!\d)|\*\*|\+\+|--|<<|<=|>=|==|!=|&&|\|\||\?\?|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[{}()\[\];,<>+\-*/%&|^!~?:=.@]"
 _ASSIGN = {"+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "**=", "<<=", ">>=", ">>>=", "&&=", "||=", "??="}
-_BINARY = {"%", "**", "<<", "<=", ">=", "==", "!=", "===", "!==", "&&", "||", "??", "^"}
+_BINARY = {"%", "<<", "<=", ">=", "==", "!=", "===", "!==", "^"}
+_LOGICAL = {"&&", "||"}
 # after these a slash begins a regular expression, and a less-than sign markup
 _OPENS = {"(", ",", "=", ":", "[", "!", "&", "|", "?", "{", ";", "+", "-", "*", "%", "~", "^", "<", "=>", "&&", "||", "??", "==", "===", "!=", "!==", "<=", ">=", "...", "**", "<<", *_ASSIGN}
 _OPEN_WORDS = {"return", "typeof", "case", "delete", "void", "in", "of", "instanceof", "new", "await", "yield", "else", "do", "throw", "default", "extends"}
@@ -52,11 +54,11 @@ class ScriptLexer:
         t = terminals
         self.t, self.markup, self.types = t, markup, types
         code = dict(t)
-        for name in ("ID", "STR", "NUM", "REGEX", "PRIVATE", "TEMPLATE", "TEMPLATE_HEAD", "TEMPLATE_MIDDLE", "TEMPLATE_TAIL", "SEMI_AUTO", "ASSIGN", "BINARY", "UNARY", "UPDATE", "UPDATE_FIRST", "JNAME", "JSTR"):
+        for name in ("ID", "STR", "NUM", "REGEX", "PRIVATE", "TEMPLATE", "TEMPLATE_HEAD", "TEMPLATE_MIDDLE", "TEMPLATE_TAIL", "SEMI_AUTO", "ASSIGN", "BINARY", "LOGICAL", "UNARY", "UPDATE", "UPDATE_FIRST", "JNAME", "JSTR"):
             code.pop(name, None)
         for name in [n for n in code if n != "J" and "J" in n and not n.isalpha()]:
             code.pop(name)
-        code |= {p: t["ASSIGN"] for p in _ASSIGN} | {p: t["BINARY"] for p in _BINARY} | {"~": t["UNARY"], "++": t["UPDATE"], "--": t["UPDATE"]}
+        code |= {p: t["ASSIGN"] for p in _ASSIGN} | {p: t["BINARY"] for p in _BINARY} | {p: t["LOGICAL"] for p in _LOGICAL} | {"~": t["UNARY"], "++": t["UPDATE"], "--": t["UPDATE"]}
         self.code = code
         self.id = t["ID"]
         start = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_$\\"
@@ -346,10 +348,31 @@ _PY_AUGMENTED = {"+=", "-=", "*=", "/=", "//=", "%=", "@=", "&=", "|=", "^=", ">
 _BRACKET = {"(": ")", "[": "]", "{": "}"}
 
 
+# escapes that promise digits have them
+_PY_BYTES = re.compile(r"(?:[^\\]|\\x[0-9a-fA-F]{2}|\\[^x])*", re.S)
+_PY_ESCAPE = re.compile(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4}|N\{([^}]*)\}|[^xuUN])", re.S)
+
+
+def _escapes_hold(text: str) -> bool:
+    """Whether every escape of a string is complete and names a character."""
+    pos = text.find("\\")
+    while pos >= 0:
+        m = _PY_ESCAPE.match(text, pos)
+        if not m:
+            return False
+        if m[1] is not None:
+            try:
+                unicodedata.lookup(m[1])
+            except KeyError:
+                return False
+        pos = text.find("\\", m.end())
+    return True
+
+
 class PythonLexer:
     def __init__(self, terminals: dict[str, str]):
         t = self.t = terminals
-        self.code = {k: v for k, v in t.items() if k not in ("NAME", "NUMBER", "STRING", "FSTART", "FEND", "NEWLINE", "INDENT", "DEDENT", "COMPARE", "OPERATOR", "AUGMENTED")}
+        self.code = {k: v for k, v in t.items() if k not in ("NAME", "NUMBER", "STRING", "BYTES", "FSTART", "FEND", "NEWLINE", "INDENT", "DEDENT", "COMPARE", "OPERATOR", "AUGMENTED")}
         self.code |= {p: t["COMPARE"] for p in _PY_COMPARE} | {p: t["OPERATOR"] for p in _PY_OPERATOR} | {p: t["AUGMENTED"] for p in _PY_AUGMENTED}
         start = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_"
         self.first = {c: t["NAME"] for c in start}
@@ -409,13 +432,15 @@ class PythonLexer:
             if text.startswith(quote, pos):
                 return -1 if spec else pos + size
             if c == "\\":
-                if text.startswith("N{", pos + 1) and not raw:
-                    pos = text.find("}", pos)
-                    if pos < 0:
-                        return -1
+                if raw:
+                    pos += 1 if text[pos + 1 : pos + 2] in ("{", "}") else 2
+                elif text[pos + 1 : pos + 2] in ("{", "}"):
                     pos += 1
                 else:
-                    pos += 1 if text[pos + 1 : pos + 2] in ("{", "}") else 2
+                    m = _PY_ESCAPE.match(text, pos)
+                    if not m or not _escapes_hold(m[0]):
+                        return -1
+                    pos = m.end()
             elif c == "{" and not (not spec and text.startswith("{{", pos)):
                 pos = self._field(text, pos + 1, out, quote, spec, depth) if spec < _PY_FIELDS else -1
                 if pos < 0:
@@ -449,6 +474,14 @@ class PythonLexer:
                 return pos
             if len(token) < 2 or token.lower() in ("r'", 'r"', "b'", 'b"', "u'", 'u"'):
                 return -1
+            prefix = token[: min(token.find(q) for q in self.quoted if q in token)].lower()
+            if "b" in prefix:
+                if not token.isascii() or "\\" in token and "r" not in prefix and not _PY_BYTES.fullmatch(token, len(prefix)):
+                    return -1
+                out.append(t["BYTES"])
+                return m.end()
+            if "\\" in token and "r" not in prefix and not _escapes_hold(token):
+                return -1
             out.append(t["STRING"])
         elif token[0] in self.first or token[0] > "\x7f":
             if not token.isidentifier():
@@ -472,7 +505,7 @@ class PythonLexer:
         pos, n = lead.end(), len(text)
         lines: list[str] = []
         starts: list[int] = []
-        stack, need = [0], []
+        stack, others, need = [0], [0], []  # columns with tabs of eight and of one: their order must agree
         now: list[str] = []
         if pos < n and self._width(lead[0].rsplit("\n", 1)[-1]) != 0:
             return [ERROR], [pos]
@@ -520,15 +553,17 @@ class PythonLexer:
                 margin = token[token.rfind("\n") + 1 :]
                 if "#" in margin:
                     continue
-                width = self._width(margin)
-                if width > stack[-1]:
+                width, other = self._width(margin), len(margin.rsplit("\f", 1)[-1])
+                if width > stack[-1] and other > others[-1]:
                     stack.append(width)
+                    others.append(other)
                     put(indent)
                 else:
                     while width < stack[-1]:
                         stack.pop()
+                        others.pop()
                         put(dedent)
-                    if width != stack[-1]:
+                    if width != stack[-1] or other != others[-1]:
                         lines.append(ERROR)
                         starts.append(start)
                         return lines, starts

@@ -31,7 +31,7 @@ def p1_errors(spark: SparkSession, d: str) -> DataFrame:
 def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     """The share of files that do not parse, per project and language."""
     files = _syntax(spark, d).groupBy("grp", "file", "ext").agg(F.min("valid").alias("valid"))
-    lang = F.when(F.col("ext") == "py", "py").otherwise("ts").alias("lang")
+    lang = F.when(F.col("ext").isin("py", "pyi"), "py").otherwise("ts").alias("lang")
     counts = files.groupBy(F.col("grp").alias("project"), lang).agg(F.count("*").alias("files"), F.count_if(~F.col("valid")).alias("invalid"))
     return counts.withColumn("share", F.round(F.col("invalid") / F.col("files"), 4))
 

@@ -1,8 +1,9 @@
 """Source files that do not parse (p1).
 
 Grammars bundled with this package become LR tables on the driver; tasks run a generalised LR recogniser over the whole token stream of each file and
-report the first token that no reading of the grammar takes. The extension names the language: ``.py`` a Python 3.13 module, ``.ts``
-TypeScript, ``.tsx`` TypeScript with markup, ``.js`` JavaScript, ``.jsx`` JavaScript with markup; modules all of them.
+report the first token that no reading of the grammar takes. The extension names the language: ``.py`` and ``.pyi`` a Python 3.13 module, ``.ts``, ``.mts`` and ``.cts``
+TypeScript, ``.tsx`` TypeScript with markup, ``.js`` and ``.mjs`` JavaScript, ``.jsx`` JavaScript with markup; modules all of them. What no grammar of
+tokens says (names declared twice, jumps out of no loop) is not judged.
 
 Defined results: null content gives no row; empty content, white space and comments alone are valid; a leading byte-order mark is not part of the
 content; other extensions are not judged; repeated rows are reported once per (file, content). Very long files are read whole.
@@ -32,12 +33,14 @@ LANGUAGES = {
     "js": ("script.txt", ("js",), False, False),
     "jsx": ("script.txt", ("jsx",), True, False),
 }
+LANGUAGES |= {"pyi": LANGUAGES["py"], "mts": LANGUAGES["ts"], "cts": LANGUAGES["ts"], "mjs": LANGUAGES["js"]}
 
 
 @cache
 def packed_tables() -> bytes:
     """The tables of all languages, compiled once per driver."""
-    return zlib.compress(pickle.dumps({ext: compile_grammar((GRAMMARS / g).read_text(), set(f)) for ext, (g, f, _, _) in LANGUAGES.items()}), 6)
+    compiled = {(g, f): compile_grammar((GRAMMARS / g).read_text(), set(f)) for g, f, _, _ in LANGUAGES.values()}
+    return zlib.compress(pickle.dumps({ext: compiled[g, f] for ext, (g, f, _, _) in LANGUAGES.items()}), 6)
 
 
 class Parser:
@@ -45,9 +48,9 @@ class Parser:
 
     def __init__(self, tables: dict):
         self.lexers, self.recognizers = {}, {}
-        for ext, (_, _, markup, types) in LANGUAGES.items():
+        for ext, (grammar, _, markup, types) in LANGUAGES.items():
             t = tables[ext].terminals
-            if ext == "py":
+            if grammar == "python.txt":
                 self.lexers[ext] = PythonLexer(t)
                 self.recognizers[ext] = Recognizer(tables[ext])
             else:
@@ -58,7 +61,7 @@ class Parser:
         """(line, column) of the first token that does not fit, from 1 and 0; None for a valid file."""
         text = text.removeprefix("﻿")
         lexer, recognizer = self.lexers[ext], self.recognizers[ext]
-        if ext == "py":
+        if isinstance(lexer, PythonLexer):
             if "\0" in text:
                 return _place(text, text.index("\0"))
             lines, starts = lexer.exact(text)

@@ -51,6 +51,46 @@ INVALID = {
 }
 
 
+EARLY_ERRORS = [
+    "return 1", "if (a) { return }", "class A { static { return } }", "{ return }", "for (;;) return", "switch (a) { case 1: return }", "try { return } catch { }", "label: return", "a ?? b || c", "a && b ?? c", "a || b ?? c", "a ?? b && c",
+    "-1 ** 2", "typeof a ** 2", "!a ** 2", "+a ** b", "void 0 ** 2", "delete a.b ** 2", "({a = 1})", "({a, b = 2}, 1)", "f({a = 1})", "[{a = 1}].b", "1 = x", "f() = 1", "f() += 2", "this = 1", "a + b = c", "'a' = b", "`a` = b", "[1, 2]++",
+    "++f()", "f()--", "--1", "1++", "a?.b = 1", "a?.[0]++", "new.target = 1", "(a, b) = c", "for (f() of y) {}", "for (1 in y) {}", "for (a + b of c) {}", "import {a as default} from 'x'", "import {if} from 'x'",
+    "import {a as 'b'} from 'x'", "import default from 'x'", "x = 010", "x = 00", "x = 09.5", "x = 0_1", "a => b = c = 1 => 2", "[a, f()] += b", "({a: 1} += b)", "import {a, class} from 'x'",
+]
+NO_ERRORS = [
+    "function f() { if (a) { return 1 } }", "(a ?? b) || c", "a || b && c", "2 ** -1", "(-1) ** 2", "({a = 1} = b)", "[a, b] = [b, a]", "[a.b, c[0], ...d] = e", "({ a: b.c, d: [e] = [], ...f } = g)", "for ({a, b = 2} of c) {}",
+    "for (a.b in c) {}", "(a) = 1", "a.b.c += 1", "++a.b; a[0]--", "const f = ({a = 1}) => a", "const g = async ([a, b = {}]) => { return a }", "x = y = z", "a = b ?? c ?? d", "class A { m() { return 1 } static { go() } get x() { return 2 } }",
+    "const o = { m() { return 1 }, get a() { return 2 }, b: () => { return 3 } }", "function g() { switch (x) { case 1: return 1; default: for (;;) { try { return } catch { return } finally { while (1) return } } } }",
+    "x = 0.5 + 0n + 0x1f + 1_000 + 0", "import.meta.x = 1", "await a ** 2", "a ** b ** c", "import {default as a, if as b, 'c' as d} from 'x'", "export {a as default, b as if}", "f(...[a, b]).c = 1", "[[a], {b}] = c", "`${a}`.b = 1",
+]
+
+
+def test_early_errors_that_the_grammar_tells(parser):
+    for ext in ("js", "ts", "jsx", "tsx", "mjs", "mts"):
+        for text in EARLY_ERRORS:
+            assert parser.first_error(ext, text) is not None, (ext, text)
+        for text in NO_ERRORS:
+            assert parser.first_error(ext, text) is None, (ext, text)
+    for text in ["(a as any) = 1", "a! = 1", "(a as any).b = 2", "(<any>a).b = 2", "a! += 1", "x = a as T ?? b", "for (const [k, v] of (a as any)) {}", "namespace A { export const x = 1 }"]:
+        assert parser.first_error("ts", text) is None, text
+
+
+@pytest.mark.filterwarnings("ignore::SyntaxWarning")
+def test_python_tokens_agree_with_the_interpreter(parser):
+    texts = [
+        "if a:\n\tb\n        c\n", "if a:\n        b\n\tc\n", "if a:\n  if b:\n\tc\n", "if a:\n\tif b:\n\t    c\n\td\n", "b'é'\n", "rb'é'\n", r"'\N{bad'", r"'\N'", r"'\N{nope}'", r"'\N{BULLET}'", r"'\x1'", r"'\u12'", r"'\U00110000'", r"'\U0010ffff'",
+        r"b'\x1'", r"b'\u12' b'\N'", r"r'\x' rb'\x'", r"r'\x' '\x41'", "'a' b'b'", "b'a' f'b'", r"f'\x1'", r"f'\N{BULLET} {a}'", r"f'\N{nope} {a}'", r"rf'\N{a}'", r"f'\d {a}'", "'\\\n'", "f'\\\n{x}'", r"f'\{6}'", r"f'\N'",
+        "match x:\n  case b'a': pass\n  case {b'a': 1}: pass\n", "x = 0777", "x = 1_", "x = 0b12", "x = 1__0",
+    ]
+    for text in texts:
+        try:
+            ast.parse(text)
+            right = True
+        except SyntaxError:
+            right = False
+        assert (parser.first_error("py", text) is None) == (parser.first_error("pyi", text) is None) == right, text
+
+
 @pytest.mark.parametrize("ext", list(VALID))
 def test_valid_sources(parser, ext):
     for text in VALID[ext]:
