@@ -19,6 +19,7 @@ is long enough; length is in code points, lone surrogates included. Input column
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -81,26 +82,33 @@ def _cut_rows(span: int):
     return run
 
 
-def _longer_rows(span: int, step: int):
-    """For each (hash, text): digests of the stretches of the text that hold a cut with that hash and reach further on either side."""
+def _longer_rows(span: int, step: int, places: bool = False):
+    """For each (hash, text): digests of the stretches of the text that hold a cut with that hash and reach further on either side; with ``places`` of every one of them, with a second digest."""
     total = span - KEY - (step if step > 1 else 0)
     lefts = range(0, total + 1, step)
     size, window = KEY + total, span - KEY + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids = [], []
+            keys, others, at_, ids = [], [], [], []
             for name, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "keys"))):
                 points = code_points(text)
                 ((at, hashes),) = cuts([points], window)
                 at = at[np.isin(hashes.view(np.int64), np.array(wanted, np.int64))]
                 digest = window_hash(gear(points), size)
                 starts = np.unique(np.concatenate([at - (KEY - 1) - a for a in lefts]))
-                found = np.unique(digest[starts[(starts >= 0) & (starts < len(digest))]])
+                starts = starts[(starts >= 0) & (starts < len(digest))]
+                found = digest[starts] if places else np.unique(digest[starts])
                 keys.append(found.view(np.int64))
                 ids.extend([name] * len(found))
+                if places:
+                    others.append(window_hash(mix(gear(points)), size)[starts].view(np.int64))
+                    at_.append(starts)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids, pa.binary())], names=["key", "id"])
+                columns = [pa.array(np.concatenate(keys)), pa.array(ids, pa.binary())]
+                if places:
+                    columns += [pa.array(np.concatenate(others)), pa.array(np.concatenate(at_).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "other", "at"][: len(columns)])
 
     return run
 
@@ -198,30 +206,44 @@ def join_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 class SharedSpans:
-    """The classes of equal texts, and the exact pairs of classes that share a run."""
+    """The classes of equal texts; the exact pairs of classes that share a run, or how much of each is shared."""
 
     def __init__(self, df: DataFrame, name: Column, text: Column, span: int = MIN_SPAN, cap: int = CAP):
         if span < KEY:
             raise ValueError(f"spans are at least {KEY} characters")
-        self.span = span
+        self.span, self.cap = span, cap
         rows = df.select(name.cast("string").alias("file"), text.alias("text")).filter("file is not null and text is not null")
         rows = rows.withColumn("id", F.unhex(F.md5("text")))
         self.texts = rows.filter(F.length("text") >= span).select("id", "text")
         self.members = rows.filter(F.length("text") >= span).select("id", "file").distinct()
         self.sizes = rows.select("file", "id", F.length("text").cast("bigint").alias("n_chars")).distinct()
-        keys = materialize(shared_keys(self.texts.mapInArrow(_cut_rows(span), "key bigint, id binary").distinct()), "keys")
-        pairs = small_pairs(keys, cap)
-        for step in (16, 1):
-            hot = keys.filter(F.col("n") > cap)
-            if hot.isEmpty():
-                break
-            at = hot if step == 16 else first.join(hot.select("id").distinct(), "id", "left_semi")
-            first = at  # cuts by their gear hash; the second step starts from them again
-            with_text = at.groupBy("id").agg(F.collect_set("key").alias("keys")).join(self.texts.dropDuplicates(["id"]), "id")
-            keys = materialize(shared_keys(with_text.mapInArrow(_longer_rows(span, step), "key bigint, id binary").distinct()), f"longer{step}")
-            pairs = pairs.union(small_pairs(keys, cap) if step > 1 else block_pairs(keys, cap))
-        pairs = materialize(pairs.distinct(), "candidates")
-        self.found = materialize(join_texts(pairs, self.texts).mapInArrow(_compare(span), "a binary, b binary"), "found")
+
+    @cached_property
+    def _candidates(self) -> tuple[DataFrame, DataFrame | None]:
+        """Pairs of classes that share a key few share; and, if there are any, the texts with keys too many share, even with more context: (id, text, keys)."""
+        keys = first = materialize(shared_keys(self.texts.mapInArrow(_cut_rows(self.span), "key bigint, id binary").distinct()), "keys")
+        pairs, rest = small_pairs(keys, self.cap), None
+        hot = keys.filter(F.col("n") > self.cap)
+        if not hot.isEmpty():
+            rest = self._with_text(hot)
+            keys = materialize(shared_keys(rest.mapInArrow(_longer_rows(self.span, 16), "key bigint, id binary").distinct()), "longer")
+            pairs = pairs.union(small_pairs(keys, self.cap))
+            still = keys.filter(F.col("n") > self.cap)
+            # cuts by their gear hash: the second step starts from them again
+            rest = None if still.isEmpty() else self._with_text(first.filter(F.col("n") > self.cap).join(still.select("id").distinct(), "id", "left_semi"))
+        return materialize(pairs.distinct(), "candidates"), rest
+
+    def _with_text(self, keys: DataFrame) -> DataFrame:
+        return keys.groupBy("id").agg(F.collect_set("key").alias("keys")).join(self.texts.dropDuplicates(["id"]), "id")
+
+    @cached_property
+    def found(self) -> DataFrame:
+        """All pairs (a, b) of classes that share a run."""
+        pairs, rest = self._candidates
+        if rest is not None:
+            keys = materialize(shared_keys(rest.mapInArrow(_longer_rows(self.span, 1), "key bigint, id binary").distinct()), "whole")
+            pairs = materialize(pairs.union(block_pairs(keys, self.cap)).distinct(), "pairs")
+        return materialize(join_texts(pairs, self.texts).mapInArrow(_compare(self.span), "a binary, b binary"), "found")
 
     def pairs(self) -> DataFrame:
         """(file_a, file_b), file_a < file_b."""
@@ -229,7 +251,13 @@ class SharedSpans:
 
     def shared(self) -> DataFrame:
         """(file, n_chars, shared_chars): how many characters of each text lie in a run that a text of another name holds too."""
-        runs = join_texts(self.found, self.texts).mapInArrow(_runs(self.span), "id binary, s bigint, e bigint")
+        pairs, rest = self._candidates
+        runs = join_texts(pairs, self.texts).mapInArrow(_runs(self.span), "id binary, s bigint, e bigint")
+        if rest is not None:
+            # what very many share needs no pairs: a stretch of ``span`` characters is shared if two texts have its digests
+            places = materialize(rest.mapInArrow(_longer_rows(self.span, 1, True), "key bigint, id binary, other bigint, at bigint"), "places")
+            shared = places.groupBy("key", "other").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("key", "other")
+            runs = runs.union(places.join(shared, ["key", "other"]).select("id", F.col("at").alias("s"), (F.col("at") + self.span).alias("e")))
         states = interval_states(runs, F.hex("id"), F.col("s"), F.col("e"))
         partly = interval_periods(states).groupBy("key").agg(F.sum(F.col("period_end") - F.col("period_start")).alias("part"))
         copies = self.members.groupBy("id").agg(F.count("*").alias("copies"))
