@@ -4,7 +4,8 @@ The aggregate's state is a sorted list of disjoint intervals. Two states combine
 Arrow batch, then combined over a reduction tree of shuffles: first per (key, block, salt), then per (key, block). A *block* is
 a fixed stretch of the axis to which an interval belongs by its start, so one state never holds more than
 ``block`` disjoint starts, however large a key grows; a salt spreads a key that holds a large part of all rows. What an interval reaches beyond its block is
-settled at the end by a running maximum over the few blocks of a key.
+settled at the end by a running maximum over the blocks of a key, first within stretches of ``TOP`` blocks, then over these: no task
+holds more of one key than a stretch's states, or one small row for each stretch.
 
 Defined results: rows with a null key, start or end, and empty or reversed intervals are ignored; touching intervals
 ([1,3) and [3,5)) are one period; repeated rows change nothing; an empty table gives an empty result. Other columns of the
@@ -17,11 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
 SALTS = 16
+TOP = 1024
 _STATE = "key string, block bigint, salt int, starts array<bigint>, ends array<bigint>"
 
 
@@ -73,7 +76,7 @@ def _grouped(key: pa.Array, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _partial(block_size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, batch in enumerate(batches):
+        for n, batch in enumerate(batches, TaskContext.get().partitionId()):
             if batch.num_rows:
                 s, e = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
                 block = s // block_size
@@ -115,22 +118,39 @@ def interval_states(df: DataFrame, key: Column, start: Column, end: Column, bloc
     states = rows.mapInArrow(_partial(block), _STATE)
     for keys in (["key", "block", "salt"], ["key", "block"]):
         states = states.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_combine, _STATE)
-    before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return states.select("key", "block", "starts", "ends", F.max(F.element_at("ends", -1)).over(before).alias("reach"))
+    states = states.withColumn("top", F.expr(f"block div {TOP}"))
+    end_of = F.element_at("ends", -1)
+    inner = F.max(end_of).over(Window.partitionBy("key", "top").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    tops = states.groupBy("key", "top").agg(F.max(end_of).alias("last"))
+    tops = tops.select("key", "top", F.max("last").over(Window.partitionBy("key").orderBy("top").rowsBetween(Window.unboundedPreceding, -1)).alias("above"))
+    return states.withColumn("inner", inner).join(tops, ["key", "top"]).select("key", "block", "starts", "ends", F.greatest("inner", "above").alias("reach"))
 
 
-def interval_gaps(states: DataFrame) -> DataFrame:
-    """(key, gap_start, gap_end): what no interval covers between the first and the last covered point of a key."""
+def _gaps() -> Column:
+    """The gaps that end in a block, as (gap_start, gap_end)."""
     # the end of what lies before each interval, null before the very first
     before = F.concat(F.array("reach"), F.transform(F.slice("ends", 1, F.size("ends") - 1), lambda e: F.greatest(e, "reach")))
-    gaps = F.filter(F.arrays_zip(before.alias("gap_start"), F.col("starts").alias("gap_end")), lambda g: g["gap_start"] < g["gap_end"])
-    return states.select("key", F.inline(gaps).alias("gap_start", "gap_end"))
+    return F.filter(F.arrays_zip(before.alias("gap_start"), F.col("starts").alias("gap_end")), lambda g: g["gap_start"] < g["gap_end"])
+
+
+def interval_gaps(states: DataFrame) -> DataFrame:
+    """(key, gap_start, gap_end): what no interval covers between the first and the last covered point of a key."""
+    return states.select("key", F.inline(_gaps()).alias("gap_start", "gap_end"))
 
 
 def interval_periods(states: DataFrame) -> DataFrame:
-    """(key, period_start, period_end): the continuous covered periods of a key, the complement of its gaps."""
-    span = states.groupBy("key").agg(F.min(F.element_at("starts", 1)).alias("lo"), F.max(F.element_at("ends", -1)).alias("hi"))
-    none = F.lit(None).cast("bigint")
-    edges = interval_gaps(states).unionByName(span.select("key", none.alias("gap_start"), F.col("lo").alias("gap_end"))).unionByName(span.select("key", F.col("hi").alias("gap_start"), none.alias("gap_end")))
-    order = Window.partitionBy("key").orderBy(F.coalesce("gap_end", "gap_start"), F.col("gap_end").isNull())
-    return edges.select("key", F.lag("gap_end").over(order).alias("period_start"), F.col("gap_start").alias("period_end")).filter("period_start is not null and period_end is not null")
+    """(key, period_start, period_end): the continuous covered periods of a key, the complement of its gaps.
+
+    A period ends where the next gap starts: the next one in its block, else the first one in a later block, else the end of all."""
+    rows = states.select("key", "block", F.expr(f"block div {TOP}").alias("top"), F.col("reach").isNull().alias("first"), F.element_at("starts", 1).alias("lo"), F.element_at("ends", -1).alias("last"), _gaps().alias("gaps"))
+    rows = rows.withColumn("stop", F.get("gaps", F.lit(0))["gap_start"])
+    rows = rows.withColumn("next", F.first("stop", ignorenulls=True).over(Window.partitionBy("key", "top").orderBy("block").rowsBetween(1, Window.unboundedFollowing)))
+    tops = rows.groupBy("key", "top").agg(F.min(F.when(F.col("stop").isNotNull(), F.struct("block", "stop")))["stop"].alias("stop"), F.max("last").alias("last"))
+    after = Window.partitionBy("key").orderBy("top").rowsBetween(1, Window.unboundedFollowing)
+    tops = tops.select("key", "top", F.first("stop", ignorenulls=True).over(after).alias("later"), F.max("last").over(Window.partitionBy("key")).alias("hi"))
+    none = F.array().cast("array<bigint>")
+    opens = F.concat(F.when(F.col("first"), F.array("lo")).otherwise(none), F.transform("gaps", lambda g: g["gap_end"]))
+    inner = F.when(F.col("first"), F.col("gaps")).otherwise(F.slice("gaps", 2, F.greatest(F.size("gaps") - 1, F.lit(0))))
+    closes = F.concat(F.transform(inner, lambda g: g["gap_start"]), F.array(F.coalesce("next", "later", "hi")))
+    periods = rows.join(tops, ["key", "top"]).select("key", F.inline(F.arrays_zip(opens.alias("period_start"), closes.alias("period_end"))))
+    return periods.filter("period_start is not null")

@@ -266,7 +266,9 @@ def differences(left: DataFrame, right: DataFrame, key: str, fields: list[str],
         if open_buckets is not None:
             a, b = (s.join(open_buckets, "bucket", "left_semi") for s in (left, right))
         both = _sketches(a, m + CHECKS).select("bucket", F.col("n").alias("na"), F.col("value").alias("va")).join(_sketches(b, m + CHECKS).select("bucket", F.col("n").alias("nb"), F.col("value").alias("vb")), "bucket", "full")
-        decoded = materialize(both.mapInArrow(_decode, _DECODED), f"round{m}")
+        # few small rows with much to compute: a fixed number of tasks, which adaptive execution does not merge
+        spread = both.repartition(max(1, min(buckets, 4 * left.sparkSession.sparkContext.defaultParallelism)))
+        decoded = materialize(spread.mapInArrow(_decode, _DECODED), f"round{m}")
         found.append(decoded.filter("ok"))
         open_buckets = decoded.filter("not ok").select("bucket")
         if open_buckets.isEmpty():
