@@ -6,8 +6,8 @@ softmax; plain numpy) gives each window a distribution, a sentence gets the mean
 probable path with a price per change of language makes segments. A sentence of few letters says little: its log-probabilities weigh
 less, and it counts as a sentence of its segment only if it looks like its language by itself.
 
-The network is trained on the labelled rows themselves: documents with a usable label, chosen by digest, at most ``SAMPLE_DOCS`` shared out evenly between
-the languages (``SAMPLE_LEAST`` of each at least), at most ``SAMPLE_SENTENCES`` sentences of each. Labels are partly wrong, so a sentence counts for
+The network is trained on the labelled rows themselves: documents with a usable label, chosen by digest, about ``SAMPLE_DOCS``, of each language in
+proportion to its documents but ``SAMPLE_LEAST`` at least if it has them, at most ``SAMPLE_SENTENCES`` sentences of each. Labels are partly wrong, so a sentence counts for
 the label most of its copies have, and after a first round sentences the network is sure to be mislabelled are left out. Every sentence is also
 shown without accents. Everything else reads all documents.
 
@@ -220,9 +220,10 @@ def fit(texts: Iterator[tuple[str, str]], steps: int = STEPS) -> tuple[list[str]
         shown = [cleans[i] for i in chosen] + [plain(cleans[i]) for i in chosen]
         x, owner = windows(shown)
         label = np.r_[y[chosen], y[chosen]][owner]
-        # rare languages are shown more often, by the square root
+        # rare languages are shown more often, by the square root, and frequent sentences, by the logarithm
         counts = np.bincount(label, minlength=len(langs))
-        repeat = np.maximum(1, np.sqrt(counts.max() / np.maximum(counts, 1))).astype(int)[label]
+        often = np.log2([sum(votes[cleans[i]].values()) for i in chosen]).astype(int) + 1
+        repeat = np.maximum(1, np.sqrt(counts.max() / np.maximum(counts, 1))).astype(int)[label] * np.r_[often, often][owner]
         net = Network(len(langs), seed=round_)
         net.train(np.repeat(x, repeat, 0), np.repeat(label, repeat), n, seed=round_)
         if round_ == 1:
@@ -320,12 +321,15 @@ def detect(df: DataFrame, key: Column, text: Column, label: Column, codes: DataF
     usable = rows.filter("label is not null and length(text) > 40")
     digest = F.xxhash64("id").bitwiseAND((1 << 62) - 1)
     counts = {r.label: r.n for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a language of ``codes``
-    each = max(SAMPLE_LEAST, sample_docs // max(1, len(counts)))
-    # about twice the sample passes these bounds at any size, so the final choice moves no more than that
-    bounds = F.create_map(*(F.lit(x) for label, n in counts.items() for x in (label, int(min(1.0, 2 * each / n) * ((1 << 62) - 1))))) if counts else F.lit(None)
-    chosen = usable.filter(digest <= F.try_element_at(bounds, F.col("label"))) if counts else usable.limit(0)
-    place = F.row_number().over(Window.partitionBy("label").orderBy(digest, "id", "text"))
-    sample = chosen.withColumn("place", place).filter(F.col("place") <= each)
+    each = {label: max(SAMPLE_LEAST, round(sample_docs * n / sum(counts.values()))) for label, n in counts.items()}
+    by_label = lambda d: F.try_element_at(F.create_map(*(F.lit(x) for pair in d.items() for x in pair)), F.col("label"))
+    if not counts:
+        sample = usable
+    else:
+        # about twice the sample passes these bounds at any size, so the final choice moves no more than that
+        chosen = usable.filter(digest <= by_label({label: int(min(1.0, 2 * each[label] / n) * ((1 << 62) - 1)) for label, n in counts.items()}))
+        place = F.row_number().over(Window.partitionBy("label").orderBy(digest, "id", "text"))
+        sample = chosen.withColumn("place", place).filter(F.col("place") <= by_label(each))
     # one task trains, away from the driver; only the weights come back
     (model,) = sample.select("label", "text").repartition(1).mapInArrow(_train(steps), "model binary").collect() or [None]
     if model is None:
