@@ -22,7 +22,7 @@ functions array<struct<name: string, cyclomatic: int, cognitive: int, mi: double
 
 
 def extract(file: str, content: str | None) -> dict:
-    """The relations of one file; unreadable content is an empty file, content that does not parse an empty inventory marked as failed."""
+    """The relations of one file; unreadable content is an empty file, content that does not parse is marked as failed and gives what can be read."""
     if content is None:
         return {"failed": False, "decls": [], "imports": [], "usages": [], "functions": []}
     handler = extract_python if file.endswith((".py", ".pyi")) else HANDLERS.get("." + file.rsplit(".", 1)[-1], extract_script)

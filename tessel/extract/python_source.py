@@ -208,21 +208,57 @@ def _cognitive_of(x: ast.stmt, name: str, depth: int) -> int:
     return _expressions(x, name, depth)
 
 
-def extract_python(text: str) -> dict:
+_UNREADABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
+_TOP = re.compile(r"(?!else\b|elif\b|except\b|finally\b)[^\s#)\]}]")
+_AHEAD = 8
+
+
+def _reads(text: str) -> bool:
     try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(text)
-            places = _Places(text)
-            decls = _declarations(tree, places)
-            walk = _Walk(places)
-            walk.visit(tree)
-            functions = [_metrics(x, text, places) for x in ast.walk(tree) if isinstance(x, _FUNCS)]
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return {"failed": True, "decls": [], "imports": [], "usages": [], "functions": []}
+        _read(text)
+    except _UNREADABLE:
+        return False
+    return True
+
+
+def repaired(text: str) -> str:
+    """The text with every statement of the module blanked that cannot be read by itself; all offsets stay. Of a statement that ends in the middle, up to ``_AHEAD`` of the lines that look like the next ones are tried as its rest."""
+    lines = text.split("\n")
+    starts = [n for n, line in enumerate(lines) if _TOP.match(line)] + [len(lines)]
+    k = 0
+    while k < len(starts) - 1:
+        end = next((j for j in range(k + 1, min(k + 1 + _AHEAD, len(starts))) if _reads("\n".join(lines[starts[k] : starts[j]]))), None)
+        if end is None:
+            end = k + 1
+            for n in range(starts[k], starts[end]):
+                lines[n] = " " * len(lines[n].rstrip("\r")) + "\r" * lines[n].endswith("\r")
+        k = end
+    return "\n".join(lines)
+
+
+def _read(text: str) -> dict:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        tree = ast.parse(text)
+    places = _Places(text)
+    decls = _declarations(tree, places)
+    walk = _Walk(places)
+    walk.visit(tree)
+    functions = [_metrics(x, text, places) for x in ast.walk(tree) if isinstance(x, _FUNCS)]
     decls.sort(key=lambda d: (d["start_off"], d["name"]))
     functions.sort(key=lambda f: f["start_off"])
-    return {"failed": False, "decls": decls, "imports": walk.imports, "usages": walk.usages, "functions": functions}
+    return {"decls": decls, "imports": walk.imports, "usages": walk.usages, "functions": functions}
+
+
+def extract_python(text: str) -> dict:
+    """The inventory; of a module that does not parse, or is nested too deeply, that of its readable statements."""
+    try:
+        return {"failed": False, **_read(text)}
+    except _UNREADABLE:
+        try:
+            return {"failed": True, **_read(repaired(text))}
+        except _UNREADABLE:
+            return {"failed": True, "decls": [], "imports": [], "usages": [], "functions": []}
 
 
 def _metrics(node, text: str, places: _Places) -> dict:

@@ -111,8 +111,10 @@ class _Scan:
         j = i + 1
         while j < self.size and self.kinds[j] != "text" and not (self.fresh[j] and self.word(j) in _WORDS and self.word(j) not in ("default", "as")):
             j += 1
-        if j >= self.size or self.kinds[j] != "text":
+        if j >= self.size or self.kinds[j] != "text" or self.word(j - 1) != "from" and j != i + 1:
             return j
+        if len(self.words[j]) < 3 or self.words[j][-1] != self.words[j][0]:
+            return j + 1  # a string that never ends names no module
         types = self.word(i + 1) == "type" and self.word(i + 2) not in ("from", ",") and self.kinds[i + 2] != "text"
         if not types and self.word(i + 1) == "{":
             inner = self.words[i + 2 : self.match[i + 1]]
