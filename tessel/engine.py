@@ -25,7 +25,7 @@ JS = "{ts,tsx,js,jsx,mjs,cjs,mts,cts}"
 ENTRY_GLOBS = [
     *(f"{p}{n}.{JS}" for n in ("index", "main", "cli", "server", "app") for p in ("", "src/")), f"bin/**/*.{JS}", f"src/bin/**/*.{JS}", f"scripts/**/*.{JS}", f"**/preload.{JS}", f"src/electron/main.{JS}",
     f"src/main/index.{JS}", f"src/renderer/index.{JS}", f"packages/*/src/index.{JS}", f"packages/*/index.{JS}", f"packages/*/src/main.{JS}", f"**/*.test.{JS}", f"**/*.spec.{JS}", f"**/__tests__/**/*.{JS}",
-    f"**/__mocks__/**/*.{JS}", f"test/**/*.{JS}", f"tests/**/*.{JS}", "**/__main__.py", "manage.py", "**/manage.py", "wsgi.py", "asgi.py", "**/wsgi.py", "**/asgi.py", "app.py", "main.py", "run.py", "src/main.py",
+    f"**/__mocks__/**/*.{JS}", f"test/**/*.{JS}", f"tests/**/*.{JS}", f"*.config.{JS}", "**/__main__.py", "manage.py", "**/manage.py", "wsgi.py", "asgi.py", "**/wsgi.py", "**/asgi.py", "app.py", "main.py", "run.py", "src/main.py",
     "setup.py", "noxfile.py", "tasks.py", "conftest.py", "**/conftest.py", "**/test_*.py", "**/*_test.py", "test/**/*.py", "tests/**/*.py", "scripts/**/*.py",
 ]
 ALIASES = {"~~/": "", "@@/": "", "~/": "", "@/": "", "#internal/": "internal/"}

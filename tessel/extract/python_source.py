@@ -213,24 +213,32 @@ _TOP = re.compile(r"(?!else\b|elif\b|except\b|finally\b)[^\s#)\]}]")
 _AHEAD = 8
 
 
-def _reads(text: str) -> bool:
+def _reads(text: str) -> int | None:
+    """None if the text can be read, else how many of its lines lie before the error."""
     try:
         _read(text)
+    except SyntaxError as e:
+        return max(0, (e.lineno or 1) - 1)
     except _UNREADABLE:
-        return False
-    return True
+        return 0
+    return None
 
 
 def repaired(text: str) -> str:
-    """The text with every statement of the module blanked that cannot be read by itself; all offsets stay. Of a statement that ends in the middle, up to ``_AHEAD`` of the lines that look like the next ones are tried as its rest."""
+    """The text with what cannot be read of the module's statements blanked; all offsets stay.
+
+    Of a statement that ends in the middle, up to ``_AHEAD`` of the lines that look like the next ones are tried as its rest; of one that is
+    broken, the lines before the error are kept if they can be read."""
     lines = text.split("\n")
     starts = [n for n, line in enumerate(lines) if _TOP.match(line)] + [len(lines)]
     k = 0
     while k < len(starts) - 1:
-        end = next((j for j in range(k + 1, min(k + 1 + _AHEAD, len(starts))) if _reads("\n".join(lines[starts[k] : starts[j]]))), None)
+        end = next((j for j in range(k + 1, min(k + 1 + _AHEAD, len(starts))) if _reads("\n".join(lines[starts[k] : starts[j]])) is None), None)
         if end is None:
-            end = k + 1
-            for n in range(starts[k], starts[end]):
+            end, last = k + 1, starts[k + 1]
+            while last > starts[k] and (good := _reads("\n".join(lines[starts[k] : last]))) is not None:
+                last = min(last - 1, starts[k] + good)
+            for n in range(last, starts[end]):
                 lines[n] = " " * len(lines[n].rstrip("\r")) + "\r" * lines[n].endswith("\r")
         k = end
     return "\n".join(lines)
