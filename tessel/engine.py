@@ -189,7 +189,7 @@ class Codebase:
 
     def clone_families(self) -> DataFrame:
         """Families of all clone types, merged."""
-        toks = self.sources.filter("content is not null").select("file", clones.tokens(F.col("content")).alias("toks"))
+        toks = self.sources.filter("content is not null").select("file", clones.tokens(F.col("content"), F.col("file").rlike(r"\.pyi?$")).alias("toks"))
         return clones.find_clones(toks, self.config.min_tokens, CLONE_KEYWORDS)
 
     def enabled(self, mode: str) -> list[str]:

@@ -21,16 +21,22 @@ from pyspark.sql import functions as F
 from tessel.functions.rolling import MULTIPLIER, mix, window_hash
 from tessel.session import materialize
 
-TOKEN = r"[A-Za-z_]\w*|\d+|[^\s\w]"
+_QUOTED = r"""'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'|"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*\""""
+_PLAIN = r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]"
+SCRIPT_TOKEN = rf"//[^\n]*|/\*[\s\S]*?\*/|{_QUOTED}|`[^`\\]*(?:\\[\s\S][^`\\]*)*`|=>|[=!]==?|&&|\|\||\?\?|\?\.|{_PLAIN}"
+PYTHON_TOKEN = rf"""#[^\n]*|\'{{3}}[\s\S]*?\'{{3}}|"{{3}}[\s\S]*?"{{3}}|{_QUOTED}|->|:=|[=!<>]=|\*\*|//|{_PLAIN}"""
+SCRIPT_COMMENT, PYTHON_COMMENT = r"^(//|/\*)", r"^#"
 
 
-def tokens(content: Column) -> Column:
-    return F.regexp_extract_all(content, F.lit(TOKEN), F.lit(0))
+def tokens(content: Column, python: Column) -> Column:
+    """Names, numbers, operators and whole strings of a source text; comments and white space are left out."""
+    of = lambda token, comment: F.filter(F.regexp_extract_all(content, F.lit(token), F.lit(0)), lambda t: ~t.rlike(comment))
+    return F.when(python, of(PYTHON_TOKEN, PYTHON_COMMENT)).otherwise(of(SCRIPT_TOKEN, SCRIPT_COMMENT))
 
 
 def normalised(toks: Column, keywords: list[str]) -> Column:
     """Every identifier that is no keyword becomes one token: clones up to renaming."""
-    return F.transform(toks, lambda t: F.when(t.rlike(r"^[A-Za-z_]") & ~t.isin(*keywords), F.lit("IDENT")).otherwise(t))
+    return F.transform(toks, lambda t: F.when(t.rlike(r"^[A-Za-z_$]") & ~t.isin(*keywords), F.lit("IDENT")).otherwise(t))
 
 
 def grams(files: DataFrame, m: int) -> DataFrame:

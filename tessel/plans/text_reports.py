@@ -17,7 +17,7 @@ KEYWORDS = ["import", "from", "export", "const", "let", "function", "async", "aw
 
 
 def _token_files(spark, d, renamed=False):
-    toks = clones.tokens(F.col("content"))
+    toks = clones.tokens(F.col("content"), F.col("file").rlike(r"\.pyi?$"))
     return sources(spark, d).select("file", (clones.normalised(toks, KEYWORDS) if renamed else toks).alias("toks"))
 
 
@@ -162,12 +162,16 @@ n AS (SELECT *, sum(CASE WHEN came THEN 0 ELSE 1 END) OVER (PARTITION BY file OR
 SELECT file, min(pos) AS pos, min(members) AS members, count(*) + {M - 1} AS length FROM n GROUP BY file, run"""
 
 
-_TOKS = r"regexp_extract_all(content, '[A-Za-z_]\w*|\d+|[^\s\w]')"
+# strings, templates and comments are one token each, and comments are left out
+_STRINGS = r"""''[^''\\\n]*(?:\\[\s\S][^''\\\n]*)*''|"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*\""""
+_NAMES = r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]"
+_TOKS = rf"""CASE WHEN regexp_matches(file, '\.pyi?$') THEN list_filter(regexp_extract_all(content, '#[^\n]*|(?:''){{3}}[\s\S]*?(?:''){{3}}|\"\"\"[\s\S]*?\"\"\"|{_STRINGS}|->|:=|[=!<>]=|\*\*|//|{_NAMES}'), lambda x: x[1] <> '#')
+  ELSE list_filter(regexp_extract_all(content, '//[^\n]*|/\*[\s\S]*?\*/|{_STRINGS}|`[^`\\]*(?:\\[\s\S][^`\\]*)*`|=>|[=!]==?|&&|\|\||\?\?|\?\.|{_NAMES}'), lambda x: NOT regexp_matches(x, '^(//|/\*)')) END"""
 _KEEP = ", ".join(f"'{k}'" for k in KEYWORDS)
 _REPORT = "r AS (SELECT DISTINCT finding_id, kind, severity, file, message, loc.start_pos.line AS line, loc.start_pos.col AS col FROM findings_actual WHERE loc IS NOT NULL AND file IS NOT NULL AND message IS NOT NULL)"
 ORACLES = {
     "clone_type1": _clone_sql(_TOKS),
-    "clone_type2": _clone_sql(rf"list_transform({_TOKS}, lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z_]') AND x NOT IN ({_KEEP}) THEN 'IDENT' ELSE x END)"),
+    "clone_type2": _clone_sql(rf"list_transform({_TOKS}, lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z_$]') AND x NOT IN ({_KEEP}) THEN 'IDENT' ELSE x END)"),
     "clone_subsumption": """WITH e AS (SELECT event_type, user_id, epoch_us(ts) AS pt, epoch_us(ts) // 86400000000 AS day FROM events),
 s AS (SELECT event_type || '/' || user_id || '/' || day AS id, user_id || '/' || day AS file, min(pt) AS lo, max(pt) AS hi, count(*) AS length FROM e GROUP BY event_type, user_id, day)
 SELECT DISTINCT a.id FROM s a JOIN s b ON a.file = b.file AND a.id <> b.id AND a.length < b.length AND b.lo <= a.lo AND a.hi <= b.hi""",
