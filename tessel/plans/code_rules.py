@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.operators import graph, reexports, rules
-from tessel.operators.resolve import package_of, python_base, python_candidates, resolve
-from tessel.plans.runtime_health import sources
+from tessel.operators.resolve import package_of
 from tessel.session import table
 
 
@@ -234,16 +233,8 @@ def import_hygiene(spark, d):
     return rules.import_hygiene(links, declared).distinct()
 
 
-def python_import_resolution(spark, d):
-    """Every relative Python import with the module file it means, or null."""
-    module = F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^from (\.+\w+) import"), F.lit(1))).alias("module")
-    rows = sources(spark, d).filter(F.endswith("file", F.lit(".py"))).select("file", module).distinct()
-    base = python_base(F.col("file"), F.lit("/"), F.col("module"))
-    return resolve(rows, table(spark, d, "files").select("file"), python_candidates(base)).select("file", "module", "dst")
-
-
 QUERIES = {
-    "trace_export": trace_export, "entry_star_targets": entry_star_targets, "reexport_provenance": reexport_provenance, "star_symbols": star_symbols, "import_hygiene": import_hygiene, "python_import_resolution": python_import_resolution,
+    "trace_export": trace_export, "entry_star_targets": entry_star_targets, "reexport_provenance": reexport_provenance, "star_symbols": star_symbols, "import_hygiene": import_hygiene,
     "unused_files": unused_files, "trace_importers": trace_importers, "circular_dependencies": circular_dependencies, "import_components": import_components, "reexport_fixed_point": reexport_fixed_point, "reverse_index": reverse_index,
     "unused_exports": unused_exports, "unused_types": unused_types, "duplicate_exports": duplicate_exports, "unused_deps": _deps("ECONOMY"), "unused_dev_deps": _deps("PROMO"), "unused_optional_deps": _deps("STANDARD"),
     "unused_enum_members": _members("enum"), "unused_class_members": _members("class"), "boundary_violations": boundary_violations, "nearest_manifest": nearest_manifest, "private_type_leak": private_type_leak,
@@ -277,11 +268,6 @@ SELECT r.file, r.name, min(l.dst) AS via FROM r JOIN l ON l.src = r.file JOIN r
 k AS (SELECT DISTINCT project, spec AS name FROM r WHERE kind IN ('unused-deps', 'unused-dev-deps')),
 p AS (SELECT *, CASE WHEN spec <> '' AND NOT regexp_matches(spec, '^(\.|/|#|[A-Za-z][A-Za-z0-9+.\-]*:)') THEN regexp_extract(spec, '^(@[^/]+/[^/]+|[^@/][^/]*)', 1) END AS package FROM r)
 SELECT DISTINCT src, spec, CASE WHEN package IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.project = p.project AND k.name = p.package) THEN 'unlisted-dependencies' ELSE 'unresolved-imports' END AS rule FROM p""",
-    "python_import_resolution": r"""WITH s AS (SELECT file, b.content AS content FROM (SELECT file, max({'i': ingested_at, 'project': project, 'content': content}) AS b FROM files WHERE content IS NOT NULL GROUP BY file)),
-i AS (SELECT DISTINCT file, unnest(regexp_extract_all(content, '(?m)^from (\.+\w+) import', 1)) AS module FROM s WHERE ends_with(file, '.py')),
-b AS (SELECT file, module, array_to_string(list_slice(string_split(file, '/'), 1, len(string_split(file, '/')) - length(regexp_extract(module, '^\.+'))), '/') || '/' || regexp_replace(module, '^\.+', '') AS base FROM i),
-k AS (SELECT file, module, 0 AS rank, base || '.py' AS path FROM b UNION ALL SELECT file, module, 1, base || '/__init__.py' FROM b UNION ALL SELECT file, module, 2, base || '.pyi' FROM b),
-g AS (SELECT k.file, module, arg_min(path, rank) AS dst FROM k JOIN (SELECT DISTINCT file AS f FROM files) ON f = path GROUP BY ALL) SELECT b.file, b.module, g.dst FROM b LEFT JOIN g ON g.file = b.file AND g.module = b.module""",
     "unused_files": f"WITH RECURSIVE {_REACH} SELECT k AS file FROM o WHERE k NOT IN (SELECT node FROM r)",
     "reachable_rounds": f"WITH RECURSIVE {_E}, r(node) AS (SELECT k FROM o WHERE v >= 490000 UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r",
     "trace_importers": f"WITH RECURSIVE {_E}, r(file) AS (SELECT src FROM e WHERE dst IN (SELECT k FROM o WHERE v < 5000) UNION SELECT e.src FROM r JOIN e ON e.dst = r.file) SELECT file FROM r",

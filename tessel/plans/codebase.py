@@ -75,6 +75,17 @@ def exported_declarations(spark, d):
     return codebase(spark, d).decls.filter("exported").select("file", "kind", "name", "start_off", "line")
 
 
+def import_resolution(spark, d):
+    """Every relative script import with the file it means, or null."""
+    edges = codebase(spark, d).edges.filter(F.col("spec").rlike(r"^\.\.?/") & ~F.col("src").rlike(r"\.pyi?$"))
+    return edges.select(F.col("src").alias("file"), "spec", "dst").distinct()
+
+
+def python_import_resolution(spark, d):
+    """Every Python import with the module file it means, or null."""
+    return codebase(spark, d).edges.filter(F.col("src").rlike(r"\.pyi?$")).select(F.col("src").alias("file"), F.col("spec").alias("module"), "dst").distinct()
+
+
 def _plain(found: DataFrame) -> DataFrame:
     return found.select("kind", "file", F.coalesce(F.col("off").cast("bigint"), F.lit(-1)).alias("off"), F.coalesce("name", F.lit("")).alias("name"), "message")
 
@@ -101,7 +112,7 @@ def code_counts(spark, d):
 QUERIES = {
     "inventory_declarations": inventory_declarations, "inventory_imports": inventory_imports, "inventory_usages": inventory_usages, "function_complexity": function_complexity, "file_complexity": file_complexity,
     "module_edges": module_edges, "entry_points": entry_points, "findings_all": findings_all, "findings_counts": findings_counts, "codebase_health": codebase_health,
-    "clones_merged": clones_merged, "exported_declarations": exported_declarations, "code_counts": code_counts,
+    "clones_merged": clones_merged, "exported_declarations": exported_declarations, "code_counts": code_counts, "import_resolution": import_resolution, "python_import_resolution": python_import_resolution,
     **{f"code_{k.replace('-', '_')}": _rule(k) for k in ("unused-files", "unused-exports", "unused-types", "unresolved-imports", "unlisted-dependencies")},
 }
 
@@ -157,6 +168,8 @@ ORACLES = {
     "entry_points": f"WITH {_LINES}, {_ENTRIES} SELECT project, file FROM k",
     "inventory_imports": f"WITH {_LINES} SELECT file, 'static' AS kind, spec AS source, true AS resolvable, start_off, line FROM i",
     "exported_declarations": f"WITH {_LINES} SELECT file, kind, name, start_off, line FROM x",
+    "import_resolution": rf"WITH {_EDGES} SELECT DISTINCT src AS file, spec, dst FROM e WHERE regexp_matches(spec, '^\.\.?/') AND NOT ends_with(src, '.py')",
+    "python_import_resolution": f"WITH {_EDGES} SELECT DISTINCT src AS file, spec AS module, dst FROM e WHERE ends_with(src, '.py')",
     "module_edges": f"WITH {_EDGES} SELECT src, dst, kind, spec, resolvable FROM e",
     "code_counts": f"""WITH RECURSIVE {_CYCLES}, {_ENTRIES}, r(node) AS (SELECT file FROM k UNION SELECT g.dst FROM r JOIN g ON g.src = r.node), a AS ({" UNION ALL ".join(q for _, q in _FOUND.values())}),
 b AS (SELECT * FROM a WHERE NOT (kind IN ('unused-exports', 'unused-types') AND file IN (SELECT file FROM a WHERE kind = 'unused-files'))) SELECT rule, count(b.kind) AS n FROM (SELECT unnest([{", ".join(f"'{x}'" for x in _FOUND)}]) AS rule) LEFT JOIN b ON b.kind = rule GROUP BY rule""",

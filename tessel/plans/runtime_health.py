@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tessel.functions import scores
 from tessel.functions.globs import path_glob
 from tessel.operators import coverage as cov
-from tessel.operators.resolve import EXTENSIONS, dirname, fold, resolve, script_candidates
 from tessel.session import table
 
 
@@ -114,19 +113,6 @@ def rule_priority(spark, d):
     return found.groupBy("project").agg(F.countDistinct("finding_id").alias("findings")).join(project_score(spark, d), "project").select("project", "findings", "score")
 
 
-def imports(spark, d):
-    """Script imports by the text of the statement: one pattern, the one of the SQL; the extraction's imports have all forms."""
-    spec = F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^import [^'\"\n]* from '([^'\n]+)'"), F.lit(1))).alias("spec")
-    return sources(spark, d).select("file", "project", spec).distinct()
-
-
-def import_resolution(spark, d):
-    """Every relative import that the pattern of ``imports`` finds, with the file it means, or null."""
-    rows = imports(spark, d).filter(F.col("spec").rlike(r"^\.\.?/"))
-    base = fold(F.concat(dirname(F.col("file")), F.lit("/"), F.col("spec")))
-    return resolve(rows, table(spark, d, "files").select("file"), script_candidates(base)).select("file", "spec", "dst")
-
-
 PLUGINS = [("pages", "src/{views,api}/**/*.{tsx,jsx}"), ("tests", "tests/**"), ("tests", "**/*.spec.*"), ("workspace", "packages/*/src/**/*.ts"), ("scripts", "src/jobs/*.py")]
 
 
@@ -141,7 +127,7 @@ def plugin_glob_match(spark, d):
 QUERIES = {
     "coverage_merge": coverage_merge, "coverage_rebase": coverage_rebase, "hot_paths": hot_paths, "cold_code": cold_code, "coverage_missing": coverage_missing, "function_keys": function_keys,
     "complexity_hotspot": complexity_hotspot, "cognitive_complexity": cognitive_complexity, "maintainability_index": maintainability_index, "file_health": file_health, "project_score": project_score,
-    "refactor_targets": refactor_targets, "weighted_health": weighted_health, "rule_priority": rule_priority, "import_resolution": import_resolution, "plugin_glob_match": plugin_glob_match,
+    "refactor_targets": refactor_targets, "weighted_health": weighted_health, "rule_priority": rule_priority, "plugin_glob_match": plugin_glob_match,
 }
 
 _RANGES = r"""c AS (SELECT DISTINCT project, regexp_replace(regexp_replace(path, '^file://(localhost)?', ''), '\?.*$', '') AS file, coalesce(function_name, '<anonymous>') AS fn, fn_ix, range_ix, start_off AS s, end_off AS e, hit_count AS hits, taken_at, path
@@ -155,7 +141,6 @@ m AS (SELECT *, round(v, 6) AS volume, round(least(greatest((171.0 - 5.2 * ln(gr
 _H = "round(least(greatest(0.3::DOUBLE * (100.0 - least(greatest({c} / 30.0::DOUBLE * 100.0, 0.0), 100.0)) + 0.3::DOUBLE * (100.0 - least(greatest(cognitive / 50.0::DOUBLE * 100.0, 0.0), 100.0)) + 0.4::DOUBLE * mi, 0.0), 100.0))::INT"
 _SCORE = _H.format(c="cyclomatic")
 _PLUG = " UNION ".join(f"SELECT DISTINCT file, '{n}' AS plugin FROM files WHERE regexp_matches(rel_path, '{path_glob(g)}')" for n, g in PLUGINS)
-_CAND = [(x, n) for n, x in enumerate(EXTENSIONS)]
 
 ORACLES = {
     "coverage_merge": f'WITH {_RANGES} SELECT file, fn, s AS start, e AS "end", sum(hits)::BIGINT AS hits FROM c GROUP BY ALL',
@@ -176,13 +161,5 @@ n AS (SELECT *, row_number() OVER (PARTITION BY file, fn ORDER BY fn_ix) - 1 AS
     "refactor_targets": f"WITH {_M} SELECT file, {_SCORE} AS score FROM m ORDER BY score, file LIMIT 10",
     "weighted_health": f"WITH {_RANGES}, {_M}, p AS (SELECT file, sum(hits)::DOUBLE AS hits FROM c GROUP BY file) SELECT file, {_H.format(c='round(cyclomatic * log10(1 + coalesce(hits, 0.0)), 6)')} AS score FROM m LEFT JOIN p USING (file)",
     "rule_priority": f"WITH {_M}, q AS (SELECT project, round(avg({_SCORE}))::INT AS score FROM m GROUP BY project), r AS (SELECT DISTINCT run_id, project FROM runs) SELECT project, count(DISTINCT finding_id) AS findings, score FROM findings_actual JOIN r USING (run_id) JOIN q USING (project) GROUP BY project, score",
-    "import_resolution": f"""WITH {_SRC}, i AS (SELECT DISTINCT file, unnest(regexp_extract_all(content, '(?m)^import [^''"\\n]* from ''([^''\\n]+)''', 1)) AS spec FROM s),
-rel AS (SELECT file, spec, string_split(regexp_replace(file, '/[^/]*$', ''), '/') AS dir, len(regexp_extract_all(spec, '\\.\\./')) AS up, regexp_replace(spec, '^(\\.\\.?/)+', '') AS tail FROM i WHERE regexp_matches(spec, '^\\.\\.?/')),
-b AS (SELECT file, spec, array_to_string(list_slice(dir, 1, len(dir) - up), '/') || '/' || tail AS base FROM rel),
-k AS ({" UNION ALL ".join(f"SELECT file, spec, {n} AS rank, base || '{x}' AS path FROM b" for x, n in _CAND)}
-  {" ".join(f"UNION ALL SELECT file, spec, {len(_CAND) + n}, regexp_replace(base, '{a}$', '{x}') FROM b WHERE ends_with(base, '{y}')" for n, (a, y, x) in enumerate([(chr(92) + '.js', '.js', '.ts'), (chr(92) + '.js', '.js', '.tsx'), (chr(92) + '.js', '.js', '.d.ts'), (chr(92) + '.jsx', '.jsx', '.tsx'), (chr(92) + '.mjs', '.mjs', '.mts'), (chr(92) + '.cjs', '.cjs', '.cts')]))}
-  {" ".join(f"UNION ALL SELECT file, spec, {len(_CAND) + 6 + n}, base || '{x}' FROM b" for n, x in enumerate(['/index.ts', '/index.tsx', '/index.d.ts', '/index.js', '/index.jsx']))}),
-g AS (SELECT k.file, spec, arg_min(path, rank) AS dst FROM k JOIN (SELECT DISTINCT file AS f FROM files) ON f = path GROUP BY ALL)
-SELECT b.file, b.spec, g.dst FROM b LEFT JOIN g ON g.file = b.file AND g.spec = b.spec""",
     "plugin_glob_match": _PLUG,
 }

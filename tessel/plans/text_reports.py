@@ -93,7 +93,7 @@ def package_names(spark, d):
 
 
 def _report(spark, d):
-    f = table(spark, d, "findings_actual").filter("loc is not null and file is not null and message is not null").select("finding_id", "kind", "severity", "file", "message", F.col("loc.start_pos.line").alias("line"), F.col("loc.start_pos.col").alias("col")).distinct()
+    f = table(spark, d, "findings_actual").select("finding_id", "kind", "severity", "file", "message", F.col("loc.start_pos.line").alias("line"), F.col("loc.start_pos.col").alias("col")).distinct()
     return f
 
 
@@ -168,7 +168,7 @@ _NAMES = r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]"
 _TOKS = rf"""CASE WHEN regexp_matches(file, '\.pyi?$') THEN list_filter(regexp_extract_all(content, '#[^\n]*|(?:''){{3}}[\s\S]*?(?:''){{3}}|\"\"\"[\s\S]*?\"\"\"|{_STRINGS}|->|:=|[=!<>]=|\*\*|//|{_NAMES}'), lambda x: x[1] <> '#')
   ELSE list_filter(regexp_extract_all(content, '//[^\n]*|/\*[\s\S]*?\*/|{_STRINGS}|`[^`\\]*(?:\\[\s\S][^`\\]*)*`|=>|[=!]==?|&&|\|\||\?\?|\?\.|{_NAMES}'), lambda x: NOT regexp_matches(x, '^(//|/\*)')) END"""
 _KEEP = ", ".join(f"'{k}'" for k in KEYWORDS)
-_REPORT = "r AS (SELECT DISTINCT finding_id, kind, severity, file, message, loc.start_pos.line AS line, loc.start_pos.col AS col FROM findings_actual WHERE loc IS NOT NULL AND file IS NOT NULL AND message IS NOT NULL)"
+_REPORT = "r AS (SELECT DISTINCT finding_id, kind, severity, file, message, loc.start_pos.line AS line, loc.start_pos.col AS col FROM findings_actual)"
 ORACLES = {
     "clone_type1": _clone_sql(_TOKS),
     "clone_type2": _clone_sql(rf"list_transform({_TOKS}, lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z_$]') AND x NOT IN ({_KEEP}) THEN 'IDENT' ELSE x END)"),
@@ -193,8 +193,8 @@ lower(regexp_replace(regexp_extract(trim(spec), '^([A-Za-z0-9][A-Za-z0-9._\-]*)'
     "report_compact": f"WITH {_REPORT} SELECT finding_id, concat_ws(':', file, line, col, severity, kind, message) AS line FROM r",
     "codeclimate_fingerprint": f"WITH {_REPORT} SELECT finding_id, sha1(concat_ws(':', kind, file, line, message)) AS fingerprint FROM r",
     "report_json": f"WITH {_REPORT} SELECT finding_id, to_json({{'kind': kind, 'severity': severity, 'file': file, 'line': line, 'column': col, 'message': message}})::VARCHAR AS row FROM r",
-    "report_sarif": f"""WITH {_REPORT} SELECT finding_id, to_json({{'ruleId': kind, 'level': CASE severity WHEN 'warn' THEN 'warning' ELSE severity END, 'message': {{'text': message}},
- 'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': file}}, 'region': {{'startLine': line, 'startColumn': col + 1}}}}}}]}})::VARCHAR AS row FROM r""",
+    "report_sarif": f"""WITH {_REPORT} SELECT finding_id, '{{"ruleId":' || to_json(kind)::VARCHAR || ',"level":' || to_json(CASE severity WHEN 'warn' THEN 'warning' ELSE severity END)::VARCHAR || ',"message":{{"text":' || to_json(coalesce(message, ''))::VARCHAR || '}},"locations":['
+ || CASE WHEN file IS NULL THEN '' ELSE '{{"physicalLocation":{{"artifactLocation":{{"uri":' || to_json(file)::VARCHAR || '}}' || CASE WHEN line IS NULL THEN '' ELSE ',"region":{{"startLine":' || line || ',"startColumn":' || (col + 1) || '}}' END || '}}}}' END || ']}}' AS row FROM r""",
     "report_markdown": f"WITH {_REPORT} SELECT kind, '| ' || kind || ' | ' || count(*) || ' | ' || count(DISTINCT file) || ' |' AS line FROM r GROUP BY kind",
     "determinism_hash": f"""WITH {_REPORT}, j AS (SELECT DISTINCT project, md5(concat_ws('|', finding_id, kind, file, line)) AS h FROM r JOIN (SELECT DISTINCT finding_id, run_id FROM findings_actual) USING (finding_id) JOIN (SELECT DISTINCT run_id, project FROM runs) USING (run_id))
 SELECT project, sum(('0x' || substr(h, 1, 12))::BIGINT)::BIGINT AS digest, count(*) AS n FROM j GROUP BY project""",

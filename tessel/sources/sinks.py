@@ -28,9 +28,11 @@ def codeclimate_row() -> Column:
 
 def sarif_result() -> Column:
     level = F.when(F.col("severity") == "warn", "warning").otherwise(F.col("severity"))
-    region = F.struct(F.col("line").alias("startLine"), (F.col("col") + 1).alias("startColumn"))
+    # what has no place has no region, and without a file no location
+    region = F.when(F.col("line").isNotNull(), F.struct(F.col("line").alias("startLine"), (F.col("col") + 1).alias("startColumn")))
     place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
-    return F.to_json(F.struct(F.col("kind").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations")), KEEP_NULLS)
+    places = F.filter(F.array(place), lambda p: p["physicalLocation"]["artifactLocation"]["uri"].isNotNull())
+    return F.to_json(F.struct(F.col("kind").alias("ruleId"), level.alias("level"), F.struct(F.coalesce("message", F.lit("")).alias("text")).alias("message"), places.alias("locations")))
 
 
 def markdown_table(findings: DataFrame) -> DataFrame:
