@@ -1,36 +1,15 @@
-"""Complexity, maintainability and health as column expressions. Column arguments, column results."""
+"""Health scores as column expressions. Column arguments, column results."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: branch tokens, weights and caps of the published formulas
-BRANCH = r"\b(if|for|while|case|catch|elif|except)\b|&&|\|\||\?\?"
-
-
-def stripped(source: Column) -> Column:
-    """Source without line comments and simple string literals: what the scanning metrics count on."""
-    return F.regexp_replace(F.regexp_replace(source, r"'[^'\n]*'|\"[^\"\n]*\"", ""), r"(//|#)[^\n]*", "")
-
-
-def cyclomatic(source: Column) -> Column:
-    return (F.regexp_count(stripped(source), F.lit(BRANCH)) + 1).cast("bigint")
-
-
-def nonblank_lines(source: Column) -> Column:
-    return F.regexp_count(source, F.lit(r"(?m)^.*\S.*$")).cast("bigint")
-
-
-def maintainability(volume: Column, cyc: Column, loc: Column) -> Column:
-    raw = (F.lit(171.0) - F.lit(5.2) * F.ln(F.greatest(volume, F.lit(1.0))) - F.lit(0.23) * cyc - F.lit(16.2) * F.ln(F.greatest(loc.cast("double"), F.lit(1.0)))) * 100.0 / 171.0
-    return F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)), 6)
-
-
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+# fixed values: weights and caps of the published formula
 def health(cyc: Column, cog: Column, mi: Column) -> Column:
     raw = F.lit(0.3) * (100.0 - clamp(cyc / 30.0 * 100.0)) + F.lit(0.3) * (100.0 - clamp(cog / 50.0 * 100.0)) + F.lit(0.4) * clamp(mi)
     return F.round(clamp(raw)).cast("int")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessel.functions import scores
 from tessel.functions.globs import path_glob
 from tessel.operators import coverage as cov
+from tessel.plans.codebase import codebase
 from tessel.session import table
 
 
@@ -59,50 +60,42 @@ def sources(spark, d):
     return rows.groupBy("file").agg(F.max(F.struct("ingested_at", "project", "content")).alias("b")).select("file", "b.project", "b.content")
 
 
-def metrics(spark, d):
-    s = sources(spark, d)
-    words = F.regexp_extract_all("content", F.lit(r"([A-Za-z_]\w*)"), F.lit(1))
-    cyc, loc = scores.cyclomatic(F.col("content")), scores.nonblank_lines(F.col("content"))
-    distinct = F.size(F.array_distinct(words)).cast("bigint")
-    depth = F.aggregate(F.regexp_extract_all("content", F.lit(r"(?m)^( *)(?:if|for|while|with|try)\b"), F.lit(1)), F.lit(0).cast("bigint"), lambda a, x: a + 1 + F.floor(F.length(x) / 2))
-    rows = s.select("file", "project", cyc.alias("cyclomatic"), loc.alias("loc"), distinct.alias("vocabulary"), F.size(words).cast("bigint").alias("length"), depth.alias("cognitive"))
-    volume = F.col("length") * F.log2(F.greatest(F.col("vocabulary"), F.lit(2)).cast("double"))
-    return rows.withColumn("volume", F.round(volume, 6)).withColumn("mi", scores.maintainability(volume, F.col("cyclomatic"), F.col("loc")))
+def _functions(spark, d):
+    return codebase(spark, d).table("functions")
 
 
 def complexity_hotspot(spark, d):
-    return metrics(spark, d).filter("cyclomatic > 10").select("file", "cyclomatic")
+    """Functions with more than ten ways through them."""
+    return _functions(spark, d).filter("cyclomatic > 10").select("file", "name", "line", "cyclomatic")
 
 
 def cognitive_complexity(spark, d):
-    return metrics(spark, d).filter("cognitive > 15").select("file", "cognitive")
+    """Functions that are hard to follow."""
+    return _functions(spark, d).filter("cognitive > 15").select("file", "name", "line", "cognitive")
 
 
 def maintainability_index(spark, d):
-    return metrics(spark, d).select("file", "loc", "vocabulary", "volume", "mi")
-
-
-def _scored(spark, d):
-    return metrics(spark, d).withColumn("score", scores.health(F.col("cyclomatic"), F.col("cognitive"), F.col("mi")))
+    return _functions(spark, d).select("file", "name", "line", "loc", "mi")
 
 
 def file_health(spark, d):
-    return _scored(spark, d).select("file", "score")
+    return codebase(spark, d).health().select("file", "score")
 
 
 def project_score(spark, d):
-    return _scored(spark, d).groupBy("project").agg(F.coalesce(F.round(F.avg("score")), F.lit(100)).cast("int").alias("score"), F.count("*").alias("files"))
+    scored = codebase(spark, d).health()
+    return scored.groupBy("project").agg(F.coalesce(F.round(F.avg("score")), F.lit(100)).cast("int").alias("score"), F.count("*").alias("files"))
 
 
 def refactor_targets(spark, d):
     """The ten files with the lowest score."""
-    return _scored(spark, d).orderBy("score", "file").limit(10).select("file", "score")
+    return codebase(spark, d).refactor_targets(10).select("file", "score")
 
 
 def weighted_health(spark, d):
     """Scores in which the complexity of a file counts by how often it ran."""
     per_file = ranges(spark, d).groupBy("file").agg(F.sum("hits").cast("double").alias("hits"))
-    rows = metrics(spark, d).join(per_file, "file", "left")
+    rows = codebase(spark, d).health().join(per_file, "file", "left")
     weight = F.col("cyclomatic") * F.log10(1 + F.coalesce("hits", F.lit(0.0)))
     return rows.select("file", scores.health(F.round(weight, 6), F.col("cognitive"), F.col("mi")).alias("score"))
 
@@ -132,14 +125,6 @@ QUERIES = {
 
 _RANGES = r"""c AS (SELECT DISTINCT project, regexp_replace(regexp_replace(path, '^file://(localhost)?', ''), '\?.*$', '') AS file, coalesce(function_name, '<anonymous>') AS fn, fn_ix, range_ix, start_off AS s, end_off AS e, hit_count AS hits, taken_at, path
   FROM coverage WHERE path IS NOT NULL AND start_off IS NOT NULL AND end_off IS NOT NULL AND hit_count >= 0), h AS (SELECT file, fn, sum(hits)::BIGINT AS hits FROM c GROUP BY ALL)"""
-_SRC = "s AS (SELECT file, b.project AS project, b.content AS content FROM (SELECT file, max({'i': ingested_at, 'project': project, 'content': content}) AS b FROM files WHERE content IS NOT NULL GROUP BY file))"
-_M = _SRC + r""", m0 AS (SELECT file, project, 1 + len(regexp_extract_all(regexp_replace(regexp_replace(content, '''[^''\n]*''|"[^"\n]*"', '', 'g'), '(//|#)[^\n]*', '', 'g'), '\b(?:if|for|while|case|catch|elif|except)\b|&&|\|\||\?\?')) AS cyclomatic,
-  len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '\S'))) AS loc, regexp_extract_all(content, '[A-Za-z_]\w*') AS w,
-  coalesce(list_sum(list_transform(regexp_extract_all(content, '(?m)^( *)(?:if|for|while|with|try)\b', 1), lambda x: 1 + length(x) // 2)), 0)::BIGINT AS cognitive FROM s),
-m1 AS (SELECT file, project, cyclomatic, loc, cognitive, len(list_distinct(w)) AS vocabulary, len(w) * log2(greatest(len(list_distinct(w)), 2)::DOUBLE) AS v FROM m0),
-m AS (SELECT *, round(v, 6) AS volume, round(least(greatest((171.0 - 5.2 * ln(greatest(v, 1.0)) - 0.23 * cyclomatic - 16.2 * ln(greatest(loc::DOUBLE, 1.0))) * 100.0 / 171.0, 0.0), 100.0)::DOUBLE, 6) AS mi FROM m1)"""
-_H = "round(least(greatest(0.3::DOUBLE * (100.0 - least(greatest({c} / 30.0::DOUBLE * 100.0, 0.0), 100.0)) + 0.3::DOUBLE * (100.0 - least(greatest(cognitive / 50.0::DOUBLE * 100.0, 0.0), 100.0)) + 0.4::DOUBLE * mi, 0.0), 100.0))::INT"
-_SCORE = _H.format(c="cyclomatic")
 _PLUG = " UNION ".join(f"SELECT DISTINCT file, '{n}' AS plugin FROM files WHERE regexp_matches(rel_path, '{path_glob(g)}')" for n, g in PLUGINS)
 
 ORACLES = {
@@ -153,13 +138,5 @@ SELECT project, root, CASE WHEN starts_with(url, root || '/') THEN '/repo' || su
     "coverage_missing": f"WITH {_RANGES} SELECT DISTINCT file FROM files WHERE file NOT IN (SELECT file FROM c)",
     "function_keys": r"""WITH f AS (SELECT DISTINCT regexp_replace(regexp_replace(path, '^file://(localhost)?', ''), '\?.*$', '') AS file, coalesce(function_name, '') AS fn, fn_ix FROM coverage WHERE path IS NOT NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY file, fn ORDER BY fn_ix) - 1 AS n FROM f) SELECT file, fn_ix, file || '::' || fn || CASE WHEN n > 0 THEN '::' || n ELSE '' END AS key FROM n""",
-    "complexity_hotspot": f"WITH {_M} SELECT file, cyclomatic FROM m WHERE cyclomatic > 10",
-    "cognitive_complexity": f"WITH {_M} SELECT file, cognitive FROM m WHERE cognitive > 15",
-    "maintainability_index": f"WITH {_M} SELECT file, loc, vocabulary, volume, mi FROM m",
-    "file_health": f"WITH {_M} SELECT file, {_SCORE} AS score FROM m",
-    "project_score": f"WITH {_M} SELECT project, round(avg({_SCORE}))::INT AS score, count(*) AS files FROM m GROUP BY project",
-    "refactor_targets": f"WITH {_M} SELECT file, {_SCORE} AS score FROM m ORDER BY score, file LIMIT 10",
-    "weighted_health": f"WITH {_RANGES}, {_M}, p AS (SELECT file, sum(hits)::DOUBLE AS hits FROM c GROUP BY file) SELECT file, {_H.format(c='round(cyclomatic * log10(1 + coalesce(hits, 0.0)), 6)')} AS score FROM m LEFT JOIN p USING (file)",
-    "rule_priority": f"WITH {_M}, q AS (SELECT project, round(avg({_SCORE}))::INT AS score FROM m GROUP BY project), r AS (SELECT DISTINCT run_id, project FROM runs) SELECT project, count(DISTINCT finding_id) AS findings, score FROM findings_actual JOIN r USING (run_id) JOIN q USING (project) GROUP BY project, score",
     "plugin_glob_match": _PLUG,
 }
