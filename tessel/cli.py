@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tessel.engine import Codebase
 from tessel.sources import config, sinks
-from tessel.sources.tree import manifest_table, read_tree
+from tessel.sources.packages import load_plugins
+from tessel.sources.tree import manifest_files, read_tree
 
 COMMANDS = {"analyze": "full", "dead-code": "dead-code-only", "dupes": "dupes-only", "health": "health-only", "audit": "audit", "trace": "audit"}
 
@@ -21,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("command", choices=COMMANDS)
     p.add_argument("root")
     p.add_argument("--config")
+    p.add_argument("--plugins", help="a folder of plugin definitions in JSON")
     p.add_argument("--format", default="human", choices=["human", "markdown", *sinks.FORMATS])
     p.add_argument("--file", help="trace: the file whose importers are wanted")
     p.add_argument("--ci", action="store_true", help="any finding fails, not errors alone")
@@ -35,7 +37,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 2
     settings = config.Config.of(config.load(args.config) if args.config else {})
     spark = spark or SparkSession.builder.appName("tessel").getOrCreate()
-    base = Codebase(read_tree(spark, {Path(root).name: root}, settings.exclude), manifest_table(spark, {Path(root).name: root}), settings)
+    base = Codebase(read_tree(spark, {Path(root).name: root}, settings.exclude), None, settings, manifest_files(spark, {Path(root).name: root}), load_plugins(sorted(Path(args.plugins).glob("*.json"))) if args.plugins else [])
     if args.command == "audit":
         print(base.audit())
         return 0

@@ -1,7 +1,8 @@
 """The analysis of code bases: files and manifests in, one table of findings out.
 
-``Codebase`` takes files(project, root, file, content) and deps(project, dir, ecosystem, section, name), both of any size, and offers the
-relations between them and the findings of the rule catalogue as plans.
+``Codebase`` takes files(project, root, file, content) and either deps(project, dir, ecosystem, section, name) or
+manifests(project, root, dir, name, content), all of any size, and offers the relations between them and the findings of the rule catalogue as plans.
+From manifests it also has entry points, path aliases and the packages of a workspace. Plugins are few and given as definitions.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from tessel.functions.globs import is_glob, path_glob, zone_glob
 from tessel.operators import clones, rules
 from tessel.operators.resolve import dirname, fold, normal_name, package_of, python_base, python_candidates, resolve, script_candidates
 from tessel.session import materialize
+from tessel.sources import manifests
 from tessel.sources.config import Config
+from tessel.sources.packages import Plugin
+from tessel.sources.tree import normal_name as plain_name
 
 # fixed values: file names that start programs or are run by tools
 JS = "{ts,tsx,js,jsx,mjs,cjs,mts,cts}"
@@ -43,11 +47,19 @@ HEALTH = {"cognitive-complexity", "complexity-hotspot"}
 MODES = {"full": set(RULES), "dead-code-only": set(RULES) - HEALTH - {"code-duplication"}, "dupes-only": {"code-duplication"}, "health-only": HEALTH, "audit": set()}
 
 
+def _atoms(names: set[str]) -> Column:
+    """Which of the wanted names or prefixes (with a slash at the end) a dependency is."""
+    hit = lambda n: F.startswith(F.col("name"), F.lit(n)) if n.endswith("/") else F.col("name").isin(n, plain_name(n))
+    return F.array_compact(F.array(*(F.when(hit(n), F.lit(f"dep {n}")) for n in sorted(names)), F.lit(None).cast("string")))
+
+
 class Codebase:
-    def __init__(self, files: DataFrame, deps: DataFrame | None = None, config: Config | None = None):
-        self.spark, self.config = files.sparkSession, config or Config()
+    def __init__(self, files: DataFrame, deps: DataFrame | None = None, config: Config | None = None, manifests_: DataFrame | None = None, plugins: list[Plugin] = ()):
+        self.spark, self.config, self.plugins = files.sparkSession, config or Config(), list(plugins)
         known = files.filter("file is not null").dropDuplicates(["file"])
-        self.deps = deps if deps is not None else self.spark.createDataFrame([], "project string, dir string, ecosystem string, section string, name string")
+        self.facts = materialize(manifests.facts(manifests_), "facts") if manifests_ is not None else None
+        none = self.spark.createDataFrame([], manifests.ROW)
+        self.deps = deps if deps is not None else none if self.facts is None else manifests.dependencies(self.facts)
         self.sources = known.select("project", "root", "file", "content")
         rel = F.expr("substr(file, length(root) + 2)")
         self.files = known.select("project", "root", "file", rel.alias("rel_path"))
@@ -86,9 +98,18 @@ class Codebase:
             start = F.when(F.startswith(spec, F.lit(prefix)), F.concat("root", F.lit("/" + to), F.substr(spec, F.lit(len(prefix) + 1)))).otherwise(start)
         start = F.when(spec.rlike(r"^\.{1,2}(/|$)"), F.concat(dirname(F.col("src")), F.lit("/"), spec)).when(F.startswith(spec, F.lit("/")), spec).otherwise(start)
         rows = rows.withColumn("base", fold(start))
-        local = rows.filter(F.col("literal") & F.col("base").isNotNull())
-        found = resolve(local, self.files.select("file"), script_candidates(F.col("base")))
-        rest = rows.filter(~(F.col("literal") & F.col("base").isNotNull())).withColumn("dst", F.lit(None).cast("string"))
+        # path aliases come first, then what the specifier says by itself, then packages of the project
+        later = lambda cs, n: F.transform(cs, lambda c: F.struct((c["rank"] + n).cast("int").alias("rank"), c["path"].alias("path")))
+        candidates = F.when(F.col("base").isNotNull(), later(script_candidates(F.col("base")), 100_000)).otherwise(F.array().cast("array<struct<rank:int,path:string>>"))
+        if self.facts is not None:
+            named, none = rows.filter(F.col("literal") & ~spec.rlike(r"^(\.{1,2}(/|$)|/)")), F.array().cast("array<string>")
+            for name, bases in (("_alias", manifests.alias_bases(named, self.facts)), ("_package", manifests.package_bases(named, self.facts))):
+                rows = rows.join(bases.withColumnRenamed("bases", name), ["src", "spec"], "left")
+            candidates = F.concat(manifests.base_candidates(F.coalesce("_alias", none)), candidates, later(manifests.base_candidates(F.coalesce("_package", none)), 200_000))
+        rows = rows.withColumn("_candidates", candidates)
+        open_ = F.col("literal") & (F.size("_candidates") > 0)
+        found = resolve(rows.filter(open_), self.files.select("file"), F.col("_candidates"))
+        rest = rows.filter(~open_).withColumn("dst", F.lit(None).cast("string"))
         builtin = F.startswith(spec, F.lit("node:")) | F.split(spec, "/")[0].isin(*NODE_BUILTINS)
         alias = F.lit(False)
         for prefix in ALIASES:
@@ -125,12 +146,64 @@ class Codebase:
 
     @cached_property
     def entries(self) -> DataFrame:
-        """Entry points: the configured ones, else the conventional names."""
+        """Entry points: those of active plugins, and the configured ones, else the conventional names and what manifests name."""
+        found = self._matching({p.name: p.entry_points for p in self.plugins}).select("project", "file")
         if self.config.entrypoints:
             globs = [path_glob(g) if is_glob(g) else path_glob(g.removeprefix("./")) for g in self.config.entrypoints]
-        else:
-            globs = [path_glob(g) for g in ENTRY_GLOBS]
-        return self.files.filter(F.col("rel_path").rlike("|".join(globs))).select("project", "file")
+            return found.union(self.files.filter(F.col("rel_path").rlike("|".join(globs))).select("project", "file")).distinct()
+        usual = self.files.filter(F.col("rel_path").rlike("|".join(path_glob(g) for g in ENTRY_GLOBS))).select("project", "file")
+        found = found.union(usual)
+        return (found if self.facts is None else found.union(manifests.entry_files(self.facts, self.files))).distinct()
+
+    # ------------------------------------------------------------ plugins
+
+    @cached_property
+    def active(self) -> DataFrame:
+        """(project, plugin) of the plugins whose dependencies or files a project has. Definitions become one expression over what a project holds."""
+        names, globs = set(), set()
+        for p in self.plugins:
+            a, b = p.needs()
+            names, globs = names | a, globs | b
+        held = lambda rows, atom: rows.groupBy("project").agg(F.collect_set(atom).alias("has"))
+        by_name = held(self.deps.filter(F.col("name").isNotNull()).select("project", F.explode(_atoms(names)).alias("atom")), "atom")
+        hit = F.explode(F.array_compact(F.array(*(F.when(F.col("rel_path").rlike(path_glob(g)), F.lit(f"file {g}")) for g in sorted(globs)), F.lit(None).cast("string")))).alias("atom")
+        by_file = held(self.files.select("project", hit), "atom")
+        both = by_name.union(by_file).groupBy("project").agg(F.flatten(F.collect_list("has")).alias("has"))
+        on = F.array(*(F.when(p.condition(lambda atom: F.array_contains("has", atom)), F.lit(p.name)) for p in self.plugins), F.lit(None).cast("string"))
+        return materialize(both.select("project", F.explode(F.array_compact(on)).alias("plugin")), "plugins")
+
+    def _matching(self, globs: dict[str, list[str]]) -> DataFrame:
+        """(project, file, plugin) of files that the patterns of an active plugin match."""
+        globs = {name: g for name, g in globs.items() if g}
+        if not globs:
+            return self.files.select("project", "file", F.lit("").alias("plugin")).limit(0)
+        hit = F.array_compact(F.array(*(F.when(F.col("rel_path").rlike("|".join(map(path_glob, g))), F.lit(name)) for name, g in sorted(globs.items()))))
+        return self.files.select("project", "file", F.explode(hit).alias("plugin")).join(self.active, ["project", "plugin"])
+
+    def _plugin_filtered(self, found: DataFrame) -> DataFrame:
+        """Findings without what active plugins explain."""
+        if not self.plugins:
+            return found
+        always = self._matching({p.name: p.always_used for p in self.plugins}).select("file").distinct().withColumn("_always", F.lit(True))
+        found = found.join(always, "file", "left").filter(~((F.col("kind") == "unused-files") & F.coalesce("_always", F.lit(False)))).drop("_always")
+        exports = None
+        for p in self.plugins:
+            for rule in p.used_exports:
+                names = F.explode(F.array(*(F.lit(x) for x in rule.get("exports") or ()), F.lit(None).cast("string"))).alias("name")
+                rows = self._matching({p.name: [rule["pattern"]]}).select("file", names).filter("name is not null")
+                exports = rows if exports is None else exports.union(rows)
+        if exports is not None:
+            used = exports.distinct().withColumn("_used", F.lit(True))
+            found = found.join(used, ["file", "name"], "left").filter(~((F.col("kind") == "unused-exports") & F.coalesce("_used", F.lit(False)))).drop("_used")
+        per = {p.name: (p.tooling, p.used_members) for p in self.plugins}
+        pairs = [(name, what, x) for name, lists in per.items() for what, xs in zip(("tool", "member"), lists) for x in xs]
+        if pairs:
+            table = self.spark.createDataFrame(pairs, "plugin string, what string, name string").join(self.active, "plugin").join(self.files.select("project").distinct(), "project")
+            owner = self.files.select("project", "file").union(self.deps.select("project", F.col("dir").alias("file"))).distinct()
+            known = owner.join(table, "project").select("file", "name", F.when(F.col("what") == "tool", F.lit("dep")).otherwise("member").alias("_what")).distinct()
+            what = F.when(F.col("kind").isin("unused-deps", "unused-dev-deps", "unused-optional-deps"), "dep").when(F.col("kind") == "unused-class-members", "member")
+            found = found.withColumn("_what", what).join(known.withColumn("_known", F.lit(True)), ["file", "name", "_what"], "left").filter("_known is null").drop("_known", "_what")
+        return found.select("kind", "severity", "file", "off", "message", "name")
 
     # ------------------------------------------------------------ rules
 
@@ -203,7 +276,7 @@ class Codebase:
             out = rows if out is None else out.unionByName(rows)
         if out is None:
             return self._finding(self.files.limit(0), "none", F.col("file"))
-        return rules.cross_reference(out, always_used)
+        return rules.cross_reference(self._plugin_filtered(out), always_used)
 
     def counts(self, findings: DataFrame, mode: str = "full") -> DataFrame:
         return rules.counts_by_rule(findings, self.enabled(mode))

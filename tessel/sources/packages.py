@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from tessel.functions.globs import path_glob
 from tessel.sources.config import parse_jsonc
 from tessel.sources.tree import normal_name
@@ -145,6 +148,26 @@ class Plugin:
         lists = {a: list(data.get(b) or []) for a, b in (("enablers", "enablers"), ("entry_points", "entryPoints"), ("always_used", "alwaysUsed"), ("tooling", "toolingDependencies"), ("used_exports", "usedExports"), ("used_decorators", "usedDecorators"))}
         return cls(data["name"], data.get("detection"), used_members=[m for m in data.get("usedClassMembers") or [] if isinstance(m, str)], manager=data.get("packageManager") or "npm", **lists)
 
+    def needs(self) -> tuple[set[str], set[str]]:
+        """The dependency names and file patterns that decide whether the plugin is active."""
+        if self.detection is None:
+            return set(self.enablers), set()
+        names, globs, todo = set(), set(), [self.detection]
+        while todo:
+            rule = todo.pop()
+            if rule.get("type") == "dependency":
+                names.add(rule["package"])
+            elif rule.get("type") == "fileExists":
+                globs.add(rule["pattern"])
+            todo += rule.get("conditions", [])
+        return names, globs
+
+    def condition(self, has):
+        """The same decision as an expression; ``has`` makes one of an atom."""
+        if self.detection is None:
+            return _any([has(f"dep {e}") for e in self.enablers])
+        return _expression(self.detection, has)
+
     def active(self, npm: set[str], python: set[str], files: list[str]) -> bool:
         """By its detection if it has one, else if a dependency enables it; a name that ends with a slash is a prefix."""
         if self.detection is not None:
@@ -157,6 +180,22 @@ class Plugin:
         return False
 
 
+def _any(conditions: list):
+    return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
+
+
+def _expression(rule: dict, has):
+    kind = rule.get("type")
+    if kind == "dependency":
+        return has(f"dep {rule['package']}")
+    if kind == "fileExists":
+        return has(f"file {rule['pattern']}")
+    if kind in ("all", "any"):
+        inner = [_expression(r, has) for r in rule.get("conditions", [])]
+        return _any(inner) if kind == "any" else ~_any([~x for x in inner])
+    raise ValueError(f"unknown detection {kind}")
+
+
 def detected(rule: dict, npm: set[str], python: set[str], files: list[str]) -> bool:
     kind = rule.get("type")
     if kind == "dependency":

@@ -132,6 +132,25 @@ def read_manifests(root: str) -> list[tuple[str, str, str, str]]:
     return out
 
 
+MANIFESTS = re.compile(r"package\.json|pyproject\.toml|setup\.cfg|setup\.py|requirements[\w.-]*\.txt|[tj]sconfig(\.[\w-]+)?\.json")
+
+
+def manifest_files(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """manifests(project, root, dir, name, content) of {project: root}; of Python's manifests in one directory the first that exists stands: pyproject, setup.cfg, setup.py, requirements."""
+    rows = []
+    for project, root in sorted(roots.items()):
+        for at, dirs, names in os.walk(root.rstrip("/")):
+            dirs[:] = sorted(d for d in dirs if d not in SKIPPED and not d.startswith("."))
+            here = at.replace(os.sep, "/")
+            python = next((n for n in ("pyproject.toml", "setup.cfg", "setup.py") if n in names), None)
+            for n in sorted(n for n in names if MANIFESTS.fullmatch(n)):
+                if n in ("setup.cfg", "setup.py") and n != python or n.endswith(".txt") and python:
+                    continue
+                rows.append((project, root.rstrip("/"), here, n, f"{here}/{n}"))
+    paths = spark.createDataFrame(rows, "project string, root string, dir string, name string, file string")
+    return paths.repartition(max(1, min(len(rows) // 200, 10_000))).mapInPandas(_read, "project string, root string, dir string, name string, file string, content string")
+
+
 def manifest_table(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     rows = [(p, *r) for p, root in sorted(roots.items()) for r in read_manifests(root.rstrip("/"))]
     return spark.createDataFrame(rows, "project string, dir string, ecosystem string, section string, name string")
