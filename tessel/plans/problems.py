@@ -39,6 +39,12 @@ def _coverage_level(level: int):
 p2_scripts, p2_functions, p2_ranges = (_coverage_level(n) for n in (1, 2, 3))
 
 
+def p2_dumps(spark: SparkSession, d: str) -> DataFrame:
+    """Table of the dumps themselves: their label interval, and how many objects lie below."""
+    nodes = node_table(table(spark, d, "coverage_raw"), F.col("dump_id"), F.col("payload"), COVERAGE_LEVELS, {}).filter("level = 0")
+    return nodes.select(F.col("key").alias("dump_id"), "pre", "post", F.expr("(post - pre - 1) div 2").alias("objects")).distinct()
+
+
 def executed_states(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "coverage").filter("hit_count > 0 and start_off < end_off and path is not null")
     path = F.regexp_replace("path", "^file://", "")
@@ -73,14 +79,35 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return differences(expected, actual, "finding_id", ["kind", "file", "message", "start_line"], ("missing_in_actual", "missing_in_expected"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_scripts": p2_scripts, "p2_functions": p2_functions, "p2_ranges": p2_ranges, "p3_found": p3_found, "p3_periods": p3_periods, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_scripts": p2_scripts, "p2_functions": p2_functions, "p2_ranges": p2_ranges, "p2_dumps": p2_dumps, "p3_found": p3_found, "p3_periods": p3_periods, "p6_found": p6_found}
 
 _ISLANDS = r"""
 WITH x AS (SELECT regexp_replace(path, '^file://', '') AS path, start_off::BIGINT AS s, end_off::BIGINT AS e FROM coverage WHERE hit_count > 0 AND start_off < end_off AND path IS NOT NULL),
 m AS (SELECT path, s, e, max(e) OVER (PARTITION BY path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x),
 """
 
+# every object with its place; the labels follow from the order of the places: a node is entered after twice the nodes before it, less those around it
+_NODES = r"""
+WITH d AS (SELECT DISTINCT dump_id, payload, payload::JSON AS j FROM coverage_raw WHERE payload IS NOT NULL AND json_valid(payload)), d0 AS (SELECT * FROM d WHERE json_type(j) = 'OBJECT'),
+s AS (SELECT dump_id, payload, unnest(range(json_array_length(j, '$.result')::BIGINT)) AS a, j->'result' AS x FROM d0 WHERE json_type(j, '$.result') = 'ARRAY'),
+s3 AS (SELECT * FROM (SELECT dump_id, payload, a, json_extract(x, '$[' || a || ']') AS o FROM s) WHERE json_type(o) = 'OBJECT'),
+f AS (SELECT dump_id, payload, a, unnest(range(json_array_length(o, '$.functions')::BIGINT)) AS b, o->'functions' AS x FROM s3 WHERE json_type(o, '$.functions') = 'ARRAY'),
+f3 AS (SELECT * FROM (SELECT dump_id, payload, a, b, json_extract(x, '$[' || b || ']') AS o FROM f) WHERE json_type(o) = 'OBJECT'),
+r AS (SELECT dump_id, payload, a, b, unnest(range(json_array_length(o, '$.ranges')::BIGINT)) AS c, o->'ranges' AS x FROM f3 WHERE json_type(o, '$.ranges') = 'ARRAY'),
+r3 AS (SELECT * FROM (SELECT dump_id, payload, a, b, c, json_extract(x, '$[' || c || ']') AS o FROM r) WHERE json_type(o) = 'OBJECT'),
+n AS (SELECT dump_id, payload, 0 AS level, -1 AS a, -1 AS b, -1 AS c, j AS o FROM d0 UNION ALL SELECT dump_id, payload, 1, a, -1, -1, o FROM s3 UNION ALL SELECT dump_id, payload, 2, a, b, -1, o FROM f3 UNION ALL SELECT dump_id, payload, 3, a, b, c, o FROM r3),
+m AS (SELECT *, 2 * (row_number() OVER (PARTITION BY dump_id, payload ORDER BY a, b, c) - 1) - level + 1 AS pre, CASE level WHEN 0 THEN count(*) OVER (PARTITION BY dump_id, payload) WHEN 1 THEN count(*) OVER (PARTITION BY dump_id, payload, a)
+  WHEN 2 THEN count(*) OVER (PARTITION BY dump_id, payload, a, b) ELSE 1 END - 1 AS below FROM n),
+l AS (SELECT *, (pre + 2 * below + 1)::BIGINT AS post FROM m)
+"""
+_TEXT = lambda k: f"CASE WHEN json_type(o, '$.{k}') = 'VARCHAR' THEN o->>'{k}' END AS \"{k}\""
+_WHOLE = lambda k, name: f"CASE WHEN json_type(o, '$.{k}') IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') AND (o->>'{k}')::DOUBLE = floor((o->>'{k}')::DOUBLE) AND abs((o->>'{k}')::DOUBLE) < 9223372036854775808 THEN (o->>'{k}')::DOUBLE::BIGINT END AS \"{name}\""
+
 ORACLES = {
+    "p2_dumps": _NODES + "SELECT DISTINCT dump_id, pre, post, below AS objects FROM l WHERE level = 0",
+    "p2_scripts": _NODES + f"SELECT DISTINCT dump_id, a AS script_ix, {_TEXT('scriptId')}, {_TEXT('url')}, pre, post FROM l WHERE level = 1",
+    "p2_functions": _NODES + f"SELECT DISTINCT dump_id, a AS script_ix, b AS fn_ix, {_TEXT('functionName')}, CASE WHEN json_type(o, '$.isBlockCoverage') = 'BOOLEAN' THEN (o->>'isBlockCoverage')::BOOLEAN END AS \"isBlockCoverage\", pre, post FROM l WHERE level = 2",
+    "p2_ranges": _NODES + f"SELECT DISTINCT dump_id, a AS script_ix, b AS fn_ix, c AS range_ix, {_WHOLE('startOffset', 'startOffset')}, {_WHOLE('endOffset', 'endOffset')}, {_WHOLE('count', 'hits')}, pre, post FROM l WHERE level = 3",
     "p3_found": _ISLANDS + "g AS (SELECT path, reach AS gap_start, s AS gap_end FROM m WHERE reach < s) SELECT * FROM g",
     "p3_periods": _ISLANDS + "n AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach < s THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT path, min(s) AS period_start, max(e) AS period_end FROM n GROUP BY path, k",
     "p2_found": r"""
