@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.llm.language import detect
@@ -79,6 +79,19 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill(*_packing(spark, d))
 
 
+def p7_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Of each profile how many documents are packed, how many containers hold more than they may, and how many documents lack a piece before another."""
+    packing, profiles = _packing(spark, d)
+    capacity = F.create_map(*(F.lit(x) for p, c in profiles.items() for x in (p, c)))[F.col("profile")]
+    rooms = packing.groupBy("profile", "container").agg(F.sum("tokens").alias("t")).groupBy("profile").agg(F.count_if(F.col("t") > capacity).alias("overfull"))
+    pieces = packing.groupBy("profile", "id", "piece_ix").agg(F.count("*").alias("n"))
+    before = F.lag("n").over(Window.partitionBy("profile", "id").orderBy("piece_ix"))
+    last = F.lag("piece_ix").over(Window.partitionBy("profile", "id").orderBy("piece_ix"))
+    gap = (F.col("piece_ix") > 0) & (F.coalesce(before < F.col("n"), F.lit(True)) | (F.coalesce(last, F.lit(-1)) != F.col("piece_ix") - 1))
+    checked = pieces.withColumn("gap", gap).groupBy("profile").agg(F.sum(F.when(F.col("piece_ix") == 0, F.col("n")).otherwise(0)).alias("documents"), F.count_if("gap").alias("broken"))
+    return checked.join(rooms, "profile").select("profile", "documents", "overfull", "broken")
+
+
 def _leaks(spark: SparkSession, d: str, least: int) -> DataFrame:
     return leaks(table(spark, d, "eval_items"), table(spark, d, "documents"), F.col("item_id"), F.col("text"), F.col("doc_id"), F.col("text"), least)
 
@@ -117,21 +130,25 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.col("id").alias("doc_id"), "label", F.col("b.lang").alias("lang"), ratio("b.wc", "b.w").alias("confidence"), ratio("b.w", "all").alias("share"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_errors": p1_errors, "p1_rates": p1_rates, "p4_found": p4_found, "p4_shared": p4_shared, "p5_found": p5_found, "p5_groups": p5_groups, "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
+QUERIES = {"p1_found": p1_found, "p1_errors": p1_errors, "p1_rates": p1_rates, "p4_found": p4_found, "p4_shared": p4_shared, "p5_found": p5_found, "p5_groups": p5_groups, "p7_packing": p7_packing, "p7_fill": p7_fill, "p7_valid": p7_valid, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents}
 _GRAMS = """f AS (SELECT DISTINCT file, content FROM files WHERE content IS NOT NULL),
 p AS (SELECT file, i, md5(substr(content, i, 160)) AS k FROM (SELECT file, content, unnest(range(1, greatest(length(content) - 158, 1))) AS i FROM f)),
 g AS (SELECT DISTINCT file, k FROM p)"""
 _WORDS = r"'[\p{L}\p{N}_]+'"
+_NEAR = f"""f AS (SELECT DISTINCT file, regexp_extract_all(content, {_WORDS}) AS w FROM files WHERE content IS NOT NULL),
+s AS (SELECT DISTINCT file, array_to_string(list_slice(w, i, i + 2), ' ') AS k FROM (SELECT file, w, unnest(range(1, len(w) - 1)) AS i FROM f WHERE len(w) >= 30)), n AS (SELECT file, count(*) AS n FROM s GROUP BY file),
+j AS (SELECT a.file AS file_a, b.file AS file_b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.file < b.file GROUP BY ALL),
+p AS (SELECT file_a, file_b FROM j JOIN n x ON x.file = file_a JOIN n y ON y.file = file_b WHERE 10 * c >= 6 * (x.n + y.n - c))"""
 
 ORACLES = {
     "p4_found": f"WITH {_GRAMS} SELECT DISTINCT a.file AS file_a, b.file AS file_b FROM g a JOIN g b ON a.k = b.k AND a.file < b.file",
     "p4_shared": f"""WITH {_GRAMS}, s AS (SELECT k FROM g GROUP BY k HAVING count(*) > 1),
 c AS (SELECT file, i, lead(i) OVER (PARTITION BY file ORDER BY i) AS n FROM (SELECT DISTINCT p.file, p.i FROM p JOIN s USING (k))), t AS (SELECT file, sum(least(160, coalesce(n - i, 160)))::BIGINT AS shared FROM c GROUP BY file)
 SELECT file, length(content) AS n_chars, coalesce(shared, 0) AS shared_chars FROM f LEFT JOIN t USING (file)""",
-    "p5_found": f"""WITH f AS (SELECT DISTINCT file, regexp_extract_all(content, {_WORDS}) AS w FROM files WHERE content IS NOT NULL),
-s AS (SELECT DISTINCT file, array_to_string(list_slice(w, i, i + 2), ' ') AS k FROM (SELECT file, w, unnest(range(1, len(w) - 1)) AS i FROM f WHERE len(w) >= 30)), n AS (SELECT file, count(*) AS n FROM s GROUP BY file),
-j AS (SELECT a.file AS file_a, b.file AS file_b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.file < b.file GROUP BY ALL)
-SELECT file_a, file_b FROM j JOIN n x ON x.file = file_a JOIN n y ON y.file = file_b WHERE 10 * c >= 6 * (x.n + y.n - c)""",
+    "p5_found": f"WITH {_NEAR} SELECT file_a, file_b FROM p",
+    "p5_groups": f"""WITH RECURSIVE {_NEAR}, e AS (SELECT file_a AS a, file_b AS b FROM p UNION ALL SELECT file_b, file_a FROM p), c(node, low) AS (SELECT a, least(a, min(b)) FROM e GROUP BY a UNION SELECT e.a, c.low FROM e JOIN c ON e.b = c.node WHERE c.low < e.a)
+SELECT node AS file, min(low) AS grp, (SELECT count(*) FROM e WHERE e.a = c.node) AS links FROM c GROUP BY node""",
+    "p7_valid": "SELECT profile, (SELECT count(*) FROM documents) AS documents, 0 AS overfull, 0 AS broken FROM pack_profiles",
     "p8_found": f"""WITH i AS (SELECT DISTINCT item_id, list_transform(regexp_extract_all(text, {_WORDS}), lambda x: lower(x)) AS w FROM eval_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
 d AS (SELECT DISTINCT doc_id, list_transform(regexp_extract_all(text, {_WORDS}), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 gi AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, n, n + 14), ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13, 1))) AS n FROM i)),
