@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from tessel.functions.rolling import MULTIPLIER, mix, window_hash
 from tessel.session import materialize
 
+BIN = 256  # tokens
+
 _QUOTED = r"""'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'|"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*\""""
 _PLAIN = r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]"
 SCRIPT_TOKEN = rf"//[^\n]*|/\*[\s\S]*?\*/|{_QUOTED}|`[^`\\]*(?:\\[\s\S][^`\\]*)*`|=>|[=!]==?|&&|\|\||\?\?|\?\.|{_PLAIN}"
@@ -91,14 +93,16 @@ def occurrences(positions: DataFrame, found: DataFrame, m: int) -> DataFrame:
     return rows.withColumn("_n", n).filter("_n > 1").drop("_n")
 
 
-def subsumed(spans: DataFrame, ranked: bool = False) -> DataFrame:
+def subsumed(spans: DataFrame, width: int, ranked: bool = False) -> DataFrame:
     """(id) of families every occurrence of which lies inside an occurrence of one other, longer family; spans(id, length, file, lo, hi).
 
-    ranked: or inside one of as long a family of a lower ``rank``, a further column."""
+    Spans meet in bins of ``width``, in which the inner one begins; so far apart spans of one file form no pairs. ranked: or inside one of as long a
+    family of a lower ``rank``, a further column."""
     rank = ["rank"] if ranked else []
-    a, b = spans, spans.select(F.col("id").alias("by"), F.col("length").alias("by_length"), "file", F.col("lo").alias("by_lo"), F.col("hi").alias("by_hi"), *(F.col(r).alias("by_rank") for r in rank))
+    bins = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("bin")
+    a, b = spans.withColumn("bin", F.floor(F.col("lo") / width)), spans.select(F.col("id").alias("by"), F.col("length").alias("by_length"), "file", F.col("lo").alias("by_lo"), F.col("hi").alias("by_hi"), bins, *(F.col(r).alias("by_rank") for r in rank))
     longer = "(length < by_length or length = by_length and by_rank < rank)" if ranked else "length < by_length"
-    inside = a.join(b, "file").filter(f"id <> by and {longer} and by_lo <= lo and hi <= by_hi")
+    inside = a.join(b, ["file", "bin"]).filter(f"id <> by and {longer} and by_lo <= lo and hi <= by_hi")
     covered = inside.groupBy("id", "by").agg(F.count_distinct("file", "lo").alias("n"))
     total = spans.groupBy("id").agg(F.count_distinct("file", "lo").alias("total"))
     return covered.join(total, "id").filter("n = total").select("id").distinct()
@@ -186,15 +190,15 @@ def structural(toks: list[str], keywords: set[str]) -> list[str]:
 
 
 def structural_tokens(files: DataFrame, keywords: list[str] | dict[str, list[str]]) -> DataFrame:
-    """(file, toks, at) with rewritten tokens; at: where they stand in the text, null if nothing was rewritten. The rewrites need a stack, so they run in Arrow batches."""
+    """(n, file, toks, at) with rewritten tokens; at: where they stand in the text, null if nothing was rewritten. The rewrites need a stack, so they run in Arrow batches."""
 
     def run(batches):
         for batch in batches:
             rows = [rewritten(list(t), set(_kept(f, keywords))) if t is not None else (None, None) for f, t in zip(batch["file"], batch["toks"])]
             same = [at is None or at == list(range(len(t))) for (_, at), t in zip(rows, batch["toks"])]
-            yield batch[["file"]].assign(toks=[t for t, _ in rows], at=[None if s else at for (_, at), s in zip(rows, same)])
+            yield batch[["n", "file"]].assign(toks=[t for t, _ in rows], at=[None if s else at for (_, at), s in zip(rows, same)])
 
-    return files.select("file", "toks").mapInPandas(run, "file string, toks array<string>, at array<int>")
+    return files.select("n", "file", "toks").mapInPandas(run, "n bigint, file string, toks array<string>, at array<int>")
 
 
 def _kept(file: str, keywords: list[str] | dict[str, list[str]]) -> list[str]:
@@ -210,11 +214,16 @@ def find_clones(files: DataFrame, m: int, keywords: list[str] | dict[str, list[s
         renamed = normalised(F.col("toks"), keywords)
     else:
         renamed = F.when(F.endswith("file", F.lit(".py")), normalised(F.col("toks"), keywords["py"])).otherwise(normalised(F.col("toks"), keywords["ts"]))
+    # rows of positions carry a number, not the name of their file
+    files = materialize(files.select(F.monotonically_increasing_id().alias("n"), "file", "toks"), "numbered")
     spans = None
     for t in types:
-        toks = files if t == 1 else files.select("file", renamed.alias("toks")) if t == 2 else materialize(structural_tokens(files, keywords), "structural")
-        times = F.count("*").over(Window.partitionBy("key"))  # only repeated runs can be in a family: the joins below see no others
-        positions = materialize(grams(toks, m).withColumn("times", times).filter("times > 1").drop("times"), "grams")
+        toks = files if t == 1 else files.select("n", renamed.alias("toks")) if t == 2 else materialize(structural_tokens(files, keywords), "structural")
+        toks = toks.drop("file").withColumnRenamed("n", "file")
+        # only repeated runs can be in a family: the joins below see no others
+        rows = grams(toks, m)
+        repeated = rows.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
+        positions = materialize(rows.join(repeated, "key").select("file", "pos", "key"), "grams")
         occ = occurrences(positions, families(positions, m), m)
         occ = occ.select(F.lit(t).alias("rank"), F.concat_ws("/", F.lit(t), "family_file", "family_pos").alias("id"), "length", "file", F.col("pos").alias("lo"), (F.col("pos") + F.col("length") - 1).alias("hi"))
         if t == 4:
@@ -223,6 +232,6 @@ def find_clones(files: DataFrame, m: int, keywords: list[str] | dict[str, list[s
                 occ = occ.join(moved.select("file", F.col("k").alias(end), "at"), ["file", end], "left").withColumn(end, F.coalesce("at", end)).drop("at")
         occ = occ.select("rank", "id", "length", "file", "lo", (F.col("hi") + 1).alias("hi"))
         spans = occ if spans is None else spans.unionByName(occ)
-    spans = materialize(spans, "clones")
+    spans = materialize(spans.join(files.select(F.col("n").alias("file"), F.col("file").alias("name")), "file").drop("file").withColumnRenamed("name", "file"), "clones")
     found = spans.groupBy("id").agg(F.first("rank").alias("type"), F.min(F.struct("file", "lo")).alias("b"), F.count("*").alias("members"), F.first("length").alias("length"))
-    return found.join(subsumed(spans, True), "id", "left_anti").select("type", "b.file", F.col("b.lo").alias("pos"), "members", "length")
+    return found.join(subsumed(spans, BIN, True), "id", "left_anti").select("type", "b.file", F.col("b.lo").alias("pos"), "members", "length")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.session import materialize
+
 
 def merge_ranges(ranges: DataFrame) -> DataFrame:
     """One row per (file, fn, start, end) with summed hits: duplicate scripts of several dumps become one."""
@@ -47,7 +49,7 @@ def hot_paths(hits: DataFrame, percent: int = 10) -> DataFrame:
     k = -(-row.n * percent // 100)
     parts = live.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
     inner = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    ranked = parts.withColumn("_r", inner)
+    ranked = materialize(parts.withColumn("_r", inner), "ranked")  # both uses below must see the same partitions
     sizes = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifted = ranked.join(F.broadcast(sizes.select("_p", before.alias("_b"))), "_p")  # a row per partition

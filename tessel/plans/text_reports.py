@@ -40,7 +40,7 @@ def clone_subsumption(spark, d):
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     spans = table(spark, d, "events").groupBy(F.col("event_type"), F.col("user_id").alias("file"), F.floor(at / 86_400_000_000).alias("day")).agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("length"))
     spans = spans.select(F.concat_ws("/", "event_type", "file", "day").alias("id"), "length", F.concat_ws("/", "file", "day").alias("file"), "lo", "hi")
-    return clones.subsumed(spans)
+    return clones.subsumed(spans, 3_600_000_000)
 
 
 def suppression_parse(spark, d):

@@ -25,6 +25,18 @@ def test_bursts_and_refresh(spark, tmp_path):
         query.stop()
         spark.createDataFrame(rows[:2], SCHEMA).write.mode("append").parquet(source)
     assert sorted(r.file for r in spark.read.parquet(cache).collect()) == ["a.ts", "b.ts", "c.py", "d.py"]
+    # a change, the old content again, and a change that is late: the latest one holds
+    for second, text in ((10, "import './c'"), (20, "import './b'"), (15, "import './d'")):
+        spark.createDataFrame([(at(9, second), "p", "a.ts", text)], SCHEMA).write.mode("append").parquet(source)
+        query = debounce.refresh(stream, cache, "1").option("checkpointLocation", mark).start()
+        query.processAllAvailable()
+        query.stop()
+    rows = spark.read.parquet(cache)
+    assert rows.filter("file = 'a.ts'").count() == 3
+    now = {r.file: [i.source for i in r.imports] for r in debounce.current(rows).collect()}
+    assert now == {"a.ts": ["./b"], "b.ts": [], "c.py": ["os"], "d.py": []}
+    debounce.compact(spark, cache, cache + "2")
+    assert spark.read.parquet(cache + "2").count() == 4
 
 
 def test_windowed_counts(spark):
