@@ -8,6 +8,7 @@ From manifests it also has entry points, path aliases and the packages of a work
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tessel.extract import exploded, file_metrics, inventory
 from tessel.functions import scores
 from tessel.functions.globs import is_glob, path_glob, zone_glob
-from tessel.operators import clones, rules
+from tessel.operators import clones, reexports, rules
 from tessel.operators.resolve import dirname, fold, normal_name, package_of, python_base, python_candidates, resolve, script_candidates
 from tessel.session import materialize
 from tessel.sources import manifests
@@ -56,6 +57,7 @@ def _atoms(names: set[str]) -> Column:
 class Codebase:
     def __init__(self, files: DataFrame, deps: DataFrame | None = None, config: Config | None = None, manifests_: DataFrame | None = None, plugins: list[Plugin] = ()):
         self.spark, self.config, self.plugins = files.sparkSession, config or Config(), list(plugins)
+        self.registered: dict[str, Callable[[Codebase], DataFrame]] = {}
         known = files.filter("file is not null").dropDuplicates(["file"])
         self.facts = materialize(manifests.facts(manifests_), "facts") if manifests_ is not None else None
         none = self.spark.createDataFrame([], manifests.ROW)
@@ -210,7 +212,19 @@ class Codebase:
     def _finding(self, rows: DataFrame, kind: str, message: Column, off: str | None = None, name: str | None = None, file: str = "file") -> DataFrame:
         return rows.select(F.lit(kind).alias("kind"), F.lit(self.config.rules.get(kind, "error")).alias("severity"), F.col(file).alias("file"), (F.col(off) if off else F.lit(None)).cast("int").alias("off"), F.concat(F.lit(f"{kind}: "), message).alias("message"), (F.col(name) if name else F.lit(None)).cast("string").alias("name"))
 
+    def register(self, kind: str, rule: Callable[[Codebase], DataFrame]) -> None:
+        """Add a rule of one's own: a function from the code base to (file, message), and off and name if it has them. It runs in the mode full, unless its severity is off."""
+        if kind in RULES:
+            raise ValueError(f"{kind} is a rule already")
+        self.registered[kind] = rule
+
     def rule(self, kind: str) -> DataFrame:
+        if kind in self.registered:
+            rows = self.registered[kind](self)
+            for column in ("off", "name"):
+                if column not in rows.columns:
+                    rows = rows.withColumn(column, F.lit(None).cast("string"))
+            return self._finding(rows, kind, F.col("message"), "off", "name")
         c, decls, edges = self.config, self.decls, self.edges
         f = F.col
         if kind == "unused-files":
@@ -266,12 +280,12 @@ class Codebase:
         return clones.find_clones(toks, self.config.min_tokens, CLONE_KEYWORDS)
 
     def enabled(self, mode: str) -> list[str]:
-        return [r for r in RULES if r in MODES[mode] and self.config.rules.get(r, "error") != "off" and (r != "boundary-violations" or self.config.zones)]
+        return sorted(r for r in [*RULES, *self.registered] if (r in MODES[mode] or mode == "full") and self.config.rules.get(r, "error") != "off" and (r != "boundary-violations" or self.config.zones))
 
-    def findings(self, mode: str = "full", always_used: Column | None = None) -> DataFrame:
-        """All findings of a mode, without what other findings explain. Only rules that are on are ever built."""
+    def findings(self, mode: str = "full", always_used: Column | None = None, kinds: list[str] | None = None) -> DataFrame:
+        """All findings of a mode (only those of some rules, with ``kinds``), without what other findings explain. Only rules that are on are ever built."""
         out = None
-        for kind in self.enabled(mode):
+        for kind in [k for k in self.enabled(mode) if kinds is None or k in kinds]:
             rows = self.rule(kind)
             out = rows if out is None else out.unionByName(rows)
         if out is None:
@@ -297,5 +311,20 @@ class Codebase:
         """(file) of everything that imports a file, directly or not."""
         return rules.importers(self.edges, self.spark.createDataFrame([(file,)], "file string"))
 
+    def trace_export(self, name: str) -> DataFrame:
+        """(file) of the importers of files that use a name, over importers that use it too."""
+        return reexports.trace_export(self.edges, self.table("usages"), name)
+
+    def package_roots(self) -> DataFrame:
+        """(file, root) of every Python file: the directory from which it is imported, above the regular packages around it."""
+        parts = F.split("rel_path", "/")
+        up = F.posexplode(F.reverse(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.concat_ws("/", F.col("root"), F.slice(parts, 1, n))))).alias("steps", "dir")
+        plain = F.regexp_replace("dir", "/$", "")
+        py = self.files.filter(F.col("file").rlike(r"\.pyi?$")).select("file", up).select("file", "steps", plain.alias("dir"))
+        inits = self.files.filter(F.endswith("file", F.lit("/__init__.py"))).select(dirname(F.col("file")).alias("dir"), F.lit(True).alias("regular")).distinct()
+        rows = py.join(inits, "dir", "left")
+        top = rows.groupBy("file").agg(F.min(F.when(F.col("regular").isNull(), F.struct("steps", "dir")))["dir"].alias("root"), F.max_by("dir", "steps").alias("last"))
+        return top.select("file", F.coalesce("root", "last").alias("root"))
+
     def audit(self) -> dict[str, int]:
         return {"files": self.files.count(), "edges": self.edges.count()}

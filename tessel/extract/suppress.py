@@ -18,6 +18,11 @@ def suppressions(sources: DataFrame, rules: list[str], tool: str = "tessel") ->
     return rows.withColumn("hint", F.when(~F.array_contains(known, F.col("rule")) & (near["n"] <= 2), near["k"]))
 
 
+def unknown_once(marks: DataFrame) -> DataFrame:
+    """(file, scope, rule, hint, line): each unknown rule of a file once for each scope, at its first line."""
+    return marks.filter("hint is not null").groupBy("file", "scope", "rule", "hint").agg(F.min("line").alias("line"))
+
+
 def apply_suppressions(findings: DataFrame, marks: DataFrame) -> DataFrame:
     """Findings(file, line, kind) that no suppression covers."""
     whole = marks.filter("scope = 'file'").select("file", F.col("rule").alias("_rule"))

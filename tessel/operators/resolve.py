@@ -19,6 +19,13 @@ def fold(path: Column) -> Column:
     return F.when(F.startswith(path, F.lit("/")), F.concat(F.lit("/"), folded)).otherwise(folded)
 
 
+def canonical(path: Column) -> Column:
+    """One spelling of a path: forward slashes, a small drive letter, no ``.``, ``..`` or trailing slash."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    drive = F.regexp_extract(plain, r"^([A-Za-z]):/", 1)
+    return F.when(drive != "", F.concat(F.lower(drive), F.lit(":/"), fold(F.substr(plain, F.lit(4))))).otherwise(fold(plain))
+
+
 def dirname(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 

@@ -39,6 +39,12 @@ def rows_of(data: dict) -> list[tuple[str, str, int, int, int]]:
     return [(s["url"], f["functionName"] or "<anonymous>", r["startOffset"], r["endOffset"], r["count"]) for s in data["result"] for f in s["functions"] for r in f["ranges"]]
 
 
+def placed(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranges(file, fn, start, end, hits) with both ends, and (file, lost) of the files that have others: some writers leave columns null, which must not cost the rest of the dump."""
+    whole = F.col("start").isNotNull() & F.col("end").isNotNull()
+    return ranges.filter(whole), ranges.filter(~whole).groupBy("file").agg(F.count("*").alias("lost"))
+
+
 def rebase_to(ranges: DataFrame, files: DataFrame, root: str, old: str | None = None) -> DataFrame:
     """ranges with files below ``root``: from ``old``, or from the common directory of all urls. It is an error if less than half of the scripts then are files of the project."""
     rows = ranges.withColumn("file", cov.plain_url(F.col("file")))

@@ -17,17 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 from tessel.functions.globs import is_glob, path_glob
 
 # fixed values: what counts as a source file, and which directories are never entered
-EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".py", ".pyi")
+EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".py", ".pyi", ".vue", ".svelte", ".astro", ".mdx", ".css", ".scss")
+HIDDEN = {".storybook", ".vitepress", ".well-known", ".changeset", ".github"}  # dot directories that are entered all the same
 SKIPPED = {"node_modules", "dist", "build", "coverage", ".git", ".turbo", ".venv", "venv", "__pycache__", ".tox", ".pytest_cache", ".mypy_cache", ".ruff_cache"}
 SECTIONS = {"dependencies": "deps", "devDependencies": "dev-deps", "optionalDependencies": "optional-deps", "peerDependencies": "peer-deps"}
 
 
 def discover(root: str, exclude: list[str] = ()) -> list[str]:
-    """Sorted paths of the source files below ``root``; dot entries and tool directories are not entered, exclude globs hold for relative paths."""
+    """Sorted paths of the source files below ``root``; dot entries but those of ``HIDDEN`` and tool directories are not entered, exclude globs hold for relative paths."""
     banned = re.compile("|".join(path_glob(g) for g in exclude if is_glob(g)) or r"(?!)")
     out = []
     for at, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in SKIPPED and not d.startswith("."))
+        dirs[:] = sorted(d for d in dirs if d not in SKIPPED and (not d.startswith(".") or d in HIDDEN))
         for n in names:
             path = f"{at.replace(os.sep, '/')}/{n}"
             if n.endswith(EXTENSIONS) and not n.startswith(".") and not banned.search(os.path.relpath(path, root).replace(os.sep, "/")):

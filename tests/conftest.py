@@ -7,7 +7,7 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     spark = (
@@ -17,6 +17,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "3g")
+        .config("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
