@@ -49,13 +49,18 @@ class _Scan:
         size = len(self.words)
         self.match = [size] * size
         stack: list[int] = []
+        closed = 0
         for i, (w, k) in enumerate(zip(self.words, self.kinds)):
             if k != "punct":
                 continue
             if w in _OPEN:
                 stack.append(i)
-            elif w in _CLOSE and stack and _OPEN[self.words[stack[-1]]] == w:
-                self.match[stack.pop()] = i
+            elif w in _CLOSE:
+                closed += 1
+                if stack and _OPEN[self.words[stack[-1]]] == w:
+                    self.match[stack.pop()] = i
+                    closed -= 1
+        self.balanced = not stack and not closed
         self.size = size
         self.newlines = [m.start() for m in re.finditer("\n", text)]
         self.decls, self.imports, self.usages, self.functions = [], [], [], []
@@ -374,6 +379,7 @@ class _Scan:
 
 
 def extract_script(text: str) -> dict:
+    """The inventory; ``failed`` if a bracket has no partner, so that a declaration may end in the wrong place."""
     scan = _Scan(text)
     try:
         scan.block(0, scan.size)
@@ -385,4 +391,4 @@ def extract_script(text: str) -> dict:
         elif scan.words[x] == "URL" and scan.word(x - 1) == "new" and scan.words[x + 1] == "(" and "".join(scan.words[x + 3 : x + 9]) == ",import.meta.url)" and scan.kinds[x + 2] == "text":
             scan.add_import("asset", scan.words[x + 2][1:-1], True, x - 1, x + 9)
     key = lambda d: (d["start_off"], d.get("name") or d.get("source") or "")
-    return {"failed": False, "decls": sorted(scan.decls, key=key), "imports": sorted(scan.imports, key=key), "usages": sorted(scan.usages, key=lambda u: (u["off"], u["name"])), "functions": sorted(scan.functions, key=lambda f: f["start_off"])}
+    return {"failed": not scan.balanced, "decls": sorted(scan.decls, key=key), "imports": sorted(scan.imports, key=key), "usages": sorted(scan.usages, key=lambda u: (u["off"], u["name"])), "functions": sorted(scan.functions, key=lambda f: f["start_off"])}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.engine import Codebase
-from tessel.extract import file_metrics
+from tessel.extract import exploded, file_metrics
 from tessel.operators import rules
 from tessel.session import table
 
@@ -75,6 +75,13 @@ def exported_declarations(spark, d):
     return codebase(spark, d).decls.filter("exported").select("file", "kind", "name", "start_off", "line")
 
 
+def script_functions(spark, d):
+    """Ways through, and lines of, every declared function of the scripts whose brackets match: elsewhere nothing says where a function ends."""
+    whole = codebase(spark, d).inventory.filter("not failed and lang = 'ts'")
+    declared = exploded(whole, "decls").filter("kind = 'function'").select("file", "name", "line")
+    return exploded(whole, "functions").join(declared, ["file", "name", "line"], "left_semi").select("file", "name", "line", "cyclomatic", "loc")
+
+
 def import_resolution(spark, d):
     """Every relative script import with the file it means, or null."""
     edges = codebase(spark, d).edges.filter(F.col("spec").rlike(r"^\.\.?/") & ~F.col("src").rlike(r"\.pyi?$"))
@@ -112,7 +119,7 @@ def code_counts(spark, d):
 QUERIES = {
     "inventory_declarations": inventory_declarations, "inventory_imports": inventory_imports, "inventory_usages": inventory_usages, "function_complexity": function_complexity, "file_complexity": file_complexity,
     "module_edges": module_edges, "entry_points": entry_points, "findings_all": findings_all, "findings_counts": findings_counts, "codebase_health": codebase_health,
-    "clones_merged": clones_merged, "exported_declarations": exported_declarations, "code_counts": code_counts, "import_resolution": import_resolution, "python_import_resolution": python_import_resolution,
+    "clones_merged": clones_merged, "exported_declarations": exported_declarations, "code_counts": code_counts, "script_functions": script_functions, "import_resolution": import_resolution, "python_import_resolution": python_import_resolution,
     **{f"code_{k.replace('-', '_')}": _rule(k) for k in ("unused-files", "unused-exports", "unused-types", "unresolved-imports", "unlisted-dependencies")},
 }
 
@@ -164,7 +171,17 @@ _FOUND = {
     "unlisted-dependencies": (_EDGES, "SELECT DISTINCT 'unlisted-dependencies' AS kind, src AS file, -1 AS off, spec AS name, 'unlisted-dependencies: ' || spec || ' is not declared in a manifest' AS message FROM e WHERE NOT resolvable AND dst IS NULL AND package IS NOT NULL"),
     "duplicate-exports": (_LINES, "SELECT 'duplicate-exports' AS kind, file, min(start_off) AS off, name, 'duplicate-exports: ' || name || ' declared ' || count(*) || ' times in ' || file AS message FROM x GROUP BY file, name HAVING count(*) > 1"),
 }
+# a declared function ends with the first brace at the start of a line; strings, templates, patterns and comments are single tokens
+_SCRIPT = r"""'//[^\n]*|/\*[\s\S]*?\*/|''[^''\\\n]*(?:\\[\s\S][^''\\\n]*)*''|"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*"|`[^`\\]*(?:\\[\s\S][^`\\]*)*`|[(,=:\[!&|?{;] */[^/*\n][^\n]*/|&&|\|\||\?\?=?|\?\.|\? |[A-Za-z_$][\w$]*|[^\s\w]'"""
+_BALANCED = " AND ".join(f"len(list_filter(toks, lambda x: x[1] = '{a}')) = len(list_filter(toks, lambda x: x[1] = '{b}'))" for a, b in ("()", "[]", "{}"))
+_FUNCTIONS = _LINES + f""", q AS (SELECT file FROM (SELECT file, regexp_extract_all(content, {_SCRIPT}) AS toks FROM f WHERE NOT ends_with(file, '.py')) WHERE {_BALANCED})""" + r""", h AS (SELECT file, line, regexp_extract(t, '^(?:export )?(?:default )?(?:async )?function\*? (\w+)', 1) AS name FROM l WHERE file IN (SELECT file FROM q) AND regexp_matches(t, '^(export )?(default )?(async )?function\*? \w')),
+z AS (SELECT h.file, h.line, h.name, min(x.line) AS stop FROM h LEFT JOIN l x ON x.file = h.file AND x.line > h.line AND starts_with(x.t, '}') GROUP BY ALL),
+b AS (SELECT z.file, z.line, z.name, string_agg(x.t, chr(10) ORDER BY x.line) AS body FROM z JOIN l x ON x.file = z.file AND x.line BETWEEN z.line AND coalesce(z.stop, 1000000000) GROUP BY ALL)
+SELECT file, name, line, 1 + len(list_filter(regexp_extract_all(body, """ + _SCRIPT + r"""),
+  lambda x: x IN ('if', 'for', 'while', 'case', 'catch', '&&', '||', '??', '? '))) AS cyclomatic, len(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '\S'))) AS loc FROM b"""
+
 ORACLES = {
+    "script_functions": "WITH " + _FUNCTIONS,
     "entry_points": f"WITH {_LINES}, {_ENTRIES} SELECT project, file FROM k",
     "inventory_imports": f"WITH {_LINES} SELECT file, 'static' AS kind, spec AS source, true AS resolvable, start_off, line FROM i",
     "exported_declarations": f"WITH {_LINES} SELECT file, kind, name, start_off, line FROM x",
