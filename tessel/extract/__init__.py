@@ -14,7 +14,7 @@ from tessel.extract.script_source import extract_script
 
 RANGE = "start_off int, end_off int, line int"
 DECL = f"kind string, name string, exported boolean, {RANGE}, members array<string>, bases array<string>, annotation string, callee string, decorated array<string>, fields array<string>"
-SCHEMA = f"""project string, file string, lang string, failed boolean,
+SCHEMA = f"""project string, file string, lang string, failed boolean, whole boolean,
 decls array<struct<{', '.join(x.replace(' ', ': ', 1) for x in DECL.split(', '))}>>,
 imports array<struct<kind: string, source: string, resolvable: boolean, start_off: int, end_off: int, line: int, names: array<string>>>,
 usages array<struct<kind: string, name: string, off: int>>,
@@ -37,8 +37,8 @@ def inventory(files: DataFrame) -> DataFrame:
             rows = []
             for project, file, content in zip(batch["project"], batch["file"], batch["content"]):
                 got = extract(file, content)
-                rows.append({"project": project, "file": file, "lang": "py" if file.endswith((".py", ".pyi")) else "ts", **got})
-            yield pd.DataFrame(rows, columns=["project", "file", "lang", "failed", "decls", "imports", "usages", "functions"])
+                rows.append({"project": project, "file": file, "lang": "py" if file.endswith((".py", ".pyi")) else "ts", "whole": not got["failed"], **got})
+            yield pd.DataFrame(rows, columns=["project", "file", "lang", "failed", "whole", "decls", "imports", "usages", "functions"])
 
     return files.filter("file is not null").select("project", "file", "content").mapInPandas(run, SCHEMA)
 

@@ -379,7 +379,7 @@ class _Scan:
 
 
 def extract_script(text: str) -> dict:
-    """The inventory; ``failed`` if a bracket has no partner, so that a declaration may end in the wrong place."""
+    """The inventory; not ``whole`` if a bracket has no partner, so that a declaration may end in the wrong place."""
     scan = _Scan(text)
     try:
         scan.block(0, scan.size)
@@ -391,4 +391,4 @@ def extract_script(text: str) -> dict:
         elif scan.words[x] == "URL" and scan.word(x - 1) == "new" and scan.words[x + 1] == "(" and "".join(scan.words[x + 3 : x + 9]) == ",import.meta.url)" and scan.kinds[x + 2] == "text":
             scan.add_import("asset", scan.words[x + 2][1:-1], True, x - 1, x + 9)
     key = lambda d: (d["start_off"], d.get("name") or d.get("source") or "")
-    return {"failed": not scan.balanced, "decls": sorted(scan.decls, key=key), "imports": sorted(scan.imports, key=key), "usages": sorted(scan.usages, key=lambda u: (u["off"], u["name"])), "functions": sorted(scan.functions, key=lambda f: f["start_off"])}
+    return {"failed": False, "whole": scan.balanced, "decls": sorted(scan.decls, key=key), "imports": sorted(scan.imports, key=key), "usages": sorted(scan.usages, key=lambda u: (u["off"], u["name"])), "functions": sorted(scan.functions, key=lambda f: f["start_off"])}

@@ -77,7 +77,7 @@ def exported_declarations(spark, d):
 
 def script_functions(spark, d):
     """Ways through, and lines of, every declared function of the scripts whose brackets match: elsewhere nothing says where a function ends."""
-    whole = codebase(spark, d).inventory.filter("not failed and lang = 'ts'")
+    whole = codebase(spark, d).inventory.filter("whole and lang = 'ts'")
     declared = exploded(whole, "decls").filter("kind = 'function'").select("file", "name", "line")
     return exploded(whole, "functions").join(declared, ["file", "name", "line"], "left_semi").select("file", "name", "line", "cyclomatic", "loc")
 
