@@ -142,7 +142,8 @@ def pack(counts: DataFrame, profiles: dict[str, int]) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("profile", "length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     offsets = by_salt.select("profile", "length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     inner = F.row_number().over(Window.partitionBy("profile", "length", "salt").orderBy("id")) - 1
-    ranked = rest.withColumn("inner", inner).join(offsets, ["profile", "length", "salt"]).withColumn("rank", (F.col("inner") + F.col("before")).cast("bigint"))
+    # the offsets grow with the items; Spark judges them by their compressed files, a small part of what a broadcast takes, and the items are sorted by these keys anyway
+    ranked = rest.withColumn("inner", inner).join(offsets.hint("merge"), ["profile", "length", "salt"]).withColumn("rank", (F.col("inner") + F.col("before")).cast("bigint"))
     packed = ranked.select("profile", "id", "pieces", "length", "rank").mapInArrow(_assign(tables), "profile string, id bigint, pieces bigint, length bigint, packed bigint")
     shared = packed.select("profile", "id", F.col("pieces").alias("piece_ix"), F.col("length").alias("tokens"), F.concat(F.lit("p"), F.col("packed")).alias("container"))
     # a number for each row: ids may repeat or be null

@@ -58,6 +58,18 @@ def test_repeated_and_null_ids_above_the_capacity_have_containers_of_their_own(s
     assert all(r.t <= {"a": 10, "b": 12}[r.profile] for r in rooms)
 
 
+def test_offsets_of_ranks_are_never_broadcast(spark):
+    old, packing._SALT_ROWS = packing._SALT_ROWS, 10  # one offset for nearly every item
+    try:
+        got = packing.pack(spark.range(5000).selectExpr("id", "id % 97 as tokens"), {"a": 40, "b": 200})
+    finally:
+        packing._SALT_ROWS = old
+    assert {tuple(r) for r in got.groupBy("profile").agg(F.sum("tokens")).collect()} == {(p, sum(n % 97 for n in range(5000))) for p in "ab"}
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_token_counts_and_edge_texts(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "größe 中文\r\n" * 5000)], "doc_id bigint, text string")
     got = dict(packing.token_counts(df, F.col("doc_id"), F.col("text")).collect())
