@@ -118,11 +118,12 @@ def report_markdown(spark, d):
 
 
 def determinism_hash(spark, d):
-    """One digest per project over its findings, whatever their order."""
+    """One digest per project over its findings, whatever their order: a sum, modulo 2^64 where it leaves the signed 64 bits, so any number of findings has one."""
     rows = _report(spark, d).join(table(spark, d, "findings_actual").select("finding_id", "run_id").distinct(), "finding_id").join(table(spark, d, "runs").select("run_id", "project").distinct(), "run_id")
     each = rows.select("project", F.md5(F.concat_ws("|", "finding_id", "kind", "file", "line")).alias("h")).distinct()
-    part = F.conv(F.substring("h", 1, 12), 16, 10).cast("bigint")
-    return each.groupBy("project").agg(F.sum(part).cast("bigint").alias("digest"), F.count("*").alias("n"))
+    part = F.conv(F.substring("h", 1, 12), 16, 10).cast("decimal(15,0)")
+    sums = each.groupBy("project").agg(F.sum(part).alias("s"), F.count("*").alias("n"))
+    return sums.withColumn("s", F.expr(f"s % {2**64}")).select("project", F.expr(f"if(s >= {2**63}, s - {2**64}, s)").cast("bigint").alias("digest"), "n")
 
 
 GAP = "6 hours"

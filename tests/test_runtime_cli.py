@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -70,3 +71,19 @@ def test_cli(spark, tmp_path, capsys):
     assert ", 0 errors, " in capsys.readouterr().out
     assert cli.main(["trace", str(tmp_path), "--file", "src/a.ts"], spark) == 0 and capsys.readouterr().out.strip().endswith("src/index.ts")
     assert cli.main(["trace", str(tmp_path)], spark) == 2 and cli.main(["audit", str(tmp_path)], spark) == 0
+
+
+def test_determinism_hash_of_many_findings(spark, tmp_path):
+    from tessel.plans import text_reports
+
+    n = 140_000  # the sums of so many pass 2^63
+    place = F.struct(F.struct(F.lit(1).alias("line"), F.lit(0).alias("col")).alias("start_pos")).alias("loc")
+    found = spark.range(n).select(F.concat(F.lit("f"), "id").alias("finding_id"), F.lit("k").alias("kind"), F.lit("error").alias("severity"), F.lit("a.ts").alias("file"), F.lit("m").alias("message"), place, F.when(F.col("id") < 3, "r2").otherwise("r1").alias("run_id"))
+    found.write.parquet(f"{tmp_path}/findings_actual.parquet")
+    spark.createDataFrame([("r1", "p"), ("r2", "few")], "run_id string, project string").write.parquet(f"{tmp_path}/runs.parquet")
+    parts = [int(hashlib.md5(f"f{i}|k|a.ts|1".encode()).hexdigest()[:12], 16) for i in range(n)]
+    assert sum(parts[3:]) >= 2**63
+    wrapped = (sum(parts[3:]) + 2**63) % 2**64 - 2**63
+    got = text_reports.determinism_hash(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"project": "string", "digest": "bigint", "n": "bigint"}
+    assert {tuple(r) for r in got.collect()} == {("few", sum(parts[:3]), 3), ("p", wrapped, n - 3)}
