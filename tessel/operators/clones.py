@@ -9,7 +9,7 @@ with one window.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from tessel.functions.rolling import MULTIPLIER, mix, window_hash
 from tessel.session import materialize
 
 BIN = 256  # tokens
+MOST_BITS = 1 << 27  # of the sieve, which goes through the driver
 
 _QUOTED = r"""'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'|"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*\""""
 _PLAIN = r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]"
@@ -41,41 +42,100 @@ def normalised(toks: Column, keywords: list[str]) -> Column:
     return F.transform(toks, lambda t: F.when(t.rlike(r"^[A-Za-z_$]") & ~t.isin(*keywords), F.lit("IDENT")).otherwise(t))
 
 
-def grams(files: DataFrame, m: int) -> DataFrame:
-    """(file, pos, key) of every m-gram; files(file, toks). The key is two rolling digests of 64 bits; a token is digested once per batch."""
+def _digests(lists: pa.Array, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of tokens: a digest of each token, which lists have an m-gram, how many each has, and where its tokens begin. A token is digested once per batch."""
+    sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    kept = np.flatnonzero(sizes >= m)
+    coded = lists.flatten().dictionary_encode()
+    known = np.array([xxhash.xxh3_64_intdigest(t) if t is not None else 0 for t in coded.dictionary.to_pylist()], np.uint64)
+    digest = known[coded.indices.fill_null(0).to_numpy(zero_copy_only=False)] if len(kept) else known[:0]
+    return digest, kept, sizes[kept] - m + 1, np.cumsum(np.r_[0, sizes])[:-1][kept]
+
+
+def _anchors(digest: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every run of m tokens the place of its anchor, and the digests at all places: the first of the least digests of the shorter runs inside it.
+
+    Equal runs have their anchors at the same distance, so a run whose anchor's digest is nowhere else is nowhere else."""
+    short = (4 * m + 4) // 5
+    value = mix(window_hash(mix(digest), short))
+    best, width, wanted = np.arange(len(value)), 1, m - short + 1
+    least = lambda x, y: np.where(value[y] < value[x], y, x)
+    while 2 * width <= wanted:
+        best, width = least(best[:-width], best[width:]), 2 * width
+    rest = wanted - width
+    return least(best[: len(best) - rest], best[rest:]), value
+
+
+def _slot(value: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    """Which values are in the sieve, by their leading digits."""
+    slot = value >> np.uint64(64 - (64 * len(sieve)).bit_length() + 1)
+    return (sieve[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def grams(files: DataFrame, m: int, sieve: np.ndarray | None = None) -> DataFrame:
+    """(file, pos, key) of every m-gram, with a sieve of those whose anchor passes it; files(file, toks). The key is two rolling digests of 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
-            kept = np.flatnonzero(sizes >= m)
-            coded = lists.flatten().dictionary_encode()
+            digest, kept, n, starts = _digests(batch.column(1), m)
             if not len(kept):
                 continue
-            known = np.array([xxhash.xxh3_64_intdigest(t) if t is not None else 0 for t in coded.dictionary.to_pylist()], np.uint64)
-            digest = known[coded.indices.fill_null(0).to_numpy(zero_copy_only=False)]
             first, second = window_hash(mix(digest), m).view(np.int64), window_hash(mix(digest + MULTIPLIER), m).view(np.int64)
-            starts = np.cumsum(np.r_[0, sizes])[:-1][kept]
-            n = sizes[kept] - m + 1
+            row = np.repeat(np.arange(len(kept)), n)
             pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = pos + np.repeat(starts, n)
+            at = pos + starts[row]
+            if sieve is not None:
+                place, value = _anchors(digest, m)
+                chosen = _slot(value, sieve)[place[at]]
+                row, pos, at = row[chosen], pos[chosen], at[chosen]
             key = pa.StructArray.from_arrays([pa.array(first[at]), pa.array(second[at])], names=["a", "b"])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(kept, n))), pa.array(pos.astype(np.int32)), key], names=["file", "pos", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept[row])), pa.array(pos.astype(np.int32)), key], names=["file", "pos", "key"])
 
     kind = files.schema["file"].dataType.simpleString()
     return files.select("file", "toks").mapInArrow(run, f"file {kind}, pos int, key struct<a: bigint, b: bigint>")
 
 
+def anchors(files: DataFrame, m: int) -> DataFrame:
+    """(file, anchor) of the anchors of all m-grams, each place once; files(file, toks)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digest, kept, n, starts = _digests(batch.column(1), m)
+            if not len(kept):
+                continue
+            row = np.repeat(np.arange(len(kept)), n)
+            place, value = _anchors(digest, m)
+            place = place[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + starts[row]]
+            new = np.r_[True, (place[1:] != place[:-1]) | (row[1:] != row[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept[row[new]])), pa.array(value[place[new]].view(np.int64))], names=["file", "anchor"])
+
+    kind = files.schema["file"].dataType.simpleString()
+    return files.select("file", "toks").mapInArrow(run, f"file {kind}, anchor bigint")
+
+
+def sieve_of(found: DataFrame) -> np.ndarray:
+    """The anchors of found(anchor) as bits at their leading digits, in 64-bit words; ``MOST_BITS`` bits at most, however many there are."""
+    found = materialize(found, "repeated")
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * found.count() - 1).bit_length()))
+    slot = F.shiftrightunsigned("anchor", 64 - bits.bit_length() + 1).alias("slot")
+    words = found.select(slot).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("mask")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
 def families(positions: DataFrame, m: int) -> DataFrame:
     """(file, pos, members, length): each family by its first occurrence, how many it has, and its length in tokens. Overlapping occurrences are still in."""
     shared = positions.join(positions.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "key")
-    step = shared.select("file", (F.col("pos") - 1).alias("pos"), F.col("key").alias("after"), F.col("members").alias("after_members"))
-    moved = shared.join(step, ["file", "pos"], "left")
-    one = F.when((F.count("after") == F.count("*")) & (F.count_distinct("after") == 1) & (F.max("after_members") == F.max("members")), True).otherwise(False)
+    # where a position's group moves on to: one sort by file, and least and greatest in place of distinct counts, so each row is shuffled by file and by key once
+    order = Window.partitionBy("file").orderBy("pos")
+    ahead = lambda c: F.when(F.lead("pos").over(order) == F.col("pos") + 1, F.lead(c).over(order))
+    moved = shared.select("file", "pos", "key", "members", ahead("key").alias("after"), ahead("members").alias("after_members"))
+    same = (F.min("after.a") == F.max("after.a")) & (F.min("after.b") == F.max("after.b"))
+    one = F.when((F.count("after") == F.count("*")) & same & (F.max("after_members") == F.max("members")), True).otherwise(False)
     groups = moved.groupBy("key").agg(F.max("members").alias("members"), F.min(F.struct("file", "pos")).alias("at"), one.alias("goes_on"))
     rows = groups.select("at.file", "at.pos", "members", "goes_on")
     # runs of consecutive first occurrences that go on; a run begins where nothing came on to it
-    order = Window.partitionBy("file").orderBy("pos")
     came = (F.lag("pos").over(order) == F.col("pos") - 1) & F.lag("goes_on").over(order) & (F.lag("members").over(order) == F.col("members"))
     rows = rows.withColumn("begins", ~F.coalesce(came, F.lit(False)))
     rows = rows.withColumn("run", F.sum(F.col("begins").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -214,24 +274,34 @@ def find_clones(files: DataFrame, m: int, keywords: list[str] | dict[str, list[s
         renamed = normalised(F.col("toks"), keywords)
     else:
         renamed = F.when(F.endswith("file", F.lit(".py")), normalised(F.col("toks"), keywords["py"])).otherwise(normalised(F.col("toks"), keywords["ts"]))
-    # rows of positions carry a number, not the name of their file
+    # rows of positions carry a number, not the name of their file: eight times that of the file, and the type; so all types go one way
     files = materialize(files.select(F.monotonically_increasing_id().alias("n"), "file", "toks"), "numbered")
-    spans = None
-    for t in types:
-        toks = files if t == 1 else files.select("n", renamed.alias("toks")) if t == 2 else materialize(structural_tokens(files, keywords), "structural")
-        toks = toks.drop("file").withColumnRenamed("n", "file")
-        # only repeated runs can be in a family: the joins below see no others
-        rows = grams(toks, m)
-        repeated = rows.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
-        positions = materialize(rows.join(repeated, "key").select("file", "pos", "key"), "grams")
-        occ = occurrences(positions, families(positions, m), m)
-        occ = occ.select(F.lit(t).alias("rank"), F.concat_ws("/", F.lit(t), "family_file", "family_pos").alias("id"), "length", "file", F.col("pos").alias("lo"), (F.col("pos") + F.col("length") - 1).alias("hi"))
-        if t == 4:
-            moved = toks.filter("at is not null").select("file", F.posexplode("at").alias("k", "at"))
-            for end in ("lo", "hi"):
-                occ = occ.join(moved.select("file", F.col("k").alias(end), "at"), ["file", end], "left").withColumn(end, F.coalesce("at", end)).drop("at")
-        occ = occ.select("rank", "id", "length", "file", "lo", (F.col("hi") + 1).alias("hi"))
-        spans = occ if spans is None else spans.unionByName(occ)
-    spans = materialize(spans.join(files.select(F.col("n").alias("file"), F.col("file").alias("name")), "file").drop("file").withColumnRenamed("name", "file"), "clones")
+    moved = None
+    if 4 in types:
+        moved = materialize(structural_tokens(files, keywords).filter("at is not null").select("n", "at"), "rewritten")
+        # type 2 renames names with a dollar, type 4 does not; without such names and without a rewrite its families are those of type 2
+        dollars = files.filter(F.exists("toks", lambda t: t.rlike(r"^(\$|[A-Za-z_]\w*\$)")))
+        if 2 in types and moved.isEmpty() and dollars.isEmpty():
+            types = tuple(t for t in types if t != 4)
+    structural = materialize(structural_tokens(files, keywords).select("n", "toks"), "structural") if 4 in types else None
+
+    # (file, toks) of all types; those that need no table of their own come from one pass
+    every = files.select(F.inline(F.array(*(F.struct((F.col("n") * 8 + t).alias("file"), (renamed if t == 2 else F.col("toks")).alias("toks")) for t in types if t != 4)))) if set(types) - {4} else None
+    if structural is not None:
+        own = structural.select((F.col("n") * 8 + 4).alias("file"), "toks")
+        every = own if every is None else every.unionByName(own)
+    # a run can only be repeated if its anchor is. The sieve only saves the others the shuffle; what repeats is decided by the keys
+    kind = F.col("file").bitwiseAND(7)
+    seen = anchors(every, m).groupBy(F.col("anchor").bitwiseXOR(kind).alias("anchor")).agg(F.count("*").alias("times"))
+    rows = grams(every, m, sieve_of(seen.filter("times > 1").select("anchor"))).withColumn("key", F.struct(F.col("key.a").bitwiseXOR(kind).alias("a"), F.col("key.b").alias("b")))
+    positions = materialize(rows, "grams")
+    occ = occurrences(positions, families(positions, m), m)
+    occ = occ.select(F.col("file").bitwiseAND(7).cast("int").alias("rank"), F.concat_ws("/", "family_file", "family_pos").alias("id"), "length", F.floor(F.col("file") / 8).alias("n"), F.col("pos").alias("lo"), (F.col("pos") + F.col("length") - 1).alias("hi"))
+    if 4 in types:
+        places = moved.select("n", F.lit(4).alias("rank"), F.posexplode("at").alias("k", "at"))
+        for end in ("lo", "hi"):
+            occ = occ.join(places.select("n", "rank", F.col("k").alias(end), "at"), ["n", "rank", end], "left").withColumn(end, F.coalesce("at", end)).drop("at")
+    occ = occ.select("rank", "id", "length", "n", "lo", (F.col("hi") + 1).alias("hi"))
+    spans = materialize(occ.join(files.select("n", "file").hint("merge"), "n").drop("n"), "clones")
     found = spans.groupBy("id").agg(F.first("rank").alias("type"), F.min(F.struct("file", "lo")).alias("b"), F.count("*").alias("members"), F.first("length").alias("length"))
     return found.join(subsumed(spans, BIN, True), "id", "left_anti").select("type", "b.file", F.col("b.lo").alias("pos"), "members", "length")

@@ -87,3 +87,24 @@ def test_determinism_hash_of_many_findings(spark, tmp_path):
     got = text_reports.determinism_hash(spark, str(tmp_path))
     assert dict(got.dtypes) == {"project": "string", "digest": "bigint", "n": "bigint"}
     assert {tuple(r) for r in got.collect()} == {("few", sum(parts[:3]), 3), ("p", wrapped, n - 3)}
+
+
+def test_clone_anchors_lose_no_repeated_run(spark):
+    import numpy as np
+
+    rng, m = np.random.default_rng(5), 10
+    stock = [f"t{k}" for k in rng.integers(0, 40, 120)]
+    rows = []
+    for n in range(60):
+        toks = [f"t{k}" for k in rng.integers(0, 60, rng.integers(0, 60))]
+        at, length = rng.integers(0, 100), rng.integers(m - 2, 21)
+        rows.append((n, (toks + stock[at : at + length] if n % 3 else ["a", "b"] * 15 + toks) if n != 7 else None))
+    files = spark.createDataFrame(rows, "file bigint, toks array<string>").repartition(3)
+    whole = clones.grams(files, m).collect()
+    times = {}
+    for r in whole:
+        times[r.key] = times.get(r.key, 0) + 1
+    seen = clones.anchors(files, m).groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
+    kept = {tuple(r) for r in clones.grams(files, m, clones.sieve_of(seen)).collect()}
+    repeated = {tuple(r) for r in whole if times[r.key] > 1}
+    assert repeated and repeated <= kept <= {tuple(r) for r in whole} and len(kept) < len(whole) / 2
